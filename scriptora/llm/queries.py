@@ -24,8 +24,61 @@ def op3_byte_bpe(spark, sf_dir, vocabulary=None):
     return d.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-_QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_byte_bpe)}
-_SQL: dict[str, str] = {}
+def op1_decontaminate(spark, sf_dir):
+    from scriptora.llm import decontaminate
+
+    d = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return d.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
+iw AS (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda k: array_to_string(list_slice(w, k, k + 7), ' '))) AS k,
+       least(len(w), 8) AS n FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, n FROM iw),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, lens WHERE len(w) >= n),
+hits AS (SELECT r, p, dw.n, item_id FROM dw JOIN win ON win.n = dw.n AND array_to_string(list_slice(w, p, p + dw.n - 1), ' ') = win.k),
+pos AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+it AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
+"""
+
+
+SHARD_BYTES = 4 << 20
+
+
+def op5_sharding(spark, sf_dir):
+    from scriptora.llm import sharding
+
+    d = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+    return d.select("doc_id", "n_bytes", "shard", "depth")
+
+
+def op7_secrets(spark, sf_dir):
+    from scriptora.llm import secrets
+
+    d = secrets.findings(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
+    return d.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_list(F.col("spans")).alias("spans"),
+    )
+
+
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op7_secrets)}
+_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
 
 
 def queries():
