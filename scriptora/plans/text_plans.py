@@ -9,7 +9,7 @@ from scriptora.registry import register
 
 @register(
     "txt_word_count",
-    r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), x -> x <> '')) AS BIGINT) AS word_count
+    r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS word_count
         FROM documents""",
 )
 def txt_word_count(spark, sf_dir):
