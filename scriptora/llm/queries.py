@@ -77,7 +77,44 @@ def op7_secrets(spark, sf_dir):
     )
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op7_secrets)}
+def op6_language_id(spark, sf_dir):
+    from scriptora.llm import language_id
+    from scriptora.llm.common import remainder
+
+    d = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.training_rows(d, remainder(F.col("doc_id"), 4) != 2))
+    held = (remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    return language_id.predict(d, model).select("doc_id", held, "lang_pred", "score")
+
+
+def op8_licenses(spark, sf_dir):
+    from scriptora.llm import licenses
+
+    d = licenses.scan(table(spark, sf_dir, "documents"))
+    places, joined = F.col("places.start"), lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    return d.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"),
+        joined(F.concat("places.label", "spans.label")).alias("labels"),
+        "score",
+    )
+
+
+def op10_toxicity(spark, sf_dir):
+    from scriptora.llm import toxicity
+    from scriptora.llm.common import remainder
+
+    d = table(spark, sf_dir, "documents")
+    model = toxicity.fit(d, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    held = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
+    return toxicity.score(d, model).select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op10_toxicity)}
 _SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
 
 
