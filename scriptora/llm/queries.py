@@ -51,6 +51,13 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
 
+def op4_quality(spark, sf_dir):
+    from scriptora.llm import quality
+
+    d = quality.verdicts(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 SHARD_BYTES = 4 << 20
 
 
@@ -114,7 +121,7 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(d, model).select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op10_toxicity)}
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op4_quality, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op10_toxicity)}
 _SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
 
 
