@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptora.llm.common import GAPS, ascii_lower, id_and_text
+from scriptora.llm.common import GAPS, ascii_lower, id_and_text, written
 
 WIDTH, BLOCK_BYTES = 8, 8 << 20
 _SENTINEL = " "
@@ -66,7 +66,7 @@ def _anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated; a row a document."""
+    """doc_id, text_hash, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated; a row a document."""
     d = id_and_text(docs, id_col, text_col)
     windows = item_windows(items, width)
     total = windows.agg(F.coalesce(F.sum(F.length("key") + 16 * F.size("item_ids") + 64), F.lit(0))).first()[0]
@@ -90,6 +90,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_ite
         merged.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
         .select(
             "doc_id",
+            "text_hash",
             "n_words",
             F.size(hit).cast("long").alias("n_hit"),
             F.size("found").cast("long").alias("n_items"),
@@ -135,3 +136,11 @@ def _block(d: DataFrame, windows: DataFrame) -> DataFrame:
         F.collect_set("run").alias("runs"),
         F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("found"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with their columns."""
+    bad = contamination(docs, items, width, min_items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    bad = written(bad, "contaminated")  # its size is known from its files, so the planner broadcasts it only below the threshold
+    same = docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["__hash"])
+    return docs.join(bad, same, "left_anti")

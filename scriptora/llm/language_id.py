@@ -122,32 +122,47 @@ def fit(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGE
     }
 
 
+def classify(text: str, m: dict | None) -> tuple[str, float]:
+    """The language and its calibrated probability."""
+    if m is None or not has_letter(text):
+        return "und", 0.0
+    s = np.zeros(m["table"].shape[1])
+    for c in cells(text):
+        for a in range(0, len(c), 1 << 16):
+            s += m["table"][c[a : a + (1 << 16)]].sum(0, dtype=np.float64)
+    p = softmax((s[:-1] / s[-1] + m["bias"]) / m["temperature"])
+    k = int(np.argmax(p))
+    return m["names"][k], float(p[k])
+
+
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x (MAX_LANGUAGES + 1) floats at most
 
     def run(batches):
-        m = shared.value
         for b in batches:
-            lang, score = [], []
-            for t in b.column(1).to_pylist():
-                if m is None or not has_letter(t):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                s = np.zeros(m["table"].shape[1])
-                for c in cells(t):
-                    for a in range(0, len(c), 1 << 16):
-                        s += m["table"][c[a : a + (1 << 16)]].sum(0, dtype=np.float64)
-                p = softmax((s[:-1] / s[-1] + m["bias"]) / m["temperature"])
-                k = int(np.argmax(p))
-                lang.append(m["names"][k])
-                score.append(float(p[k]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            out = [classify(t.as_py(), shared.value) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
+                names=["doc_id", "lang_pred", "score"],
+            )
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: dict | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is known with at least that score, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            got = [classify(t.as_py() or "", shared.value) for t in b.column(at)]
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, keep: Column, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     return docs.where(keep & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))

@@ -121,7 +121,13 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(d, model).select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op4_quality, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op10_toxicity)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op4_quality, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op10_toxicity, pipeline)}
 _SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
 
 

@@ -118,6 +118,7 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, id_c
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by mark; overlapping spans count as one. Columns and rows stay as they are."""
     hits = findings(docs, None, rules, id_col, text_col).where("size(spans) > 0").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).distinct()
+    hits = written(hits, "secrets")  # of known size: broadcast only below the threshold
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     cut = F.aggregate(

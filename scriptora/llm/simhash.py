@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptora.llm.common import SPACES, ascii_lower, id_and_text, written
@@ -284,3 +284,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(classes.join(least, "root").select("fp", "n_near", "component_id"), "fp").select(
         "doc_id", "fp", "n_near", "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document of the smallest id of each group, with its columns, once if it is repeated. Rows without an id stay."""
+    d = near_duplicates(docs, id_col, text_col)
+    keep = d.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(keep.hint("shuffle_hash"), F.col(id_col) == F.col("__id"))
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1)))
+    named = named.withColumn("__nth", nth).where("__nth = 1")
+    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
