@@ -111,6 +111,15 @@ def op8_licenses(spark, sf_dir):
     )
 
 
+def op9_lm_scoring(spark, sf_dir):
+    from scriptora.llm import lm
+    from scriptora.llm.common import remainder
+
+    d = lm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+    held = (remainder(F.col("doc_id"), 10) == 0).alias("held_out")
+    return d.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_toxicity(spark, sf_dir):
     from scriptora.llm import toxicity
     from scriptora.llm.common import remainder
@@ -127,7 +136,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op4_quality, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op10_toxicity, pipeline)}
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op4_quality, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op9_lm_scoring, op10_toxicity, pipeline)}
 _SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
 
 
