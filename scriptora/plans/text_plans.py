@@ -1,17 +1,196 @@
-"""Text function queries."""
+"""Text, reference, identity, noise and quality functions over documents and their paragraphs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptora.functions import identity, noise, quality, refs, text
+from scriptora.operators.paragraphs import from_lines
+from scriptora.plans import sql
 from scriptora.registry import register
 
 
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def paragraphs(spark, sf_dir):
+    return from_lines(documents(spark, sf_dir), text.hierarchy(level_1=F.col("source"), level_2=F.col("lang")), keep=("lang", "source"))
+
+
+@register("txt_word_count", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS word_count FROM documents")
+def txt_word_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).cast("long").alias("word_count"))
+
+
+@register("txt_clean_text", f"SELECT doc_id, {sql.clean('text')} AS clean FROM documents")
+def txt_clean_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("clean"))
+
+
+@register("txt_clean_code", "SELECT doc_id, md5(translate(text, '\u00a0', ' ')) AS h FROM documents")
+def txt_clean_code(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(text.clean_code(F.col("text"))).alias("h"))
+
+
+@register("txt_ascii_fold", "SELECT doc_id, md5(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')) AS h FROM documents")
+def txt_ascii_fold(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(text.ascii_fold(F.col("text"))).alias("h"))
+
+
 @register(
-    "txt_word_count",
-    r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS word_count
-        FROM documents""",
+    "txt_toc_title",
+    f"SELECT doc_id, {sql.subs(sql.clean('substr(text, 1, 60)'), ('(?i)^\\s*(?:chapter|chap\\.?)\\s*\\d+\\s*[:.\\-–—]\\s*', ''), ('^\\s*\\d+\\s*[.)]', ''), ('(?i)^\\s*[IVXLC]{2,}\\s*[.)]', ''), ('^\\s*\\d+\\s+', ''), ('^[\\s.)\\-–—]+', ''))} AS title FROM documents",
 )
-def txt_word_count(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("word_count"))
+def txt_toc_title(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.clean_toc_title(F.substring("text", 1, 60)).alias("title"))
+
+
+_ABBREVIATED = "(^|[^\\pL\\pN_])(" + "|".join(a.replace(".", "\\.") for a in sorted(text.ABBREVIATIONS, key=lambda w: (-len(w), w))) + ")\\. "
+
+
+@register(
+    "txt_sentences",
+    f"""WITH {sql.PARAGRAPHS},
+        held AS (SELECT doc_id, paragraph_id, {sql.subs('text', (_ABBREVIATED, '\\1\\2.\u0001'), (_ABBREVIATED, '\\1\\2.\u0001'), ('([.!?])\\s+([A-Z"\'\'(])', '\\1\u0002\\2'), ('([.!?])\\s+([A-Z"\'\'(])', '\\1\u0002\\2'))} AS t FROM paragraphs)
+        SELECT doc_id, paragraph_id, len(list_filter(string_split(t, '\u0002'), lambda x: trim(x) <> '')) AS n_sentences,
+               md5(array_to_string(list_filter(list_transform(string_split(t, '\u0002'), lambda x: trim(replace(x, '\u0001', ' '))), lambda x: x <> ''), '|')) AS h
+        FROM held""",
+)
+def txt_sentences(spark, sf_dir):
+    s = paragraphs(spark, sf_dir).withColumn("s", text.sentences(F.col("text")))
+    return s.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("h"))
+
+
+@register(
+    "txt_hierarchy",
+    f"""WITH {sql.PARAGRAPHS} SELECT doc_id, paragraph_id, source || ' / ' || lang AS heading_path, 2 AS depth FROM paragraphs""",
+)
+def txt_hierarchy(spark, sf_dir):
+    p = paragraphs(spark, sf_dir)
+    return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), text.heading_path(F.col("hierarchy")).alias("heading_path"), text.hierarchy_depth(F.col("hierarchy")).alias("depth"))
+
+
+@register("tok_estimate", r"SELECT doc_id, CAST(floor(len(regexp_extract_all(text, '\S+')) * 1.5) AS INTEGER) AS tokens FROM documents")
+def tok_estimate(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.estimate_tokens(text.word_count(F.col("text"))).alias("tokens"))
+
+
+def _all(expr: str, patterns) -> str:
+    return " || ".join(f"regexp_extract_all({expr}, '{p}')" for p in patterns)
+
+
+@register(
+    "ext_dates",
+    f"SELECT doc_id, array_to_string(list_sort(list_distinct({_all('text', refs.DATE_PATTERNS)})), ';') AS dates FROM documents",
+)
+def ext_dates(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(refs.dates(F.col("text")), ";").alias("dates"))
+
+
+@register(
+    "ext_scripture",
+    "SELECT doc_id, array_to_string(list_sort(list_distinct(" + _all("text", refs.SCRIPTURE_PATTERNS[1:]) + ")), ';') AS refs FROM documents",
+)
+def ext_scripture(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(refs.scripture_references(F.col("text")), ";").alias("refs"))
+
+
+@register(
+    "ext_cross_references",
+    "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(" + _all("text", refs.CROSS_PATTERNS) + ", lambda x: length(x) BETWEEN 4 AND 140))), ';') AS refs FROM documents",
+)
+def ext_cross_references(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.array_join(refs.cross_references(F.col("text")), ";").alias("refs"))
+
+
+@register(
+    "id_stable",
+    "SELECT doc_id, substr(sha1(doc_id::VARCHAR || '||' || source || '||' || text), 1, 16) AS stable_id, 'ed_' || substr(sha256(text), 1, 16) AS edited_id FROM documents",
+)
+def id_stable(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", identity.stable_id(F.col("doc_id"), F.col("source"), F.col("text")).alias("stable_id"), identity.edited_id(F.col("text")).alias("edited_id"))
+
+
+_TOKENS = r"regexp_extract_all(text, '\S+')"
+
+
+@register(
+    "nse_flags",
+    f"""WITH {sql.PARAGRAPHS}, w AS (SELECT *, {_TOKENS} AS w FROM paragraphs)
+        SELECT doc_id, paragraph_id,
+               len(list_filter(w, lambda x: regexp_matches(x, '^[0-9*,.:;-]+$'))) > 0.5 * len(w)
+                 OR (regexp_matches(text, '(?:[0-9]+[*,.:;\\s-]+){{5}}') AND len(regexp_extract_all(text, '[0-9]+')) > len(w) * 0.3) AS is_index,
+               regexp_matches(lower(trim(text)), '^(?:next|previous|home|back|forward|up|(?:chapter|section|part)\\s+[0-9]+|page\\s+[0-9]+)$') AS is_navigation,
+               (regexp_matches(lower(text), '©|\\bcopyright\\b|\\ball rights reserved\\b') AND word_count < 50)
+                 OR regexp_matches(lower(text), '\\bisbn\\b|publisher code|catalog number') AS is_boilerplate
+        FROM w""",
+)
+def nse_flags(spark, sf_dir):
+    p = paragraphs(spark, sf_dir)
+    t, n, h = F.col("text"), F.col("word_count"), F.col("hierarchy")
+    return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), noise.is_index_page(t).alias("is_index"), noise.is_navigation(t, n, h).alias("is_navigation"), noise.is_boilerplate(t, n).alias("is_boilerplate"))
+
+
+@register(
+    "nse_scan",
+    f"""WITH {sql.PARAGRAPHS}, w AS (SELECT *, {_TOKENS} AS w FROM paragraphs),
+        f AS (SELECT source, len(list_filter(w, lambda x: regexp_matches(x, '^[0-9*,.:;-]+$'))) > 0.5 * len(w)
+                 OR (regexp_matches(text, '(?:[0-9]+[*,.:;\\s-]+){{5}}') AND len(regexp_extract_all(text, '[0-9]+')) > len(w) * 0.3)
+                 OR regexp_matches(lower(trim(text)), '^(?:next|previous|home|back|forward|up|(?:chapter|section|part)\\s+[0-9]+|page\\s+[0-9]+)$')
+                 OR (regexp_matches(lower(text), '©|\\bcopyright\\b|\\ball rights reserved\\b') AND word_count < 50)
+                 OR regexp_matches(lower(text), '\\bisbn\\b|publisher code|catalog number') AS noisy FROM w)
+        SELECT source, count(*) AS total, count(*) FILTER (noisy) AS noise, count(*) FILTER (noisy) / count(*) AS rate FROM f GROUP BY source""",
+)
+def nse_scan(spark, sf_dir):
+    p = paragraphs(spark, sf_dir).withColumn("noisy", noise.low_value(F.col("text"), F.col("word_count"), F.col("hierarchy")))
+    return p.groupBy("source").agg(F.count("*").alias("total"), F.count_if("noisy").alias("noise"), (F.count_if("noisy") / F.count("*")).alias("rate"))
+
+
+@register(
+    "nse_front_matter",
+    f"""WITH {sql.PARAGRAPHS}, c AS (SELECT lang, CASE
+          WHEN regexp_matches(lower(text), '^\\s*(?:dedicated to\\b|in memory of\\b|(?:for|to)\\s+(?:the|our|my)\\s+\\w+|for\\s+\\w+\\s*,\\s*(?:the|our|my))') THEN 'dedication_phrase'
+          WHEN regexp_matches(lower(text), '{"|".join(noise.ENDORSEMENTS)}') THEN 'endorsement_section' ELSE 'content' END AS reason FROM paragraphs)
+        SELECT lang, reason, count(*) AS n FROM c GROUP BY ALL""",
+)
+def nse_front_matter(spark, sf_dir):
+    p = paragraphs(spark, sf_dir).select("lang", noise.front_matter(F.col("text"), F.col("hierarchy")).alias("reason"))
+    return p.groupBy("lang", "reason").agg(F.count("*").alias("n"))
+
+
+@register(
+    "nse_tiny",
+    f"""WITH {sql.PARAGRAPHS}, t AS (SELECT doc_id, paragraph_id, trim(text) AS t FROM paragraphs WHERE word_count < 5)
+        SELECT doc_id, paragraph_id, length(regexp_replace(t, '[^\\pL\\pN]', '', 'g')) <= 2 OR regexp_matches(translate(t, '.,- ', ''), '^[0-9]+$')
+               OR regexp_matches(t, '(?i)^(?:diagram|example|figure|listing|table)\\s+[0-9]+') AS gone,
+               regexp_matches(t, '(?i)\\bsee\\s+(?:section|page|chapter|also)\\b') AS refers
+        FROM t""",
+)
+def nse_tiny(spark, sf_dir):
+    p = paragraphs(spark, sf_dir).where("word_count < 5")
+    t, n, h = F.col("text"), F.col("word_count"), F.col("hierarchy")
+    gone = noise.tiny_chunk(t, n, h, "conservative")
+    return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), gone.alias("gone"), t.rlike(r"(?i)\bsee\s+(?:section|page|chapter|also)\b").alias("refers"))
+
+
+_SIGNALS = f"""SELECT doc_id, least(1.0, len(regexp_extract_all(text, '[^\\t\\n\\r -~\\x{{00A0}}-\\x{{02AF}}]')) / greatest(1, length(text)))::DOUBLE AS garble_rate, length(text) AS n,
+      list_transform(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda x: regexp_matches(x, '\\S')), lambda x: length(x)) AS lines,
+      len(regexp_extract_all(text, '\\b(?:Apostolica|Dei|Dominus|Ecclesia|Magisterium|Verbum)\\b')) AS hits,
+      list_transform(regexp_extract_all(text, '\\S+'), lambda x: lower(x)) AS w FROM documents"""
+
+
+@register(
+    "qlt_score",
+    f"""WITH s AS ({_SIGNALS}),
+        q AS (SELECT doc_id, garble_rate, (1 - garble_rate) * (CASE WHEN n > 2000 THEN 1.0 ELSE 0.8 END) AS mean_conf,
+                CASE WHEN len(lines) > 0 THEN least(1.0, list_stddev_pop(lines) / 120.0) ELSE 0.2 END AS std, least(1.0, 0.5 + 0.05 * hits) AS lang_prob,
+                CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END AS density,
+                CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: x < 40)) / len(lines) ELSE 0 END AS short FROM s),
+        r AS (SELECT *, greatest(0, least(1, 0.4 * (1 - garble_rate) + 0.3 * mean_conf + 0.1 * (1 - std) + 0.2 * lang_prob)) AS score FROM q)
+        SELECT doc_id, round(garble_rate, 6) AS garble_rate, round(density::DOUBLE, 6) AS lexical_density, round(short::DOUBLE, 6) AS short_line_ratio,
+               round(score::DOUBLE, 4) AS score, CASE WHEN score >= 0.8 THEN 'A' WHEN score >= 0.55 THEN 'B' ELSE 'C' END AS route FROM r""",
+)
+def qlt_score(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", quality.signals(F.col("text")).alias("s")).withColumn("score", quality.score(F.col("s")))
+    return d.select("doc_id", F.round("s.garble_rate", 6).alias("garble_rate"), F.round("s.lexical_density", 6).alias("lexical_density"), F.round("s.short_line_ratio", 6).alias("short_line_ratio"), F.round("score", 4).alias("score"), quality.route(F.col("score")).alias("route"))
