@@ -143,7 +143,8 @@ def strip_heading_number(c: Column) -> Column:
 def slug(c: Column, most: int = 100) -> Column:
     """A file name of a title: lower case, words joined by underscores, at most so many characters."""
     s = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\w\s-]", ""), r"[-\s]+", "_")
-    return F.trim(F.lit("_"), F.substring(s, 1, most))
+    s = F.trim(F.substring(s, 1, most), F.lit("_"))
+    return F.when(s == "", "untitled").otherwise(s)
 
 
 def context_prefix(title: Column, author: Column, path: Column) -> Column:

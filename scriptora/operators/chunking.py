@@ -113,7 +113,7 @@ def merge_fields(paragraphs: DataFrame, chunks: DataFrame) -> DataFrame:
     g = j.groupBy("doc_id", "stable_id", "first_id").agg(F.array_sort(F.collect_list(F.struct("i", *arrays, *extra))).alias("ps"))
     cols = {}
     for a in arrays:
-        flat = F.flatten(F.transform("ps", lambda x, a=a: F.coalesce(x[a], F.array().cast("array<string>"))))
+        flat = F.flatten(F.transform(F.col(f"ps.{a}"), lambda x: F.coalesce(x, F.array().cast("array<string>"))))
         cols[a] = F.array_distinct(flat) if a in _REFS else flat
     if "sentences" in arrays:
         cols["sentence_count"] = F.size(cols["sentences"])
