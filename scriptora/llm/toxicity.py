@@ -62,17 +62,14 @@ def features(text: str) -> np.ndarray:
 
 
 def counterfactuals(text: str, most: int = 4) -> list[str]:
-    """text with the group terms of its sentences swapped for others of their sets: up to ``most`` versions."""
+    """text with the group terms of its sentences swapped for others of their sets, up to ``most`` versions, and last
+    with the terms left out: alike scores for all groups would else still allow a high score for any mention."""
     low = text.lower()
     if not _TERM.search(low):
         return []
-    out = []
-    for k in range(most):
-        swap = lambda m, k=k: _SWAP[m[1]][k % len(_SWAP[m[1]])]
-        new = "".join(_TERM.sub(swap, s) for s in _SENTENCE.findall(low))
-        if new not in out:
-            out.append(new)
-    return out
+    swaps = [lambda m, k=k: _SWAP[m[1]][k % len(_SWAP[m[1]])] for k in range(most)]
+    new = ["".join(_TERM.sub(swap, s) for s in _SENTENCE.findall(low)) for swap in [*swaps, ""]]
+    return list(dict.fromkeys(new))
 
 
 def train(examples: list[tuple[np.ndarray, list[np.ndarray], int]], epochs: int = EPOCHS, penalty: float = PENALTY) -> dict:

@@ -1,0 +1,41 @@
+"""The registered queries and the pipeline over the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from scriptora.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+
+
+def test_every_operator_has_its_query():
+    names = sorted(queries.queries())
+    assert sorted(n.split("_")[0] for n in names if n != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
+    assert set(names) <= set(entry.queries()) and set(queries.oracle_sql()) <= set(names)
+
+
+def test_op1_is_what_sql_gives(spark):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.queries()["op1_decontaminate"](spark, SF)
+    want = c.sql(queries.oracle_sql()["op1_decontaminate"]).fetchall()
+    assert sorted(tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got.collect()) == sorted(want)
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "secrets", "bpe"]
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "n_tokens", "token_ids"]
+    n = out.count()
+    assert 0.5 * docs.count() < n < docs.count() and out.select("doc_id").distinct().count() == n
+    d = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, SF)
+        assert d.columns == docs.columns
