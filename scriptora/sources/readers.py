@@ -9,11 +9,21 @@ from scriptora.functions.text import LEVELS
 from scriptora.operators.parsers import epub_paragraphs, format_of, html_paragraphs, markdown_paragraphs
 
 _LEVELS = ", ".join(f"{x}: string" for x in LEVELS)
-CHUNK = (
-    f"stable_id string, chunk_id string, paragraph_id int, text string, word_count int, hierarchy struct<{_LEVELS}>, content_type string, "
-    "sentences array<string>, scripture_references array<string>, cross_references array<string>, dates_mentioned array<string>"
+_FIELDS = {
+    **dict.fromkeys(("stable_id", "chunk_id"), "string"),
+    "paragraph_id": "int",
+    "text": "string",
+    "word_count": "int",
+    "hierarchy": f"struct<{_LEVELS}>",
+    "content_type": "string",
+    **dict.fromkeys(("sentences", "scripture_references", "cross_references", "dates_mentioned"), "array<string>"),
+}
+CHUNK = ", ".join(f"{k} {v}" for k, v in _FIELDS.items())
+_CHUNKS = ", ".join(f"{k}: {v}" for k, v in _FIELDS.items())
+DOCUMENT = (
+    "metadata struct<title: string, author: string, provenance: struct<doc_id: string, source_file: string>>, "
+    f"chunks array<struct<{_CHUNKS}>>"
 )
-DOCUMENT = f"metadata struct<title: string, author: string, provenance: struct<doc_id: string, source_file: string>>, chunks array<struct<{CHUNK.replace(' string', ': string').replace(' int', ': int').replace(' array', ': array').replace(' struct<l', ': struct<l')}>>"
 EXTENSIONS = "*.{epub,pdf,html,htm,md,markdown,json}"
 
 
