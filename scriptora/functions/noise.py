@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptora.functions.text import LEVELS, words
+from scriptora.functions.text import CAP, LEVELS, words
 
 ENDORSEMENTS = ("acclaim for", "advance praise", "praise for", "testimonials", "what people are saying", "what readers are saying")
 FRONT_LABELS = """abbreviations; acknowledgements; acknowledgments; also by; dedication; editor's preface; editors' preface;
@@ -18,8 +18,9 @@ series page; testimonials; title page"""
 BACK_LABELS = """about the author; about the authors; back cover; bibliography; endnotes; footnotes; further reading; general
 index; glossary; index of sidebars; index of subjects; recommended reading; scripture index; subject index; suggested resources"""
 DEDICATION = r"(?m)\A\s*(?:dedicated to\b|in memory of\b|(?:for|to)\s+(?:the|our|my)\s+\w+|for\s+\w+\s*,\s*(?:the|our|my))"
-INDICATORS = (r"(?i)\bIbid\b", r"(?i)\bed\.\s", r"(?i)\btrans\.\s", r"(?i)\bvol\.\s", r"\(\d{4}\)", r":\s*\d+[-–]\d+", r",\s*\d+[-–]\d+\.")
-CITATION = r"(?m)(?:^|\n)\s*(\d{1,3})\.\s+([A-Z](?:[a-z]+|\.)\s*[A-Z]?)"
+_PAGES = r"{}\s*[0-9]+[–-][0-9]+"
+INDICATORS = (r"(?i)\bIbid\b", r"(?i)\bed\.\s", r"(?i)\btrans\.\s", r"(?i)\bvol\.\s", r"\([0-9]{4}\)", _PAGES.format(":"), _PAGES.format(",") + r"\.")
+CITATION = r"(?m)(?:\n|^)\s*" + "([0-9]{1,3})" + rf"\.\s+({CAP}(?:\.|[a-z]+)\s*{CAP}?)"
 
 
 def _labels(x: str) -> list[str]:
@@ -40,8 +41,8 @@ def is_index_page(text: Column, token_count: Column | None = None) -> Column:
 
     def judge(w: Column) -> Column:
         n = F.size(w)
-        share = F.size(F.filter(w, lambda x: x.rlike(r"^[\d*,.\-:;]+$"))) / n
-        runs = t.rlike(r"(?:\d+[*,.\-:;\s]+){5}") & (F.regexp_count(t, F.lit(r"\d+")) > n * 0.3)
+        share = F.size(F.filter(w, lambda x: x.rlike(r"^[0-9*,.\-:;]+$"))) / n
+        runs = t.rlike(r"(?:[0-9]+[*,.\-:;\s]+){5}") & (F.regexp_count(t, F.lit(r"[0-9]+")) > n * 0.3)
         out = (share > 0.5) | runs
         if token_count is not None:
             k = F.coalesce(token_count, F.lit(0))
@@ -54,7 +55,7 @@ def is_index_page(text: Column, token_count: Column | None = None) -> Column:
 def is_navigation(text: Column, word_count: Column, h: Column) -> Column:
     t, top = F.lower(_strip(text)), _low(h, "level_1")
     short = (top.contains("index") | top.contains("contents")) & (F.coalesce(word_count, F.lit(0)) < 20)
-    return short | t.rlike(r"\A(?:back|forward|home|next|previous|up|(?:part|section|chapter)\s+\d+|page\s+\d+)\Z")
+    return short | t.rlike(r"\A(?:back|forward|home|next|previous|up|(?:part|section|chapter)\s+[0-9]+|page\s+[0-9]+)\Z")
 
 
 def is_boilerplate(text: Column, word_count: Column) -> Column:
@@ -133,7 +134,7 @@ def is_skippable_section(level_1: Column) -> Column:
     return F.lower(F.coalesce(level_1, F.lit(""))).isin("contents", "index", "table of contents", "toc")
 
 
-TINY_MODES = ("off", "conservative", "standard", "aggressive")
+TINY_MODES = tuple("off conservative standard aggressive".split())
 
 
 def tiny_chunk(text: Column, word_count: Column, h: Column, mode: str) -> Column:
@@ -149,11 +150,11 @@ def tiny_chunk(text: Column, word_count: Column, h: Column, mode: str) -> Column
         top.contains("index")
         | top.contains("contents")
         | (F.length(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}]", "")) <= 2)
-        | F.translate(t, ".,- ", "").rlike(r"\A\d+\Z")
-        | t.rlike(r"(?i)\A(?:diagram|example|figure|listing|table)\s+\d+"),
-        (top.contains("answer") & t.rlike(r"(?U)\A\d+\.\s+\w+\Z"))
+        | F.translate(t, ".,- ", "").rlike(r"\A[0-9]+\Z")
+        | t.rlike(r"(?i)\A(?:diagram|example|figure|listing|table)\s+[0-9]+"),
+        (top.contains("answer") & t.rlike(r"(?U)\A[0-9]+\.\s+\w+\Z"))
         | t.rlike(r"(?U)\A[•·◦▪–—]\s+\w+\Z")
-        | t.rlike(r"\A\d+\s*[-–—]\s*\d+\Z"),
+        | t.rlike(r"\A[0-9]+\s*[-–—]\s*[0-9]+\Z"),
         top.contains("appendix") | top.contains("appendices") | t.rlike(r"(?i)\bsee\s+(?:section|page|chapter|also)\b"),
     ]
     rule = F.lit(False)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptora.functions.text import MONTHS, clean_text
+from scriptora.functions.text import CAP, MONTHS, clean_text
 
+_NUM, _GAP, _MAYBE = "[0-9]+", r"\s+", r"\s*"
+_DAY, _YEAR = "[0-9]{1,2}(?:th|st|rd|nd)?", "[0-9]{4}"
+MONTH_DAY_YEAR = f"(?:{MONTHS}){_GAP}{_DAY},?{_GAP}{_YEAR}"
 DATE_PATTERNS = (
-    rf"(?i)\b(?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b",
-    rf"(?i)\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{MONTHS})\s+\d{{4}}\b",
-    r"\b\d{4}-\d{2}-\d{2}\b",
-    r"\b\d{1,2}/\d{1,2}/\d{4}\b",
+    rf"(?i)\b{MONTH_DAY_YEAR}\b",
+    rf"(?i)\b{_DAY}{_GAP}(?:{MONTHS}){_GAP}{_YEAR}\b",
+    rf"\b{_YEAR}(?:-[0-9]{{2}}){{2}}\b",
+    rf"\b(?:[0-9]{{1,2}}/){{2}}{_YEAR}\b",
 )
 #: Words before a number and colon that aren't books, alphabetically; then long and short names of books.
 _NOT_BOOKS = "Art|Article|Chapter|Class|Figure|Grade|Item|Level|Line|Note|Page|Part|Phase|Round|Rule|Section|Stage|Step|Table|Type|Verse|Version"
@@ -20,23 +23,26 @@ _SHORT_BOOKS = """
 Acts Amos Chr Col Cor Dan Deut Eccl Eph Esth Ex Ezek Ezra Gal Gen Hab Hag Heb Hos Isa Jas Jer Jn Job Joel Jonah Josh
 Jude Judg Kgs Lam Lev Lk Mal Mic Mk Mt Nah Neh Num Obad Pet Phil Phlm Prov Ps Rev Rom Ruth Sam Song Thess Tim Tit Zech Zeph
 """.split()
+_NTH = rf"(?:[123]{_MAYBE})?"
+_VERSE = f"{_GAP}{_NUM}:{_NUM}"
 SCRIPTURE_PATTERNS = (
-    rf"\b(?:[1-3]\s*)?(?!(?:{_NOT_BOOKS})\b)[A-Z][a-z]+\.?\s+\d+:\d+(?:-\d+(?::\d+)?)?",
-    rf"(?i)\b(?:[1-3]\s*)?(?:{_LONG_BOOKS})\s+\d+:\d+(?:-\d+)?",
-    rf"(?i)\b(?:{'|'.join(_SHORT_BOOKS)})\.?\s+\d+:\d+(?:-\d+)?",
+    rf"\b{_NTH}(?!(?:{_NOT_BOOKS})\b){CAP}[a-z]+\.?{_VERSE}(?:-{_NUM}(?::{_NUM})?)?",
+    rf"(?i)\b{_NTH}(?:{_LONG_BOOKS}){_VERSE}(?:-{_NUM})?",
+    rf"(?i)\b(?:{'|'.join(_SHORT_BOOKS)})\.?{_VERSE}(?:-{_NUM})?",
 )
+_PARAGRAPH = f"(?:{_MAYBE}§{_MAYBE}{_NUM})?"
 CROSS_PATTERNS = (
-    r"(?i)\b(?:see also|see|compare|cf\.)\s+(?:section|part|chapter|can\.?|art\.?|§)\s+[-A-Za-z0-9.:§]{1,60}",
-    r"(?i)\b(?:CCEO|CIC)\s*(?:/1990|/1983)?\s*(?:canon|can\.?)\s*\d+(?:\s*§\s*\d+)?",
-    r"(?i)\b(?:can\.|canon)\s*\d+(?:\s*§\s*\d+)?",
-    r"(?i)\b(?:Catechism(?: of the Catholic Church)?|CCC)\s*\d{1,4}",
+    rf"(?i)\b(?:see also|see|compare|cf\.){_GAP}(?:section|part|chapter|can\.?|art\.?|§){_GAP}[-A-Za-z0-9.:§]{{1,60}}",
+    rf"(?i)\b(?:CCEO|CIC){_MAYBE}(?:/19(?:90|83))?{_MAYBE}(?:canon|can\.?){_MAYBE}{_NUM}{_PARAGRAPH}",
+    rf"(?i)\b(?:can\.|canon){_MAYBE}{_NUM}{_PARAGRAPH}",
+    rf"(?i)\b(?:Catechism(?: of the Catholic Church)?|CCC){_MAYBE}[0-9]{{1,4}}",
     r"(?i)\b(?:Catechism of (?:Trent|Pius V)|Roman Catechism)\b",
-    r"(?i)\b(?:Denz\.?|DS)\s*\d{3,5}\b",
-    r"(?i)\b(?:GILH|GIRM|IGMR|OGMR)\s*\d{1,4}\b",
-    r"(?i)\b(?:Trent(?:,?\s*Session)?\s*[IVXLC]+|Council of Trent)\b",
-    r"(?i)\bVatican\s*(?:II|I)\b",
-    r"\b§{1,2}\s*\d{1,4}\b",
-    r"(?i)\bAAS\s+\d{1,3}\s*\(\d{4}\)\s*\d+",
+    rf"(?i)\b(?:Denz\.?|DS){_MAYBE}[0-9]{{3,5}}\b",
+    rf"(?i)\b(?:GI(?:LH|RM)|[IO]GMR){_MAYBE}[0-9]{{1,4}}\b",
+    rf"(?i)\b(?:Trent(?:,?{_MAYBE}Session)?{_MAYBE}[CILVX]+|Council of Trent)\b",
+    rf"(?i)\bVatican{_MAYBE}(?:II|I)\b",
+    rf"\b§§?{_MAYBE}[0-9]{{1,4}}\b",
+    rf"(?i)\bAAS{_GAP}[0-9]{{1,3}}{_MAYBE}\({_YEAR}\){_MAYBE}{_NUM}",
 )
 
 
@@ -65,7 +71,7 @@ _CLOSE = r"\s*[\"'“”.)]*$"
 def trailing_footnotes(c: Column, most: int = 999) -> Column:
     """Numbers that end a sentence as footnote marks, in brackets or bare; not verses (3:16) or decimals (3.14)."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-    marks = [F.regexp_extract(c, p + _CLOSE, 1) for p in (r"[\[(]\s*(\d{1,4})\s*[\])]", r"[\s,;](\d{1,4})")]
+    marks = [F.regexp_extract(c, p + _CLOSE, 1) for p in (r"[\[(]\s*([0-9]{1,4})\s*[\])]", r"[\s,;]([0-9]{1,4})")]
     numbers = F.array_distinct(F.transform(F.filter(F.array(*marks), lambda x: x != ""), lambda x: x.cast("int")))
-    other = c.rlike(r":\s*\d{1,4}" + _CLOSE) | c.rlike(r"\b\d+\.\d+" + _CLOSE)
+    other = c.rlike(r":\s*[0-9]{1,4}" + _CLOSE) | c.rlike(r"\b[0-9]+\.[0-9]+" + _CLOSE)
     return F.when(other, F.array().cast("array<int>")).otherwise(F.filter(numbers, lambda x: x.between(1, most)))

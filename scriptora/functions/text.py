@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WS = r"(?U)[\s\x1c-\x1f]"
+CAP = "[A-Z]"
+#: Where a sentence ends: after its mark, before a capital, quote or bracket.
+SENTENCE_END = rf"""(?<=[?!.])\s+(?=[("'A-Z])"""
 LEVELS = tuple(f"level_{i}" for i in range(1, 7))
 
 #: Words that a full stop follows within a sentence, alphabetically.
@@ -47,8 +50,8 @@ def ascii_fold(s: pd.Series) -> pd.Series:
 
 def fix_spaced_caps(c: Column) -> Column:
     """Capitals set apart by single spaces become words: three or more of them, or one before a word of capitals."""
-    inner = r"(?<=\b[A-Z]) (?=[A-Z] [A-Z]\b)|(?<=\b[A-Z] [A-Z]) (?=[A-Z]\b)"
-    return F.regexp_replace(F.regexp_replace(c, inner, ""), r"\b([A-Z])\s(?=[A-Z]{2,}\b)", "$1")
+    inner = rf"(?<=\b{CAP}) (?={CAP} {CAP}\b)|(?<=\b{CAP} {CAP}) (?={CAP}\b)"
+    return F.regexp_replace(F.regexp_replace(c, inner, ""), rf"\b({CAP})\s(?={CAP}{{2,}}\b)", "$1")
 
 
 def clean_text(c: Column) -> Column:
@@ -59,8 +62,8 @@ def clean_text(c: Column) -> Column:
         (r"<[^>]+>", ""),
         (WS + "+", " "),
         (r"^ +| +$", ""),
-        (r"(\b\d+)([A-Z][a-z])", "$1 $2"),
-        (r"(\b\d+) +\.", "$1."),
+        (rf"(\b[0-9]+)({CAP}[a-z])", "$1 $2"),
+        (r"(\b[0-9]+) +\.", "$1."),
         (r" +([,;:!?])", "$1"),
         (r" +([.\"')\]}])", "$1"),
         (r"([(\[\"']) +", "$1"),
@@ -86,10 +89,10 @@ def clean_toc_title(c: Column) -> Column:
     """A cleaned title without its number: chapter, arabic, roman of two letters or more, or bare."""
     c = clean_text(c)
     for p in (
-        r"(?i)^\s*(?:chapter|chap\.?)\s*\d+\s*[:.\-–—]\s*",
-        r"^\s*\d+\s*[.)]",
-        r"(?i)^\s*[IVXLC]{2,}\s*[.)]",
-        r"^\s*\d+\s+",
+        r"(?i)^\s*chap(?:ter|\.)?\s*[0-9]+\s*[–—:.\-]\s*",
+        r"^\s*[0-9]+\s*[.)]",
+        r"(?i)^\s*[CILVX]{2,}\s*[).]",
+        r"^\s*[0-9]+\s+",
         r"^[\s.)\-–—]+",
     ):
         c = F.regexp_replace(c, p, "")
@@ -99,7 +102,7 @@ def clean_toc_title(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences: ends of . ! ? before a capital, quote or bracket, but not after an abbreviation and one space."""
     held = F.regexp_replace(F.coalesce(c, F.lit("")), rf"\b({_alternatives(ABBREVIATIONS)})\. ", "$1.\x00")
-    parts = F.split(held, r"(?U)(?<=[.!?])\s+(?=[A-Z\"'(])")
+    parts = F.split(held, "(?U)" + SENTENCE_END)
     tidy = F.transform(parts, lambda s: F.regexp_replace(F.translate(s, "\x00", " "), rf"^{WS}+|{WS}+$", ""))
     return F.filter(tidy, lambda s: s != "")
 
@@ -132,12 +135,12 @@ def hierarchy_depth(h: Column) -> Column:
 
 def heading_level(tag: Column) -> Column:
     """1 to 9 for h1 to h9 as written, else 99."""
-    n = F.regexp_extract(F.lower(tag), r"^h(\d)", 1)
+    n = F.regexp_extract(F.lower(tag), r"^h([0-9])", 1)
     return F.when(n != "", n.cast("int")).otherwise(F.lit(99))
 
 
 def strip_heading_number(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\d+(\.\d+)*\s+", "")
+    return F.regexp_replace(c, r"^[0-9]+(\.[0-9]+)*\s+", "")
 
 
 def slug(c: Column, most: int = 100) -> Column:

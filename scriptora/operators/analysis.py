@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptora.functions.text import MONTHS
+from scriptora.functions.refs import MONTH_DAY_YEAR
 
 #: Ordered: the first that a text has is its type.
 CHURCH_TYPES = (
@@ -78,7 +78,7 @@ def mentioned(text: Column, names=CHURCH_DOCUMENTS) -> Column:
 def generic_type(text: Column) -> Column:
     """Technical with over 5 fences, a manual with over 10 numbered lines, a short text with a blank line an article."""
     t = F.coalesce(text, F.lit(""))
-    numbered = F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"^\s*\d") & F.substring(x, 1, 5).contains(".")))
+    numbered = F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"^\s*[0-9]") & F.substring(x, 1, 5).contains(".")))
     return (
         F.when(~t.rlike(r"\S"), "Document")
         .when(F.regexp_count(t, F.lit("```")) > 5, "Technical Document")
@@ -90,7 +90,7 @@ def generic_type(text: Column) -> Column:
 
 def promulgation_date(text: Column, dates: Column) -> Column:
     """A date after promulgated, given, issued or published on one line, else the first of dates, else ''."""
-    near = F.regexp_extract(text, rf"(?i)(?:published|issued|given|promulgated?).*?((?:{MONTHS})\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}})", 1)
+    near = F.regexp_extract(text, rf"(?i)(?:published|issued|given|promulgated?).*?({MONTH_DAY_YEAR})", 1)
     return F.when(F.size(dates) == 0, "").otherwise(F.coalesce(F.nullif(near, F.lit("")), F.get(dates, F.lit(0))))
 
 

@@ -336,7 +336,7 @@ def _sentences(text: str) -> list[str]:
     import re
 
     held = re.sub(r"\b(" + "|".join(re.escape(a) for a in sorted(T.ABBREVIATIONS, key=len, reverse=True)) + r")\. ", "\\1.\0", text)
-    parts = [s.replace("\0", " ").strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z\"'(])", held)]
+    parts = [s.replace("\0", " ").strip() for s in re.split(T.SENTENCE_END, held)]
     return [s for s in parts if s]
 
 

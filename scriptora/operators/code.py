@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import re
 
+_NAME, _ASYNC, _EXPORT = r"\s+\w+", r"(?:async\s+)?", r"(?:export\s+)?"
 _DECLARATION = re.compile(
-    r"(?:class|func)\s+\w+|(?:async\s+)?def\s+\w+|(?:pub\s+)?(?:fn|func|struct|type)\s+\w+"
-    r"|(?:export\s+)?(?:async\s+)?function\s+\w+|(?:export\s+)?(?:let|var|const)\s+\w+\s*=\s*(?:async\s+)?\("
+    "|".join(
+        (
+            "class" + _NAME,
+            _ASYNC + "def" + _NAME,
+            r"(?:pub\s+)?(?:fn|func|struct|type)" + _NAME,
+            _EXPORT + _ASYNC + "function" + _NAME,
+            _EXPORT + "(?:const|let|var)" + _NAME + r"\s*=\s*" + _ASYNC + r"\(",
+        )
+    )
 )
 
 
@@ -57,10 +65,9 @@ def at_blank_lines(code: str, most: int, count=None) -> list[str]:
 
 
 def split_code(code: str, language: str = "", most: int = 256, count=None) -> list[str]:
-    if not code.strip():
-        return []
-    if count is not None and count(code) <= most:
-        return [code]
+    fits = count is not None and count(code) <= most
+    if fits or not code.strip():
+        return [code] if code.strip() else []
     if language.lower() in ("", "py", "python"):
         parts = at_definitions(code, most, count)
         if parts:

@@ -51,7 +51,7 @@ def heading_like(text: Column, words: Column) -> Column:
 
 def font_size(style: Column) -> Column:
     """struct(value, unit) of an inline style, or null."""
-    p = r"(?i)font-size\s*:\s*([0-9.]+)(em|rem|%|pt|px)"
+    p = "(?i)font-size" + r"\s*:\s*" + "([.0-9]+)(%|r?em|p[tx])"
     v, u = F.regexp_extract(style, p, 1), F.lower(F.regexp_extract(style, p, 2))
     return F.when(u != "", F.struct(v.try_cast("double").alias("value"), u.alias("unit")))
 

@@ -98,10 +98,10 @@ def _clean(s: str) -> str:
 
     s = re.sub(r"<[^>]+>", "", _INVISIBLE.sub("", unicodedata.normalize("NFC", s)))
     s = re.sub(r"\s+", " ", s).strip()
-    for pattern, to in ((r"(\b\d+)([A-Z][a-z])", r"\1 \2"), (r"(\b\d+)\s+\.", r"\1."), (r"\s+([,;:!?])", r"\1"), (r"\s+([.\"')\]}])", r"\1"), (r"([(\[\"'])\s+", r"\1")):
+    for pattern, to in ((rf"(\b[0-9]+)({T.CAP}[a-z])", r"\1 \2"), (r"(\b[0-9]+)\s+\.", r"\1."), (r"\s+([,;:!?])", r"\1"), (r"\s+([.\"')\]}])", r"\1"), (r"([(\[\"'])\s+", r"\1")):
         s = re.sub(pattern, to, s)
-    s = re.sub(r"\b(?:[A-Z]\s){2,}[A-Z]\b", lambda m: m[0].replace(" ", ""), s)
-    return re.sub(r"\b([A-Z])\s(?=[A-Z]{2,}\b)", r"\1", s)
+    s = re.sub(rf"\b(?:{T.CAP}\s){{2,}}{T.CAP}\b", lambda m: m[0].replace(" ", ""), s)
+    return re.sub(rf"\b({T.CAP})\s(?={T.CAP}{{2,}}\b)", r"\1", s)
 
 
 def html_items(source: str):
@@ -187,7 +187,7 @@ def is_document_page(n_paragraphs: Column, n_words: Column, n_links: Column) ->
 def is_english(url: Column, lang: Column, title: Column) -> Column:
     """By URL, then the page's language, then its title."""
     return (
-        F.when(url.rlike(r"(?i)/eng\d+/|_en\.html?$|/en/|/english/"), True)
+        F.when(url.rlike(r"(?i)/eng[0-9]+/|_en\.html?$|/en/|/english/"), True)
         .when(F.lower(F.coalesce(lang, F.lit(""))).startswith("en"), True)
         .when(F.coalesce(lang, F.lit("")) != "", False)
         .otherwise(F.lower(title).rlike("english|catechism|new american bible"))
@@ -211,7 +211,8 @@ def format_of(path: Column) -> Column:
 
 def front_matter(content: Column) -> tuple[Column, Column]:
     """(body, map of keys and values) of a text that may start with a block between --- lines."""
-    p = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
+    bar = "-{3}" + r"\s*\n"
+    p = rf"(?s)\A{bar}(.*?)\n{bar}"
     block = F.regexp_extract(content, p, 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
     entry = F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, r"\A[^:]*:", "")).alias("v")))
@@ -314,7 +315,7 @@ def red_label_type(label: Column) -> Column:
         ("hymn", "^hymn$"), ("label", "^psalmody$"), ("antiphon", r"^ant\."), ("psalm_prayer", "^psalm.prayer$"), ("reading", r"^reading\b"),
         ("label", r"^(?:sacred\s+silence|responsory$|canticle\b|intercessions?$|concluding\s+prayer|dismissal$|blessing$)"),
         ("label", r"^(?:antiphon\s+or\s+song|examination\s+of\s+conscience)"), ("versicle", r"^opening\s+verse"), ("skip", r"^ribbon\s+placement"),
-        ("label", r"^(?:evening|invitatory|midafternoon|midday|midmorning|morning|night|office\s+of\s+readings?)\s+prayer\b"),
+        ("label", r"^(?:office\s+of\s+readings?|evening|invitatory|midafternoon|midday|midmorning|morning|night)\s+prayer\b"),
         ("label", r"^prayer\s+for\s+"),
     )
     out = F.lit("prose")

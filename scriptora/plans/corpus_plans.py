@@ -214,7 +214,7 @@ def anl_themes(spark, sf_dir):
     "anl_promulgation",
     f"""SELECT doc_id, CASE WHEN len(d) = 0 THEN '' WHEN near <> '' THEN near ELSE d[1] END AS date FROM (SELECT doc_id,
         list_sort(list_distinct({' || '.join(f"regexp_extract_all(text, '{p}')" for p in refs.DATE_PATTERNS)})) AS d,
-        regexp_extract(text, '(?i)(?:published|issued|given|promulgated?).*?((?:{refs.MONTHS})\\s+\\d{{1,2}}(?:st|nd|rd|th)?,?\\s+\\d{{4}})', 1) AS near FROM documents)""",
+        regexp_extract(text, '(?i)(?:published|issued|given|promulgated?).*?({refs.MONTH_DAY_YEAR})', 1) AS near FROM documents)""",
 )
 def anl_promulgation(spark, sf_dir):
     d = documents(spark, sf_dir).withColumn("d", refs.dates(F.col("text")))

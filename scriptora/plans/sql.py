@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from scriptora.functions.text import CAP
+
 
 def subs(expr: str, *pairs: tuple[str, str]) -> str:
     for pattern, to in pairs:
@@ -17,8 +19,8 @@ def clean(expr: str) -> str:
         ("<[^>]+>", ""),
         ("[\\s\\x{00A0}]+", " "),
         ("^ +| +$", ""),
-        (r"(\b\d+)([A-Z][a-z])", r"\1 \2"),
-        (r"(\b\d+) +\.", r"\1."),
+        (rf"(\b[0-9]+)({CAP}[a-z])", r"\1 \2"),
+        (r"(\b[0-9]+) +\.", r"\1."),
         (" +([,;:!?])", r"\1"),
         (r""" +([."'')\]}])""", r"\1"),
         (r"""([(\["'']) +""", r"\1"),

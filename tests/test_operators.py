@@ -23,7 +23,7 @@ def test_html_walk(spark):
 
 
 def text_of(h, n=3):
-    return tuple(h[f"level_{i}"] for i in range(1, n + 1))
+    return tuple(h[x] for x in text.LEVELS[:n])
 
 
 def test_markdown(spark):
