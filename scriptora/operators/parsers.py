@@ -194,12 +194,6 @@ def is_english(url: Column, lang: Column, title: Column) -> Column:
     )
 
 
-def valid_image_url(url: Column) -> Column:
-    """An http(s) URL of an image file that isn't an icon, logo, pixel or avatar."""
-    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")))
-    return url.rlike(r"(?i)^https?://") & path.rlike(r"\.(?:gif|jpe?g|png|webp)$") & ~path.rlike("avatar|favicon|icon|logo|pixel|sprite")
-
-
 def format_of(path: Column) -> Column:
     """The format by a file's extension, null if it has none of ours."""
     ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
