@@ -101,10 +101,12 @@ def fit(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGE
     y = data.lang.map({k: i for i, k in enumerate(names)}).to_numpy()
     x = []
     for at, tf in zip(data["at"], data["tf"]):
-        at = np.frombuffer(at, dtype=np.int32).astype(np.int64)
+        at = np.frombuffer(at, dtype=np.int32)
         v = np.frombuffer(tf, dtype=np.float32) * idf[at]
-        x.append((np.append(at, FEATURES), np.append(SCALE * v / max(v.sum(), 1e-9), 1.0)))
+        # 32 bits each: the sample is the largest thing that the driver holds
+        x.append((np.append(at, np.int32(FEATURES)), np.append(SCALE * v / max(v.sum(), 1e-9), 1.0).astype(np.float32)))
     held = (data.r % 5 == 0).to_numpy()
+    del data
     model = Ftrl(len(names), FEATURES, l1=0.02, l2=0.1)
     for _ in range(EPOCHS):
         for k in np.flatnonzero(~held):
