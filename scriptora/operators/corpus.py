@@ -52,29 +52,51 @@ def match_sources(sessions: DataFrame, files: DataFrame) -> DataFrame:
     return j.withColumn("rank", rank).withColumn("r", F.row_number().over(w)).where("r = 1").select("session", "path")
 
 
-def balance(records: DataFrame) -> DataFrame:
-    """As many rows of each label as the rarest has: those of the highest quality, then the smallest id."""
+def _hash(seed: int) -> Column:
+    return F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("chunk_id").cast("string")).cast("binary"))
+
+
+def global_rank(df: DataFrame, key: list[str], buckets: list[str], order: list) -> DataFrame:
+    """df with __rank (from 1, within a key) and __size (of the key), exact, without a window over a whole key.
+
+    buckets: columns that are few and agree with the order. Rows are ranked within their bucket; what comes before a bucket
+    is a running sum over the buckets' counts. A key that holds most rows is thus spread over all of its buckets.
+    """
+    counts = df.groupBy(*key, *buckets).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__n").over(w.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"__before": before, "__size": F.sum("__n").over(w)}).drop("__n")
+    local = df.withColumn("__local", F.row_number().over(Window.partitionBy(*key, *buckets).orderBy(*order)))
+    same = F.lit(True)
+    for c in (*key, *buckets):
+        same = same & local[c].eqNullSafe(counts[c])
+    j = local.join(counts, same).drop(*[counts[c] for c in (*key, *buckets)])
+    return j.withColumn("__rank", F.col("__before") + F.col("__local")).drop("__before", "__local")
+
+
+def balance(records: DataFrame, seed: int = 42) -> DataFrame:
+    """As many rows of each label as the rarest has: those of the highest quality (to four places), then by a seeded hash."""
     fewest = records.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n").alias("__fewest"))
-    w = Window.partitionBy("label").orderBy(F.desc_nulls_last("quality_score"), "chunk_id")
-    ranked = records.withColumn("__r", F.row_number().over(w))
-    return ranked.join(F.broadcast(fewest), F.col("__r") <= F.col("__fewest")).drop("__r", "__fewest")  # one row
+    r = records.withColumns({"__worse": -F.round(F.coalesce("quality_score", F.lit(-1.0)), 4), "__h": _hash(seed)})
+    r = r.withColumn("__part", F.substring("__h", 1, 2))
+    ranked = global_rank(r, ["label"], ["__worse", "__part"], ["__h", "chunk_id"])
+    return ranked.join(F.broadcast(fewest), F.col("__rank") <= F.col("__fewest")).select(*records.columns)  # one row
 
 
 def train_test_split(records: DataFrame, test_size: float = 0.2, stratify: bool = True, seed: int = 42, label: str = "label") -> DataFrame:
     """records with split: a fixed share of each label by the order of a seeded hash of the id, the same on every run."""
-    key = [label] if stratify else []
-    h = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("chunk_id").cast("string")).cast("binary"))
-    part = Window.partitionBy(*key) if key else Window.partitionBy(F.lit(0))
-    r, n = F.row_number().over(part.orderBy(h, "chunk_id")), F.count("*").over(part)
-    return records.withColumn("split", F.when(r <= F.ceil(n * F.lit(test_size)), "test").otherwise("train"))
+    r = records.withColumn("__h", _hash(seed)).withColumn("__part", F.substring("__h", 1, 3))
+    ranked = global_rank(r, [label] if stratify else [], ["__part"], ["__h", "chunk_id"])
+    split = F.when(F.col("__rank") <= F.ceil(F.col("__size") * F.lit(test_size)), "test").otherwise("train")
+    return ranked.withColumn("split", split).select(*records.columns, "split")
 
 
 def diversity_sample(chunks: DataFrame, annotated: DataFrame, size: int, deciles: int = 10, seed: int = 42) -> DataFrame:
     """Unlabelled chunks, round robin over the deciles of their quality; a score of 1 is in none and comes last."""
     u = chunks.join(annotated.select("chunk_id"), "chunk_id", "left_anti")
     d = F.floor(F.coalesce("quality_score", F.lit(0.5)) * deciles)
-    h = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("chunk_id").cast("string")).cast("binary"))
-    w = Window.partitionBy("decile").orderBy(h)
+    w = Window.partitionBy("decile").orderBy(_hash(seed))
+    # a rank bound against a number: Spark keeps the first of each decile before the shuffle
     u = u.withColumn("decile", d).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= size)
     return u.orderBy((F.col("decile") >= deciles).cast("int"), "turn", "decile").limit(size)
 

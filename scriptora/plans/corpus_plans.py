@@ -286,7 +286,7 @@ def agg_corpus_statistics(spark, sf_dir):
 
 @register(
     "ml_balance",
-    f"""WITH {_CHUNKS}, {_NOTES}, j AS (SELECT chunk_id, label, row_number() OVER (PARTITION BY label ORDER BY quality_score DESC, chunk_id) AS r FROM chunks JOIN notes USING (chunk_id)),
+    f"""WITH {_CHUNKS}, {_NOTES}, j AS (SELECT chunk_id, label, row_number() OVER (PARTITION BY label ORDER BY round(quality_score, 4) DESC, sha1('42|' || chunk_id::VARCHAR), chunk_id) AS r FROM chunks JOIN notes USING (chunk_id)),
         m AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM j GROUP BY label)) SELECT chunk_id, label FROM j, m WHERE r <= k""",
 )
 def ml_balance(spark, sf_dir):

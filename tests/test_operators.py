@@ -250,3 +250,15 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     spark.createDataFrame([(3, "third")], "doc_id long, text string").write.mode("append").parquet(src)
     go()
     assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["one line", "second", "third"]
+
+
+def test_global_rank_is_a_rank(spark):
+    rows = [(i, "a" if i % 3 else None, i * 7919 % 1000) for i in range(500)]
+    d = spark.createDataFrame(rows, "chunk_id int, label string, v int").withColumn("b", F.floor(F.col("v") / 100))
+    for key in (["label"], []):
+        got = {r.chunk_id: (r["__rank"], r["__size"]) for r in corpus.global_rank(d, key, ["b"], ["v", "chunk_id"]).collect()}
+        want = {}
+        for k in {r[1] if key else 0 for r in rows}:
+            mine = sorted((r[2], r[0]) for r in rows if not key or r[1] == k)
+            want.update({i: (n, len(mine)) for n, (_, i) in enumerate(mine, 1)})
+        assert got == want
