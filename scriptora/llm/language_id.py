@@ -77,7 +77,8 @@ def fit(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGE
     share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, 3 * each / counts[k])))])
     h = F.xxhash64("text")
     picked = (
-        rows.where((F.pmod(h, F.lit(1 << 20)) / (1 << 20)) < F.get(F.array(F.element_at(share, F.col("lang"))), F.lit(0)))
+        rows.where((F.pmod(h, F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang")))
+        .distinct()  # copies share their hash: a hot text would else come whole into one window
         .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "text")))
         .where(F.col("r") <= each)
     )

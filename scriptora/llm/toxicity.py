@@ -7,7 +7,8 @@ follow-the-regularised-leader with elastic-net penalties over at most SAMPLE lab
 both classes at most; that bound is a parameter, everything else covers all rows.
 
 Null and empty texts score as the bias alone. Without labelled rows every score is 0. Repeated rows each give a row;
-only the named columns are read; texts are used whole. Of several labels of one id the highest counts.
+only the named columns are read; texts are used whole. Of several labels of one id the highest counts, of several texts
+of one id the last in order is learned from.
 """
 
 from __future__ import annotations
@@ -117,11 +118,12 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, sample: int = SAMPLE,
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = (
         d.join(F.broadcast(picked), "doc_id")  # at most ``sample`` rows
+        .groupBy("doc_id", "toxic")
+        .agg(F.max("text").alias("text"))  # one text for each id, however often it is repeated
         .select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
         .mapInArrow(run, "toxic int, h long, at binary, others array<binary>")
         .toPandas()
         .sort_values(["h"], ignore_index=True)
-        .head(2 * sample)
     )
     if not len(got):
         return None
