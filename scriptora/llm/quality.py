@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from scriptora.llm.common import SPACES, written
 
-SUPPORT, STEPS, CUTOFF, LEAST, CHI2_MEDIAN = 0.75, 4, 60.0, 50, 4.3515  # the chi-square with 5 degrees
+SUPPORT, STEPS, LEAST = 0.75, 4, 50
+#: Quantiles of the chi-square with 5 degrees, at 0.5 and 0.999.
+CHI2_MEDIAN, CUTOFF = 4.3515, 20.515
 DIMS = ("x_length", "x_symbols", "x_lines", "x_repeats", "x_words")
-#: Least standard deviation of a statistic (one repeated line of a short text is within it), and by how much a junk
-#: statistic has to exceed the mean.
-FLOOR, MARGIN = (0.05, 0.03, 0.25, 0.2, 0.5), (0.25, 0.1, 0.5, 0.5, None)
+#: Least standard deviation of a statistic, and by how much a junk statistic has to exceed the mean. Root shares of
+#: repeated lines reach 1 and those of repeated words 0.7 after the base rule, so each floor lets its statistic alone
+#: exceed CUTOFF; one repeated line of three stays below.
+FLOOR, MARGIN = (0.05, 0.03, 0.13, 0.1, 0.5), (0.25, 0.1, 0.5, 0.5, None)
 #: Statistics for which small values are as unusual as large ones.
 TWO_SIDED = ("x_length",)
 

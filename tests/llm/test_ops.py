@@ -201,6 +201,23 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert sum(not v for v in got.values()) == 20
 
 
+def test_quality_rejects_for_repeated_lines_or_words_alone(spark):
+    import random
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(some(10) for _ in range(rng.randint(6, 40))), "en", "a") for i in range(400)]
+    # a short line again and again between long ones, but no 3 words twice
+    rows += [(1000 + i, "\n".join(some(3) + "\nabcd" for _ in range(80)), "en", "a") for i in range(10)]
+    # one phrase again and again, but no line twice
+    rows += [(2000 + i, some(170) + (" " + some(20)) * 7, "en", "a") for i in range(10)]
+    out = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in out)
+    assert all(r.n_repeat_words == 0 for r in out if r.doc_id // 1000 == 1) and all(r.n_dup_lines == 0 for r in out if r.doc_id >= 2000)
+    assert {r.doc_id for r in out if not r.kept} == {r[0] for r in rows if r[0] >= 1000}
+
+
 # --- 5
 
 
