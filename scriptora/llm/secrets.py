@@ -98,9 +98,9 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES,
         done = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         first = first.join(done, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("done", F.array().cast("array<string>")))).where("size(todo) > 0").drop("done")
     path = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("path")
-    # one path of each blob brings the text; rows repeated with the same path and text are scanned once
-    texts = d.select(path, "blob", "text").join(first.hint("shuffle_hash"), ["path", "blob"])
-    found = _scan(texts, rules).withColumn("spans", F.array_distinct("spans"))
+    # one path of each blob brings the text; of rows repeated with the same path and text (or null ids) one is scanned
+    texts = d.select(path, "blob", "text").dropDuplicates(["path", "blob"]).join(first.hint("shuffle_hash"), ["path", "blob"])
+    found = _scan(texts, rules)
     return first.select("blob", F.col("todo").alias("rules")).join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 

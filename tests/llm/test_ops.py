@@ -298,6 +298,15 @@ def test_secrets(spark, docs, rows, empty):
     assert secrets.findings(empty).count() == 0
 
 
+def test_secrets_of_repeated_rows(spark):
+    a, b = "x token=abcdefghij and secret: 12345678 y", "é password=abcdefgh99 z " + "deadbeef" * 5 + " token=zyxwvuts1"
+    d = spark.createDataFrame([(1, a), (1, a), (1, a), (None, b), (None, b), (2, "clean"), (2, "clean")], "doc_id long, text string")
+    got = [(r.blob, tuple((s.start, s.rank, s.end) for s in r.spans)) for r in secrets.findings(d).collect()]
+    want = [(hashlib.sha256(t.encode()).hexdigest(), tuple(base_spans(t))) for t in (a, a, a, b, b, "clean", "clean")]
+    assert sorted(got) == sorted(want)
+    assert sorted(r.text for r in secrets.redact(d).collect()) == sorted(["x [SECRET] and [SECRET] y"] * 3 + ["é [SECRET] z [SECRET] [SECRET]"] * 2 + ["clean"] * 2)
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     first = secrets.update_ledger(docs).cache()
     assert first.count() == docs.selectExpr("coalesce(text, '')").distinct().count()
