@@ -9,8 +9,9 @@ text is rejected if its squared Mahalanobis distance exceeds CUTOFF and it is wo
 statistic of junk (symbols, repeated lines, repeated words, unusual word lengths) by more than that statistic's margin.
 
 All estimates cover all rows that pass the base rule and are aggregates by group: partial sums and quantile sketches
-are merged map-side, so a hot group never meets in one task. Groups of fewer than LEAST rows reject nothing beyond the
-base rule. Null texts have no words and null languages or sources form their own group. Repeated rows each give a
+are merged map-side, so a hot group never meets in one task. Rows of a group with fewer than LEAST of these rows are
+judged by a pooled estimate: that of their language's rows, or of all rows if the language has fewer than LEAST too
+(of the group columns, one more is left out from the right each time). Null texts have no words and null languages or sources form their own group. Repeated rows each give a
 row; only the named columns are read. Windows are compared by 64-bit hashes within a text.
 """
 
@@ -147,14 +148,44 @@ def _join(rows: DataFrame, per_group: DataFrame, groups: list[str]) -> DataFrame
     return rows.join(per_group, cond, "left").drop(*[per_group[g] for g in groups])
 
 
+def _levels(stats: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group: level, how many of its columns its estimate goes by, and feeds, the levels of the estimates it is part of."""
+    size = written(stats.groupBy(*groups).agg(F.count_if(~F.col("base_failed")).alias("size")), "groups")
+
+    def with_prefix(out, of, k, agg):
+        """out with an aggregate over the groups of ``of`` that agree in the first k columns."""
+        some = of.groupBy(*[F.col(g).alias(f"p_{g}") for g in groups[:k]]).agg(agg)
+        same = F.lit(True)
+        for g in groups[:k]:
+            same = same & F.col(g).eqNullSafe(F.col(f"p_{g}"))
+        return out.join(some, same, "left").drop(*[f"p_{g}" for g in groups[:k]])
+
+    out, level = size, F.lit(0)
+    for k in range(1, len(groups) + 1):
+        out = with_prefix(out, size, k, F.sum("size").alias(f"n{k}"))
+        level = F.when(F.col(f"n{k}") >= LEAST, F.lit(k)).otherwise(level)
+    out = level_of = written(out.select(*groups, level.alias("level")), "levels")
+    for k in range(len(groups) + 1):
+        out = with_prefix(out, level_of, k, F.max(F.col("level") == k).alias(f"used{k}"))
+    feeds = F.array(*[F.when(F.col(f"used{k}"), F.lit(k)) for k in range(len(groups) + 1)])
+    return written(out.select(*groups, "level", F.filter(feeds, lambda k: k.isNotNull()).alias("feeds")), "feeds")
+
+
+def _at_level(groups: list[str]) -> list[Column]:
+    """The names of an estimate: its level and as many of the columns."""
+    return [F.col("level"), *[F.when(F.col("level") > i, F.col(g)).alias(f"e_{g}") for i, g in enumerate(groups)]]
+
+
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
-    """The columns of statistics() with distance (squared, scaled; null if its group has no estimate) and kept."""
-    groups = [f"g{i}" for i in range(len(group_cols))]
+    """The columns of statistics() with distance (squared, scaled; null if no row passes the base rule) and kept."""
+    by = [f"g{i}" for i in range(len(group_cols))]
     stats = vector(written(statistics(docs, id_col, text_col, group_cols), "statistics"))
-    good = stats.where(~F.col("base_failed"))
+    stats = _join(stats, _levels(stats, by), by)
+    good = stats.where(~F.col("base_failed")).withColumn("level", F.explode("feeds")).select(*_at_level(by), *DIMS)
+    groups = ["level", *[f"e_{g}" for g in by]]
     q = lambda c, at, name: F.percentile_approx(c, at, 1000).alias(name)
-    median = written(good.groupBy(*groups).agg(F.count("*").alias("size"), *[q(x, 0.5, f"m_{x}") for x in DIMS]), "medians")
-    centred = _join(good, median.where(F.col("size") >= LEAST), groups).where("size is not null")
+    median = written(good.groupBy(*groups).agg(*[q(x, 0.5, f"m_{x}") for x in DIMS]), "medians")
+    centred = _join(good, median, groups)
     first = sum(((F.col(x) - F.col(f"m_{x}")) / F.lit(f)) ** 2 for x, f in zip(DIMS, FLOOR))
     d = centred.select(*groups, *DIMS, first.alias("d2"))
     per_group = None
@@ -166,7 +197,7 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", te
         d = d.select(*groups, *DIMS, _distance(lambda x: f"m_{x}").alias("d2"))
     scale = written(d.groupBy(*groups).agg(q("d2", 0.5, "middle")), "scale")
     per_group = _join(per_group, scale, groups)
-    out = _join(stats, per_group, groups)
+    out = _join(stats.select("*", *_at_level(by)[1:]), per_group, groups)
     distance = _distance(lambda x: f"m_{x}") * F.least(F.lit(1.0), CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(1e-9)))
     worse = F.lit(False)
     for x, m in zip(DIMS, MARGIN):

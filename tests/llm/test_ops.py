@@ -218,6 +218,24 @@ def test_quality_rejects_for_repeated_lines_or_words_alone(spark):
     assert {r.doc_id for r in out if not r.kept} == {r[0] for r in rows if r[0] >= 1000}
 
 
+def test_quality_judges_small_groups(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda end="": "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) + end
+    text = lambda end="": " ".join(word(end) for _ in range(rng.randint(60, 300)))
+    rows = [(i, text(), "en", "a") for i in range(200)]
+    rows += [(1000 + i, text(), "xx", f"s{i % 5}") for i in range(95)]  # few of each source, enough of the language
+    rows += [(2000 + i, text(), None, "a") for i in range(9)]  # few of the language, too
+    bad = [(3000 + i, text("###"), "xx", f"s{i}") for i in range(5)] + [(3100, text("###"), None, "a"), (3101, text("###"), "yy", None)]
+    rows += [*bad, (4000, "too short", "zz", "b")]  # no row of zz passes the base rule
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows + bad[:1], "doc_id long, text string, lang string, source string")).collect()}
+    assert {k for k, r in got.items() if not r.kept} == {r[0] for r in bad} | {4000}
+    assert all(r.distance is not None for r in got.values())
+    few = quality.verdicts(spark.createDataFrame(rows[:1] + bad[:1] + rows[2:8], "doc_id long, text string, lang string, source string")).collect()
+    assert [r.doc_id for r in few if not r.kept] == [3000]
+
+
 # --- 5
 
 
