@@ -2,9 +2,10 @@
 
 Features are character 1- to 3-grams of the lower-cased text, hashed to FEATURES cells; a cell's value is its count
 times its inverse document frequency, divided by the sum of these over the text. Document frequencies come from every
-training row. The regression is fitted by follow-the-regularised-leader with elastic-net penalties on a sample of at
-most SAMPLE training rows, the same number for each language, and calibrated by a temperature on a part held back.
-At most MAX_LANGUAGES languages are learned, the most frequent first.
+training row. The regression is fitted by follow-the-regularised-leader with elastic-net penalties on a sample of
+SAMPLE different training texts, the same number for each language, and calibrated by a temperature on a part held
+back. Every language is learned, from at least LEAST_EACH texts where it has them: only the sample is bounded, by
+SAMPLE or, for more languages, LEAST_EACH for each. The model is dense: FEATURES weights for each language.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text where no training row exists. Repeated
 rows each give a row. Only the named columns are read. Texts are used whole.
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptora.llm.common import id_and_text
+from scriptora.llm.common import id_and_text, written
 from scriptora.llm.ftrl import Ftrl, softmax, temperature
 
-FEATURES, ORDERS, SAMPLE, MAX_LANGUAGES, SCALE, EPOCHS = 1 << 16, 3, 4000, 200, 30.0, 3
+FEATURES, ORDERS, SAMPLE, LEAST_EACH, SCALE, EPOCHS = 1 << 16, 3, 4000, 4, 30.0, 3
 PIECE = 1 << 18
 
 
@@ -64,20 +65,21 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
     return int(rows[rows.cell < 0].n.sum()), df
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> dict | None:
+def fit(rows: DataFrame, sample: int = SAMPLE) -> dict | None:
     """rows: text, lang (training rows only). The model, or None where there are no rows."""
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not langs:
+    h = F.xxhash64("text")
+    # different texts, by their hash: copies don't lessen a language's share of the others
+    sizes = written(rows.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("texts")), "languages")
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())
+    if not names:
         return None
-    names = sorted(r["lang"] for r in langs)
-    counts = {r["lang"]: r["count"] for r in langs}
     n, df = document_frequency(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    each = max(4, sample // len(names))
-    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, 3 * each / counts[k])))])
-    h = F.xxhash64("text")
+    each = max(LEAST_EACH, sample // len(names))
     picked = (
-        rows.where((F.pmod(h, F.lit(1 << 20)) / (1 << 20)) < F.element_at(share, F.col("lang")))
+        rows.join(F.broadcast(sizes), "lang")  # a row for each language, which the model has too
+        .where((F.pmod(h, F.lit(1 << 20)) / (1 << 20)) < 3 * each / F.col("texts"))
+        .select("text", "lang")
         .distinct()  # copies share their hash: a hot text would else come whole into one window
         .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(h, "text")))
         .where(F.col("r") <= each)
@@ -141,7 +143,7 @@ def classify(text: str, m: dict | None) -> tuple[str, float]:
 def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x (MAX_LANGUAGES + 1) floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x (languages + 1) floats
 
     def run(batches):
         for b in batches:

@@ -281,6 +281,31 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.predict(d, None).collect()} == {"und"}
 
 
+def test_languages_of_many_copies_are_learned(spark, monkeypatch):
+    import random
+
+    steps, step = [], language_id.Ftrl.step
+    monkeypatch.setattr(language_id.Ftrl, "step", lambda *a: (steps.append(1), step(*a)))
+
+    rng = random.Random(12)
+    text = lambda bits: " ".join("".join(rng.choice(bits) for _ in range(3)) for _ in range(30))
+    aa, bb = ["the", "and", "ing", "th"], ["der", "ung", "sch", "ö"]
+    rows = [(text(aa), "aa") for _ in range(60)] + [(text(bb), "bb") for _ in range(60)]
+    copies = spark.range(40000).select(F.lit("zzz zzz zzz").alias("text"), F.lit("aa").alias("lang"))
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string").unionByName(copies), sample=60)
+    assert len(steps) == language_id.EPOCHS * 2 * 24  # of 30 of each language, every fifth is held back
+    assert [language_id.classify(text(aa), model)[0] for _ in range(20)] == ["aa"] * 20
+    assert [language_id.classify(text(bb), model)[0] for _ in range(20)] == ["bb"] * 20
+
+
+def test_every_language_is_learned(spark):
+    text = {f"l{i:03}": chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i) for i in range(210)}
+    rows = [((t * k).strip(), lang) for lang, t in text.items() for k in range(2, 7)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), sample=40)
+    assert model["names"] == sorted(text)
+    assert language_id.classify(text["l209"] * 4, model)[0] == "l209"
+
+
 def test_document_frequency_counts_every_text(spark):
     d = spark.createDataFrame([("abc",), ("abd",), ("ABC",)], "text string").repartition(3)
     n, df = language_id.document_frequency(d)
