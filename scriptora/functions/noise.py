@@ -23,7 +23,8 @@ INDICATORS = (r"(?i)\bIbid\b", r"(?i)\bed\.\s", r"(?i)\btrans\.\s", r"(?i)\bvol\
 CITATION = r"(?m)(?:\n|^)\s*" + "([0-9]{1,3})" + rf"\.\s+({CAP}(?:\.|[a-z]+)\s*{CAP}?)"
 
 
-def _labels(x: str) -> list[str]:
+def labels(x: str) -> list[str]:
+    """The labels of a table that is written with semicolons."""
     return [" ".join(p.split()) for p in x.split(";")]
 
 
@@ -81,10 +82,10 @@ def noise_reasons(text: Column, word_count: Column, h: Column, token_count: Colu
 def front_matter(text: Column, h: Column) -> Column:
     """Why a chunk is front or back matter, or ``content``: the first rule that holds, in a fixed order."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    labels = F.array(*[_low(h, x) for x in LEVELS])
+    levels = F.array(*[_low(h, x) for x in LEVELS])
     top = _low(h, "level_1")
-    some = lambda f: F.exists(labels, f)
-    has = lambda x, names: x.rlike("|".join(n.replace(".", r"\.") for n in _labels(names)))
+    some = lambda f: F.exists(levels, f)
+    has = lambda x, names: x.rlike("|".join(n.replace(".", r"\.") for n in labels(names)))
     publisher = lambda x: x.rlike(r"\Aabout\s+(?!the\s+author)") & x.rlike("books|editions|house|media|press|publishing")
     index = lambda x: (
         x.isin("index", "geography")

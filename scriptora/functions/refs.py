@@ -17,7 +17,7 @@ DATE_PATTERNS = (
     rf"\b(?:[0-9]{{1,2}}/){{2}}{_YEAR}\b",
 )
 #: Words before a number and colon that aren't books, alphabetically; then long and short names of books.
-_NOT_BOOKS = "Art|Article|Chapter|Class|Figure|Grade|Item|Level|Line|Note|Page|Part|Phase|Round|Rule|Section|Stage|Step|Table|Type|Verse|Version"
+NOT_BOOKS = "Art|Article|Chapter|Class|Figure|Grade|Item|Level|Line|Note|Page|Part|Phase|Round|Rule|Section|Stage|Step|Table|Type|Verse|Version"
 _LONG_BOOKS = "Chronicles?|Corinthians?|John|Kings?|Peter|Thessalonians?|Timothy"
 _SHORT_BOOKS = """
 Acts Amos Chr Col Cor Dan Deut Eccl Eph Esth Ex Ezek Ezra Gal Gen Hab Hag Heb Hos Isa Jas Jer Jn Job Joel Jonah Josh
@@ -25,8 +25,10 @@ Jude Judg Kgs Lam Lev Lk Mal Mic Mk Mt Nah Neh Num Obad Pet Phil Phlm Prov Ps Re
 """.split()
 _NTH = rf"(?:[123]{_MAYBE})?"
 _VERSE = f"{_GAP}{_NUM}:{_NUM}"
+#: Any word with chapter and verse, also those of NOT_BOOKS.
+ANY_BOOK = rf"\b{_NTH}{CAP}[a-z]+\.?{_VERSE}(?:-{_NUM}(?::{_NUM})?)?"
 SCRIPTURE_PATTERNS = (
-    rf"\b{_NTH}(?!(?:{_NOT_BOOKS})\b){CAP}[a-z]+\.?{_VERSE}(?:-{_NUM}(?::{_NUM})?)?",
+    rf"\b{_NTH}(?!(?:{NOT_BOOKS})\b){CAP}[a-z]+\.?{_VERSE}(?:-{_NUM}(?::{_NUM})?)?",
     rf"(?i)\b{_NTH}(?:{_LONG_BOOKS}){_VERSE}(?:-{_NUM})?",
     rf"(?i)\b(?:{'|'.join(_SHORT_BOOKS)})\.?{_VERSE}(?:-{_NUM})?",
 )

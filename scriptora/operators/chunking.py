@@ -1,8 +1,9 @@
 """Chunking strategies: paragraphs, merged by words, by tokens with overlap, and parents with children.
 
 Paragraph rows have doc_id, paragraph_id, text, word_count, hierarchy; sentences, content_type and reference arrays
-where known. A document's paragraphs are gathered into one row, packed there, and exploded again: the only shuffle is
-the one that gathers them, and input that is nested already needs none. The packers see one section's counts at a time.
+where known. Chunking works on a document's paragraphs as the array ps of one row (paragraphs.nested() makes it within
+the row, without a shuffle); paragraphs that are rows of their own are gathered first, which is the only shuffle. Greedy
+packing is one fold over a section's counts.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scriptora.functions import text as T
 from scriptora.functions.identity import stable_id
@@ -47,38 +50,52 @@ RECOMMENDATION = TokenConfig(target_tokens=600, min_tokens=512, max_tokens=700)
 BALANCED = TokenConfig(target_tokens=450, min_tokens=400)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _starts(counts: pd.Series, limit: pd.Series) -> pd.Series:
+def _starts(counts: Column, limit: int) -> Column:
     """Where greedy packing opens a new bin: when the next item would exceed the limit and the bin isn't empty."""
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+
+    def step(a, n):
+        opens = (a["i"] == 0) | (a["total"] + n > limit)
+        return F.struct(
+            (F.when(opens, F.lit(0).cast("long")).otherwise(a["total"]) + n).alias("total"),
+            (a["i"] + 1).alias("i"),
+            F.when(opens, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"),
+        )
+
+    return F.aggregate(counts, zero, step, lambda a: a["starts"])
 
-    def one(c, most):
-        out, total = [], 0
-        for i, n in enumerate(c):
-            if i == 0 or total + n > most:
-                out.append(i)
-                total = 0
-            total += n
-        return out
 
-    return pd.Series([one(c if c is not None else [], m) for c, m in zip(counts, limit)])
+def section_of(h: Column, levels: int) -> Column:
+    """The first levels of a hierarchy; the others are ''."""
+    return F.struct(*[(h[x] if i < levels else F.lit("")).alias(x) for i, x in enumerate(T.LEVELS)])
+
+
+def gather(paragraphs: DataFrame, keep=()) -> DataFrame:
+    """One row a document: doc_id, ps in order, with the columns keep of each paragraph."""
+    item = F.struct("paragraph_id", "text", F.coalesce("word_count", F.lit(0)).cast("int").alias("word_count"), "hierarchy", *keep)
+    ps = F.array_sort(F.collect_list(item), lambda a, b: (a["paragraph_id"] - b["paragraph_id"]).cast("int"))
+    return paragraphs.groupBy("doc_id").agg(ps.alias("ps"))
 
 
 def merge_by_words(paragraphs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Sections packed into chunks of at most max_words; a longer paragraph is a chunk of its own.
 
-    Only a section's last chunk is held against min_words: a shorter one is flagged, or dropped without keep_small.
+    paragraphs: rows, or a row a document with the array ps. Only a section's last chunk is held against min_words: a
+    shorter one is flagged, or dropped without keep_small. Where paragraphs have references, sentences, types or OCR
+    marks, a chunk inherits them: references distinct in order, sentences in order, one type or 'mixed'.
     """
-    h = F.col("hierarchy")
-    kept = [h[x] if i < config.levels else F.lit("") for i, x in enumerate(T.LEVELS)]
-    section = F.struct(*[k.alias(x) for k, x in zip(kept, T.LEVELS)])
-    p = paragraphs.where(~is_skippable_section(h["level_1"]))
-    item = F.struct("paragraph_id", F.coalesce("word_count", F.lit(0)).cast("int").alias("word_count"), "text")
-    g = p.groupBy("doc_id", section.alias("hierarchy")).agg(F.array_sort(F.collect_list(item)).alias("ps"))
-    g = g.withColumn("starts", _starts(F.col("ps.word_count"), F.lit(config.max_words)))
+    if "ps" not in paragraphs.columns:
+        paragraphs = gather(paragraphs, [c for c in (*_REFS, *_FIELDS) if c in paragraphs.columns])
+    have = [f.name for f in paragraphs.schema["ps"].dataType.elementType.fields]
+    kept = F.filter("ps", lambda p: ~is_skippable_section(p["hierarchy"]["level_1"]))
+    of = lambda p: section_of(p["hierarchy"], config.levels)
+    g = paragraphs.select("doc_id", kept.alias("ps")).select("doc_id", "ps", F.explode(F.array_distinct(F.transform("ps", of))).alias("hierarchy"))
+    g = g.select("doc_id", "hierarchy", F.filter("ps", lambda p: of(p) == F.col("hierarchy")).alias("ps"))
+    g = g.withColumn("starts", _starts(F.transform("ps", lambda p: F.coalesce(p["word_count"], F.lit(0)).cast("long")), config.max_words))
     ends = lambda i: F.coalesce(F.get("starts", i + 1), F.size("ps"))
     cut = F.transform("starts", lambda s, i: F.struct(F.slice("ps", s + 1, ends(i) - s).alias("ps"), (i + 1 == F.size("starts")).alias("last")))
     c = g.select("doc_id", "hierarchy", F.explode(cut).alias("c")).select("doc_id", "hierarchy", "c.ps", "c.last")
-    packed = F.aggregate("ps", F.lit(0), lambda a, x: a + x["word_count"])
+    packed = F.aggregate("ps", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["word_count"], F.lit(0)))
     c = c.withColumn("small", F.col("last") & (packed < config.min_words))
     if not config.keep_small:
         c = c.where("not small")
@@ -97,36 +114,35 @@ def merge_by_words(paragraphs: DataFrame, config: ChunkConfig = ChunkConfig()) -
         F.size("ps").alias("source_paragraph_count"),
         F.col("ps.paragraph_id").alias("merged_paragraph_ids"),
         F.when(F.col("small"), F.array(F.lit("below_rag_minimum"))).alias("quality_flags"),
+        *[v.alias(k) for k, v in _inherited(have).items()],
     )
 
 
 _REFS = ("cross_references", "scripture_references", "dates_mentioned")
 
 
-def merge_fields(paragraphs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """chunks with what they inherit from their paragraphs: distinct references in order, sentences, type, marks, OCR."""
-    have = paragraphs.columns
-    arrays = [c for c in (*_REFS, "sentences") if c in have]
-    extra = [c for c in ("content_type", "ocr", "ocr_conf", "resolved_footnotes", "footnote_citations") if c in have]
-    part = chunks.select("doc_id", "stable_id", F.col("paragraph_id").alias("first_id"), F.posexplode("merged_paragraph_ids").alias("i", "paragraph_id"))
-    j = part.join(paragraphs.select("doc_id", "paragraph_id", *arrays, *extra), ["doc_id", "paragraph_id"])
-    g = j.groupBy("doc_id", "stable_id", "first_id").agg(F.array_sort(F.collect_list(F.struct("i", *arrays, *extra))).alias("ps"))
+#: What else a chunk can inherit.
+_FIELDS = ("sentences", "content_type", "ocr", "ocr_conf")
+
+
+def _inherited(have) -> dict[str, Column]:
+    """The columns that a chunk gets from the fields of its paragraphs ps."""
     cols = {}
-    for a in arrays:
-        flat = F.flatten(F.transform(F.col(f"ps.{a}"), lambda x: F.coalesce(x, F.array().cast("array<string>"))))
-        cols[a] = F.array_distinct(flat) if a in _REFS else flat
-    if "sentences" in arrays:
+    for a in (*_REFS, "sentences"):
+        if a in have:
+            flat = F.flatten(F.transform(F.col(f"ps.{a}"), lambda x: F.coalesce(x, F.array().cast("array<string>"))))
+            cols[a] = F.array_distinct(flat) if a in _REFS else flat
+    if "sentences" in have:
         cols["sentence_count"] = F.size(cols["sentences"])
-    if "content_type" in extra:
+    if "content_type" in have:
         kinds = F.array_distinct(F.filter(F.col("ps.content_type"), lambda x: x.isNotNull() & (x != "")))
         cols["content_type"] = F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).when(F.size(kinds) > 1, "mixed")
-    if "ocr" in extra:
+    if "ocr" in have:
         cols["ocr"] = F.when(F.exists(F.col("ps.ocr"), lambda x: x.isNotNull()), True)
-    if "ocr_conf" in extra:
+    if "ocr_conf" in have:
         known = F.filter(F.col("ps.ocr_conf"), lambda x: x.isNotNull())
         cols["ocr_conf"] = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
-    g = g.select("doc_id", "stable_id", F.col("first_id").alias("paragraph_id"), *[c.alias(k) for k, c in cols.items()])
-    return chunks.join(g, ["doc_id", "stable_id", "paragraph_id"], "left")
+    return cols
 
 
 def count_tokens(text: str) -> int:
@@ -254,12 +270,21 @@ _NESTED = "array<struct<paragraph_id:int,text:string,word_count:int,hierarchy:st
 
 
 def nest(paragraphs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, ps. Missing types are prose; missing sentences are split from the text."""
-    have = paragraphs.columns
-    kind = F.coalesce(F.col("content_type"), F.lit("prose")) if "content_type" in have else F.lit("prose")
-    sents = F.col("sentences") if "sentences" in have else T.sentences(F.col("text"))
-    item = F.struct(F.col("paragraph_id").cast("int").alias("paragraph_id"), "text", F.col("word_count").cast("int").alias("word_count"), "hierarchy", kind.alias("content_type"), sents.alias("sentences"))
-    return paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(item), lambda a, b: a["paragraph_id"] - b["paragraph_id"]).cast(_NESTED).alias("ps"))
+    """One row a document: doc_id, ps. Missing types are prose; missing sentences are split from the text.
+
+    paragraphs: rows, or a row a document with the array ps.
+    """
+    have = set(paragraphs.columns)
+    if "ps" not in have:
+        paragraphs = gather(paragraphs, [c for c in ("content_type", "sentences") if c in have])
+    have = [f.name for f in paragraphs.schema["ps"].dataType.elementType.fields]
+
+    def item(p):
+        kind = F.coalesce(p["content_type"], F.lit("prose")) if "content_type" in have else F.lit("prose")
+        sents = p["sentences"] if "sentences" in have else T.sentences(p["text"])
+        return F.struct(p["paragraph_id"].cast("int").alias("paragraph_id"), p["text"].alias("text"), p["word_count"].cast("int").alias("word_count"), p["hierarchy"].alias("hierarchy"), kind.alias("content_type"), sents.alias("sentences"))
+
+    return paragraphs.select("doc_id", F.transform("ps", item).cast(_NESTED).alias("ps"))
 
 
 def _rows(nested: DataFrame, f, schema: str, cols: list[str]) -> DataFrame:
@@ -267,16 +292,25 @@ def _rows(nested: DataFrame, f, schema: str, cols: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [(i, *r) for i, ps in zip(b["doc_id"], b["ps"]) for r in f([_plain(p) for p in ps])]
-            yield pd.DataFrame(out, columns=["doc_id", *cols])
+            # a document at a time as plain lists and dicts; rows go out by the thousand
+            out: list[tuple] = []
+            for i, ps in zip(b.column(0).to_pylist(), b.column(1)):
+                out += [(i, *r) for r in f(ps.as_py() or [])]
+                if len(out) > 2000:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
+    batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", *cols])
+    types = [f.type for f in to_arrow_schema(_parse(f"doc_id {kind}, {schema}"))]
+    return nested.select("doc_id", "ps").mapInArrow(run, f"doc_id {kind}, {schema}")
 
-    return nested.select("doc_id", "ps").mapInPandas(run, f"doc_id {kind}, {schema}")
 
+def _parse(ddl: str):
+    from pyspark.sql.types import StructType
 
-def _plain(p) -> dict:
-    p = p if isinstance(p, dict) else p.asDict(recursive=True)
-    s = p.get("sentences")
-    return p | {"sentences": [] if s is None else list(s)}
+    return StructType.fromDDL(ddl)
 
 
 def token_aware(nested: DataFrame, cfg: TokenConfig = TokenConfig()) -> DataFrame:

@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptora.functions.text import WS
+from scriptora.sources.shared import checkpointed
+
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The last row of each key: an aggregate, so that a hot key's rows are reduced before they are moved."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("last")
+    return rows.groupBy(F.col(key).alias("of")).agg(last).select("last.*")
 
 
 def latest_edits(edits: DataFrame) -> DataFrame:
@@ -232,10 +235,25 @@ def add_to_index(index: DataFrame, found: DataFrame) -> DataFrame:
 
 def deduplicate(paragraphs: DataFrame) -> DataFrame:
     """One row of each text (white space folded) and hierarchy in a document: that of the lowest paragraph_id."""
-    folded = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    # a hash of the text is what is shuffled and compared; the text itself only breaks ties
-    w = Window.partitionBy("doc_id", F.xxhash64(folded), F.length(folded), folded, "hierarchy").orderBy("paragraph_id")
-    return paragraphs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    first = F.min_by(F.struct(*paragraphs.columns), "paragraph_id").alias("first")
+    same = F.sha2(F.encode(_folded(F.col("text")), "UTF-8"), 256)
+    return paragraphs.groupBy(F.col("doc_id").alias("of"), same.alias("same"), F.col("hierarchy").alias("h")).agg(first).select("first.*")
+
+
+def _folded(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, WS + "+", " "))
+
+
+def deduplicate_nested(nested: DataFrame) -> DataFrame:
+    """The rows (doc_id, ps) with the first of each text (white space folded) and hierarchy, in order: no shuffle."""
+    keys = F.transform("ps", lambda p, i: F.struct(_folded(p["text"]).alias("text"), p["hierarchy"].alias("hierarchy"), i.alias("i")))
+
+    def firsts(s: Column) -> Column:
+        other = lambda x, k: (k == 0) | (x["text"] != F.get(s, k - 1)["text"]) | (x["hierarchy"] != F.get(s, k - 1)["hierarchy"])
+        return F.array_sort(F.transform(F.filter(s, other), lambda x: x["i"]))
+
+    at = F.get(F.transform(F.array(F.array_sort(keys)), firsts), F.lit(0))
+    return nested.withColumn("ps", F.transform(at, lambda i: F.get("ps", i)))
 
 
 def mark_front_matter(chunks: DataFrame, reason: Column, remove: bool, safe: float = 0.9) -> DataFrame:
@@ -264,7 +282,8 @@ def crawl(seeds: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
     frontier = seen
     for d in range(1, depth + 1):
         step = frontier.join(links, frontier["url"] == links["src"]).select(F.col("dst").alias("url")).distinct()
-        frontier = step.join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        # kept: else each level would run all levels before it again, twice
+        frontier = checkpointed(step.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -11,7 +11,8 @@ from scriptora.functions.identity import stable_id
 
 def paragraph_texts(c: Column) -> Column:
     """The cleaned lines of a text that aren't empty."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), text.clean_text), lambda x: x != "")
+    lines = F.split(text.nfc(F.coalesce(c, F.lit(""))), "\n")  # a line end composes with nothing
+    return F.filter(F.transform(lines, text.tidy), lambda x: x != "")
 
 
 def from_lines(docs: DataFrame, h: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
@@ -21,6 +22,17 @@ def from_lines(docs: DataFrame, h: Column | None = None, id_col: str = "doc_id",
     return d.select("doc_id", *keep, (F.col("i") + 1).alias("paragraph_id"), "text", text.word_count(F.col("text")).alias("word_count"), "hierarchy")
 
 
+def nested(docs: DataFrame, h: Column | None = None, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
+    """doc_id, the columns keep, ps: the paragraphs of from_lines() as an array (paragraph_id, text, word_count, hierarchy).
+
+    What works on a document's paragraphs in order takes them from here, so that they never leave their row.
+    """
+    h = text.no_hierarchy() if h is None else h
+    d = docs.select(F.col(id_col).alias("doc_id"), *keep, h.alias("hierarchy"), paragraph_texts(F.col(text_col)).alias("texts"))
+    item = lambda x, i: F.struct((i + 1).alias("paragraph_id"), x.alias("text"), text.word_count(x).alias("word_count"), F.col("hierarchy").alias("hierarchy"))
+    return d.select("doc_id", *keep, F.transform("texts", item).alias("ps"))
+
+
 def enrich(paragraphs: DataFrame, tag: str = "p", content_type: str = "prose") -> DataFrame:
     """Every field of a chunk, from doc_id, paragraph_id, text and hierarchy; a source_tag or content_type that is there stays."""
     have = set(paragraphs.columns)

@@ -14,18 +14,25 @@ MOST_UNDO = 50
 
 
 def effective_events(events: DataFrame, most: int = MOST_UNDO) -> DataFrame:
-    """The set events that no undo took back. An undo takes the last event that still stands, of at most ``most``.
+    """The set events that no undo took back: an undo takes the last one on a stack that holds the last ``most``.
 
-    Walking back from the end, an event stands if no more undos than sets come after it in any stretch: with u the running
-    sum of +1 for undo and -1 for set from the end, it falls exactly if u before it is above all that u was before.
+    Sets and undos match like brackets. The depth of the stack without a bound is the running sum of sets and undos
+    above its least value so far (an undo of an empty stack does nothing). The bracket that follows a set at its own level
+    is the undo that takes it, unless the level ``most`` above was reached before: then the bounded stack had dropped it.
     """
-    back = Window.partitionBy("session").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    e = events.withColumn("__u", F.sum(F.when(F.col("kind") == "undo", 1).otherwise(-1)).over(back))
-    # an undo with nothing left to take is void; sets match the nearest undo after them, like brackets
-    low = F.min("__u").over(back.rowsBetween(Window.unboundedPreceding, -1))
-    stands = (F.col("kind") == "set") & (F.col("__u") < F.least(F.coalesce(low, F.lit(0)), F.lit(0)))
-    newer = F.count("*").over(Window.partitionBy("session").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
-    return e.withColumn("__s", stands | (newer >= 2 * most)).where("__s and kind = 'set'").drop("__u", "__s")
+    by_seq = Window.partitionBy("session").orderBy("seq")
+    so_far = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_set = F.col("kind") == "set"
+    e = events.select("session", "seq", is_set.alias("is_set"), F.sum(F.when(is_set, 1).otherwise(-1)).over(so_far).alias("sum"))
+    e = e.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far)))
+    e = e.withColumn("before", F.coalesce(F.lag("depth").over(by_seq), F.lit(0))).where("is_set or before > 0")
+    level = F.when(F.col("is_set"), F.col("depth")).otherwise(F.col("before"))
+    own = F.struct(level.alias("level"), F.when(F.col("is_set"), "set").otherwise("undo").alias("role"))
+    over = F.when(F.col("is_set") & (F.col("depth") > most), F.struct((level - most).alias("level"), F.lit("over").alias("role")))
+    roles = e.select("session", "seq", F.explode(F.array_compact(F.array(own, over))).alias("r")).select("session", "seq", "r.level", "r.role")
+    then = F.lead("role").over(Window.partitionBy("session", "level").orderBy("seq"))
+    gone = roles.withColumn("then", then).where("role = 'set' and then = 'undo'").select("session", "seq")
+    return events.where(is_set).join(gone, ["session", "seq"], "left_anti")
 
 
 def current_labels(events: DataFrame, most: int = MOST_UNDO) -> DataFrame:

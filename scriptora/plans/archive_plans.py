@@ -13,11 +13,18 @@ from scriptora.registry import register
 
 @register(
     "ses_current_labels",
-    """SELECT user_id AS session, CAST(event_id % 50 AS BIGINT) AS chunk_id, arg_max(event_type, event_id) AS label FROM events WHERE event_type <> 'error' GROUP BY ALL""",
+    """WITH RECURSIVE e AS (SELECT user_id % 20 AS session, event_id AS seq, event_id % 50 AS chunk_id, event_type, event_type = 'error' OR event_id % 3 = 0 AS undo,
+         row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS i FROM events),
+       r AS (SELECT session, i, CASE WHEN undo THEN [] ELSE [seq] END AS stack, NULL::BIGINT AS popped FROM e WHERE i = 1
+         UNION ALL SELECT e.session, e.i, CASE WHEN undo THEN stack[:len(stack) - 1] ELSE list_append(stack, seq)[greatest(1, len(stack) - 48):] END, CASE WHEN undo THEN stack[len(stack)] END
+         FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1)
+       SELECT session, CAST(chunk_id AS BIGINT) AS chunk_id, arg_max(event_type, seq) AS label FROM e WHERE NOT undo AND seq NOT IN (SELECT popped FROM r WHERE popped IS NOT NULL) GROUP BY ALL""",
 )
 def ses_current_labels(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
-    e = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("chunk_id"), F.lit("set").alias("kind"), F.col("event_type").alias("label"))
+    # errors and every third event take the one before back
+    undo = (F.col("event_type") == "error") | (F.col("event_id") % 3 == 0)
+    e = table(spark, sf_dir, "events").withColumn("kind", F.when(undo, "undo").otherwise("set"))
+    e = e.select((F.col("user_id") % 20).alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("chunk_id"), "kind", F.col("event_type").alias("label"))
     return sessions.current_labels(e)
 
 

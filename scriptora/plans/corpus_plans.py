@@ -8,7 +8,7 @@ from scriptora.functions import identity, refs, text
 from scriptora.operators import analysis, chunking, corpus, parsers
 from scriptora.operators.paragraphs import enrich
 from scriptora.plans import sql
-from scriptora.plans.text_plans import documents, paragraphs
+from scriptora.plans.text_plans import PLANTED_SQL, documents, nested_paragraphs, paragraphs, planted
 from scriptora.registry import register
 
 
@@ -33,7 +33,7 @@ def _packed_sql(most: int) -> str:
         k AS source_paragraph_count, source || ' / ' || lang AS heading_path, small FROM f""",
 )
 def chk_rag(spark, sf_dir):
-    c = chunking.merge_by_words(paragraphs(spark, sf_dir))
+    c = chunking.merge_by_words(nested_paragraphs(spark, sf_dir))
     return c.select(
         "doc_id",
         F.col("paragraph_id").cast("long").alias("paragraph_id"),
@@ -50,7 +50,7 @@ def chk_rag(spark, sf_dir):
     f"WITH {_packed_sql(300)} SELECT source, count(*) AS n, CAST(sum(n) AS BIGINT) AS words, max(k) AS most FROM f WHERE NOT small GROUP BY source",
 )
 def chk_rag_drop_small(spark, sf_dir):
-    c = chunking.merge_by_words(paragraphs(spark, sf_dir), chunking.ChunkConfig(max_words=300, keep_small=False))
+    c = chunking.merge_by_words(nested_paragraphs(spark, sf_dir), chunking.ChunkConfig(max_words=300, keep_small=False))
     g = c.groupBy(F.col("hierarchy.level_1").alias("source"))
     words = F.size(text.words(F.col("text")))
     return g.agg(F.count("*").alias("n"), F.sum(words).cast("long").alias("words"), F.max("source_paragraph_count").cast("long").alias("most"))
@@ -58,12 +58,12 @@ def chk_rag_drop_small(spark, sf_dir):
 
 @register("chk_token_aware")
 def chk_token_aware(spark, sf_dir):
-    return chunking.token_aware(chunking.nest(paragraphs(spark, sf_dir)))
+    return chunking.token_aware(chunking.nest(nested_paragraphs(spark, sf_dir)))
 
 
 @register("chk_small_to_big")
 def chk_small_to_big(spark, sf_dir):
-    return chunking.parents_and_children(chunking.nest(paragraphs(spark, sf_dir)), chunking.TokenConfig(max_tokens=128))
+    return chunking.parents_and_children(chunking.nest(nested_paragraphs(spark, sf_dir)), chunking.TokenConfig(max_tokens=128))
 
 
 @register("chk_rechunk")
@@ -79,8 +79,8 @@ def agg_rechunk_statistics(spark, sf_dir):
 
 @register("chk_merged_fields")
 def chk_merged_fields(spark, sf_dir):
-    p = enrich(paragraphs(spark, sf_dir))
-    return chunking.merge_fields(p, chunking.merge_by_words(p)).select("doc_id", "stable_id", "paragraph_id", "sentence_count", "content_type", "dates_mentioned")
+    c = chunking.merge_by_words(enrich(paragraphs(spark, sf_dir)))
+    return c.select("doc_id", "stable_id", "paragraph_id", "sentence_count", "content_type", "dates_mentioned")
 
 
 @register(
@@ -140,13 +140,12 @@ def src_links(spark, sf_dir):
 
 @register(
     "src_crawl",
-    """WITH RECURSIVE links AS (SELECT l_suppkey % 200 AS src, l_partkey % 200 AS dst FROM lineitem WHERE l_orderkey < 400),
+    """WITH RECURSIVE links AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
        r AS (SELECT 1 AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN links ON src = url WHERE depth < 3)
        SELECT CAST(url AS BIGINT) AS url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url""",
 )
 def src_crawl(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 400")  # the links of this small graph, not a cap on the crawl
-    links = li.select((F.col("l_suppkey") % 200).alias("src"), (F.col("l_partkey") % 200).alias("dst"))
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
     return corpus.crawl(spark.range(1, 2).withColumnRenamed("id", "url"), links)
 
 
@@ -155,8 +154,8 @@ def src_crawl(spark, sf_dir):
     f"WITH {sql.PARAGRAPHS}, k AS (SELECT doc_id, text, min(paragraph_id) AS paragraph_id FROM paragraphs GROUP BY ALL) SELECT doc_id, paragraph_id, md5(text) AS h FROM k",
 )
 def ded_paragraphs(spark, sf_dir):
-    d = corpus.deduplicate(paragraphs(spark, sf_dir))
-    return d.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), F.md5("text").alias("h"))
+    d = corpus.deduplicate_nested(nested_paragraphs(spark, sf_dir)).select("doc_id", F.explode("ps").alias("p"))
+    return d.select("doc_id", F.col("p.paragraph_id").cast("long").alias("paragraph_id"), F.md5("p.text").alias("h"))
 
 
 def _case(table_, expr: str, otherwise: str) -> str:
@@ -165,30 +164,38 @@ def _case(table_, expr: str, otherwise: str) -> str:
 
 @register(
     "anl_types",
-    f"""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'Document' WHEN len(regexp_extract_all(text, '```')) > 5 THEN 'Technical Document'
+    f"""WITH {PLANTED_SQL} SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'Document' WHEN len(regexp_extract_all(text, '```')) > 5 THEN 'Technical Document'
           WHEN len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*[0-9]') AND contains(substr(x, 1, 5), '.'))) > 10 THEN 'Manual'
           WHEN length(text) < 5000 AND contains(text, chr(10) || chr(10)) THEN 'Article' ELSE 'Document' END AS generic,
-        {_case(analysis.CHURCH_TYPES, 'lower(text)', '')} AS church, {_case(analysis.CHURCH_PLACES, 'lower(text)', '')} AS place FROM documents""",
+        {_case(analysis.CHURCH_TYPES, 'lower(text)', '')} AS church, {_case(analysis.CHURCH_PLACES, 'lower(text)', '')} AS place FROM planted""",
 )
 def anl_types(spark, sf_dir):
     t = F.col("text")
-    return documents(spark, sf_dir).select("doc_id", analysis.generic_type(t).alias("generic"), analysis.first_match(t, analysis.CHURCH_TYPES).alias("church"), analysis.first_match(t, analysis.CHURCH_PLACES).alias("place"))
+    return planted(spark, sf_dir).select("doc_id", analysis.generic_type(t).alias("generic"), analysis.first_match(t, analysis.CHURCH_TYPES).alias("church"), analysis.first_match(t, analysis.CHURCH_PLACES).alias("place"))
 
 
 @register(
     "anl_subjects",
-    "SELECT doc_id, array_to_string(list_filter(["
+    f"WITH {PLANTED_SQL} SELECT doc_id, array_to_string(list_filter(["
     + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in analysis.CHURCH_SUBJECTS)
-    + "], lambda x: x IS NOT NULL), ',') AS subjects FROM documents",
+    + "], lambda x: x IS NOT NULL), ',') AS subjects FROM planted",
 )
 def anl_subjects(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.array_join(analysis.all_matches(F.col("text"), analysis.CHURCH_SUBJECTS), ",").alias("subjects"))
+    return planted(spark, sf_dir).select("doc_id", F.array_join(analysis.all_matches(F.col("text"), analysis.CHURCH_SUBJECTS), ",").alias("subjects"))
 
 
-@register("anl_title_types", f"WITH p AS ({_PAGE}) SELECT doc_id, {_case(analysis.TITLE_TYPES, 'lower(title)', 'Document')} AS kind FROM p")
+# a page's title with one of the words that tell what it is
+_KINDS = ("", *[p.split("|")[-1] for _, p in analysis.TITLE_TYPES])
+
+
+@register(
+    "anl_title_types",
+    f"WITH p AS ({_PAGE}), t AS (SELECT doc_id, title || ' ' || ([{', '.join(map(sql.quoted, _KINDS))}])[doc_id % {len(_KINDS)} + 1] AS title FROM p) SELECT doc_id, {_case(analysis.TITLE_TYPES, 'lower(title)', 'Document')} AS kind FROM t",
+)
 def anl_title_types(spark, sf_dir):
     m = parsers.html_metadata(table(spark, sf_dir, "pages"))
-    return m.select("doc_id", analysis.first_match(F.col("title"), analysis.TITLE_TYPES, "Document").alias("kind"))
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("doc_id") % len(_KINDS)).cast("int"))
+    return m.select("doc_id", analysis.first_match(F.concat_ws(" ", "title", kind), analysis.TITLE_TYPES, "Document").alias("kind"))
 
 
 @register(
@@ -212,12 +219,12 @@ def anl_themes(spark, sf_dir):
 
 @register(
     "anl_promulgation",
-    f"""SELECT doc_id, CASE WHEN len(d) = 0 THEN '' WHEN near <> '' THEN near ELSE d[1] END AS date FROM (SELECT doc_id,
+    f"""WITH {PLANTED_SQL} SELECT doc_id, CASE WHEN len(d) = 0 THEN '' WHEN near <> '' THEN near ELSE d[1] END AS date FROM (SELECT doc_id,
         list_sort(list_distinct({' || '.join(f"regexp_extract_all(text, '{p}')" for p in refs.DATE_PATTERNS)})) AS d,
-        regexp_extract(text, '(?i)(?:published|issued|given|promulgated?).*?({refs.MONTH_DAY_YEAR})', 1) AS near FROM documents)""",
+        regexp_extract(text, '(?i)(?:published|issued|given|promulgated?).*?({refs.MONTH_DAY_YEAR})', 1) AS near FROM planted)""",
 )
 def anl_promulgation(spark, sf_dir):
-    d = documents(spark, sf_dir).withColumn("d", refs.dates(F.col("text")))
+    d = planted(spark, sf_dir).withColumn("d", refs.dates(F.col("text")))
     return d.select("doc_id", analysis.promulgation_date(F.col("text"), F.col("d")).alias("date"))
 
 
@@ -321,17 +328,37 @@ def ml_uncertainty_sample(spark, sf_dir):
     return corpus.uncertainty_sample(c, notes_of(spark, sf_dir), 25).select("chunk_id")
 
 
+_SHARE = "coalesce(len(list_filter(w, lambda x: {})) / greatest(len(w), 1), 0)"
+_FEATURES = {
+    "word_count": "len(w)",
+    "text_length": "length(text)",
+    "avg_sentence_length": "len(w) / 1",
+    "chars_per_word": "length(text) / greatest(len(w), 1)",
+    "tokens_per_word": "len(w) / greatest(len(w), 1)",
+    "unique_words_ratio": "len(list_distinct(list_transform(w, lambda x: lower(x)))) / greatest(len(w), 1)",
+    "stopword_ratio": _SHARE.format("lower(x) IN ('a','an','and','at','but','for','in','on','or','the','to')"),
+    "punctuation_density": "len(regexp_extract_all(text, '[.,;:!?]')) / greatest(length(text), 1)",
+    "number_token_ratio": _SHARE.format("regexp_matches(x, '^[0-9]+$')"),
+    "capital_ratio": r"len(regexp_extract_all(text, '\p{Lu}')) / greatest(length(text), 1)",
+    "number_density": _SHARE.format(r"NOT regexp_matches(x, '[\pL\pM\p{Nl}\p{Pc}]')"),
+    "token_word_ratio": "len(w) / greatest(len(w), 1)",
+    "reference_pattern_density": r"len(regexp_extract_all(text, '[0-9]+:[0-9]+(-[0-9]+)?')) / greatest(len(w), 1)",
+    "short_line_ratio": r"len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\S+')) < 5)) / len(string_split(text, chr(10)))",
+    "nav_keyword_presence": "CASE WHEN regexp_matches(lower(text), 'back|contents|index|next|page|previous') THEN 1 ELSE 0 END",
+    **dict.fromkeys(("sentence_count", "hierarchy_depth", "scripture_density", "cross_ref_density", "date_density", "has_hierarchy", "position_normalized", "hierarchy_consistency", "garble_rate"), "0"),
+    **dict.fromkeys(("mean_conf", "line_len_std_norm"), "0.5"),
+}
+
+
 @register(
     "ml_features",
-    r"""WITH w AS (SELECT doc_id AS chunk_id, text, regexp_extract_all(text, '\S+') AS w FROM documents)
-        SELECT chunk_id, round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / greatest(len(w), 1), 6)::DOUBLE AS unique_words_ratio,
-          round(len(list_filter(w, lambda x: lower(x) IN ('a','an','and','at','but','for','in','on','or','the','to'))) / greatest(len(w), 1), 6)::DOUBLE AS stopword_ratio,
-          round(len(regexp_extract_all(text, '[.,;:!?]')) / greatest(length(text), 1), 6)::DOUBLE AS punctuation_density,
-          round(len(regexp_extract_all(text, '\p{Lu}')) / greatest(length(text), 1), 6)::DOUBLE AS capital_ratio FROM w""",
+    rf"WITH {PLANTED_SQL}, w AS (SELECT doc_id AS chunk_id, text, regexp_extract_all(text, '\S+') AS w FROM planted) SELECT chunk_id, "
+    + ", ".join(f"round(({e})::DOUBLE, 6) AS {k}" for k, e in _FEATURES.items())
+    + " FROM w",
 )
 def ml_features(spark, sf_dir):
-    f = corpus.features(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", text.word_count(F.col("text")).alias("word_count")))
-    return f.select("chunk_id", *[F.round(c, 6).alias(c) for c in ("unique_words_ratio", "stopword_ratio", "punctuation_density", "capital_ratio")])
+    f = corpus.features(planted(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", text.word_count(F.col("text")).alias("word_count")))
+    return f.select("chunk_id", *[F.round(c, 6).alias(c) for c in _FEATURES])
 
 
 @register("ml_classifier")
@@ -403,11 +430,12 @@ def rel_boundaries(spark, sf_dir):
 @register(
     "rel_range_join",
     f"""WITH {sql.PARAGRAPHS}, b AS (SELECT doc_id, paragraph_id AS id, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY paragraph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM paragraphs),
-        spans AS (SELECT doc_id, unnest(range(0, 10)) AS span_id FROM documents)
+        spans AS (SELECT doc_id, unnest(range(0, length(text) // 700 + 1)) AS span_id FROM documents)
         SELECT b.doc_id, span_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM spans JOIN b ON b.doc_id = spans.doc_id AND s < span_id * 700 + 300 AND s + n > span_id * 700 GROUP BY ALL""",
 )
 def rel_range_join(spark, sf_dir):
-    spans = documents(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("span_id"))
+    n = F.floor(F.length("text") / 700).cast("long")  # spans over the whole of each document
+    spans = documents(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("span_id"))
     spans = spans.select("doc_id", "span_id", (F.col("span_id") * 700).alias("s_start"), (F.col("span_id") * 700 + 300).alias("s_end"))
     o = corpus.overlapping_boundaries(spans, rel_boundaries(spark, sf_dir), 1024)
     return o.select("doc_id", "span_id", F.size("chunk_ids").cast("long").alias("n"), F.array_join("chunk_ids", ",").alias("ids"))

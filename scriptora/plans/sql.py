@@ -14,7 +14,7 @@ def subs(expr: str, *pairs: tuple[str, str]) -> str:
 def clean(expr: str) -> str:
     """Text cleaning without the spaced capitals."""
     return subs(
-        f"coalesce({expr}, '')",
+        f"nfc_normalize(coalesce({expr}, ''))",
         ("[\\x{00AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]", ""),
         ("<[^>]+>", ""),
         ("[\\s\\x{00A0}]+", " "),
@@ -27,10 +27,18 @@ def clean(expr: str) -> str:
     )
 
 
-#: Paragraphs of documents: cleaned lines with a text, numbered in a document from 1.
-PARAGRAPHS = f"""
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def paragraphs(of: str = "documents") -> str:
+    """Paragraphs of a table like documents: cleaned lines with a text, numbered in a document from 1."""
+    return f"""
 lines AS (SELECT doc_id, lang, source, generate_subscripts(l, 1) AS ln, unnest(l) AS line
-          FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)),
+          FROM (SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM {of})),
 paragraphs AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS paragraph_id, text,
                       len(regexp_extract_all(text, '\\S+')) AS word_count
                FROM (SELECT *, {clean('line')} AS text FROM lines) WHERE text <> '')"""
+
+
+PARAGRAPHS = paragraphs()

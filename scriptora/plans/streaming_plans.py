@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from scriptora.plans import sql
 from scriptora.registry import register
+from scriptora.sources.shared import shared_folder
 from scriptora.streaming import ingest
 
 
-def _run(spark, df, mode="append"):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "scriptora-streams")
-    at = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    if mode != "append":
-        return ingest.drain(df, f"s{uuid.uuid4().hex}", at, mode)
+def _run(spark, df, keys=None):
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    if keys:
+        return ingest.latest_rows(df, f"{at}-out", at, keys)
     ingest.write(df, f"{at}-out", at).awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{at}-out")
 
@@ -45,20 +44,20 @@ def str_paragraphs(spark, sf_dir):
 def str_windowed_counts(spark, sf_dir):
     # event time is local there; watermarks want instants, and the session's zone gives one the other
     e = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    w = _run(spark, ingest.windowed_counts(e), "complete")
+    w = _run(spark, ingest.windowed_counts(e), ["start", "event_type"])
     return w.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
 
 
 @register("str_latest_labels", "SELECT conv_id AS chunk_id, arg_max(role, turn) AS label, max(turn) AS version FROM conversations GROUP BY conv_id")
 def str_latest_labels(spark, sf_dir):
     e = _stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chunk_id"), F.col("role").alias("label"), F.col("turn").alias("version"))
-    return _run(spark, ingest.latest_labels(e), "complete")
+    return _run(spark, ingest.latest_labels(e), ["chunk_id"])
 
 
 @register("str_new_urls", "SELECT DISTINCT user_id AS url FROM events")
 def str_new_urls(spark, sf_dir):
     e = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts"))
-    return _run(spark, ingest.new_urls(e, late="3650 days")).select("url")
+    return _run(spark, ingest.new_urls(e, late="30 days")).select("url")
 
 
 @register("str_token_chunks")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptora.functions import identity, noise, quality, refs, text
-from scriptora.operators.paragraphs import from_lines
+from scriptora.operators.paragraphs import from_lines, nested
 from scriptora.plans import sql
 from scriptora.registry import register
 
@@ -18,6 +19,54 @@ def paragraphs(spark, sf_dir):
     return from_lines(documents(spark, sf_dir), text.hierarchy(level_1=F.col("source"), level_2=F.col("lang")), keep=("lang", "source"))
 
 
+#: Text that the tables lack but that the rules are about; each document gets one of them at its end.
+PLANTED = (
+    "Given on January 5, 1993 at Rome, it was issued on March 12th, 1994.",
+    "See Section 4.2 and 12 March 1870; 1999-04-05 or 4/12/2001.",
+    "As 1 John 4:8-12 and Rom. 8:28 say, cf. art. 12 and CIC/1983 canon 204 §1.",
+    "Catechism of the Catholic Church 1324 and Vatican II, DS 3004, AAS 58 (1966) 1025.",
+    "This encyclical on the liturgy of the mass came from the Holy See; Table 3:16 is no verse, Verse 1:2 neither.",
+    "An apostolic letter of the bishop on prayer and canon law for the parish. Matthew 5:3, ps 23:1.",
+    "Council of Trent, Session VI; Roman Catechism; see also chapter IV, GIRM 12, §§ 14.",
+    "The decree was promulgated on Sept. 3, 2011 while 3rd May 2010 was its draft.",
+    "",
+    "```a```\n```b```\n```c```\n```d```",
+    "\n".join(f"{i}. item of the dogmatic constitution" for i in range(1, 13)),
+    "A motu proprio.\n\nThe faithful of the universal church in conscience.",
+)
+PLANTED_SQL = f"planted AS (SELECT doc_id, lang, source, text || chr(10) || ([{', '.join(map(sql.quoted, PLANTED))}])[doc_id % {len(PLANTED)} + 1] AS text FROM documents)"
+
+
+def _pick(choices, n):
+    return F.get(F.array(*[F.lit(x) for x in choices]), (n % len(choices)).cast("int"))
+
+
+def planted(spark, sf_dir):
+    return documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), _pick(PLANTED, F.col("doc_id"))))
+
+
+#: Lines of noise and headings of its sections, one group and one heading a document.
+NOISE = (
+    "Next", "Page 12", "1, 2, 3, 4, 5, 6, 7", "Psalms 12 - 34 - 56; 78, 90: 11 and 12", "Copyright 2020 by the press", "ISBN 3-16-148410-0", "• word", "3 – 7", "17. answer",
+    "see page 7", "Figure 3", "ab", "1.2", "For the readers of this book", "In memory of a friend", "What readers are saying about it", "dedicated to all", "see also index",
+)
+HEADINGS = ("", "Index of Names", "Preface", "About Big Press", "About the Author", "Recommended reading", "Footnotes and Notes", "An Outline", "Maps of the land", "Noteworthy things", "Contents", "Answer key", "Appendix B", "indexed")
+NOISE_SQL = (
+    f"noise AS (SELECT doc_id, ([{', '.join(map(sql.quoted, HEADINGS))}])[doc_id % {len(HEADINGS)} + 1] AS source, lang, "
+    f"text || chr(10) || ([{', '.join(map(sql.quoted, NOISE))}])[doc_id % {len(NOISE)} + 1] AS text FROM documents), {sql.paragraphs('noise')}"
+)
+
+
+def noise_paragraphs(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), _pick(NOISE, F.col("doc_id"))))
+    return from_lines(d, text.hierarchy(level_1=_pick(HEADINGS, F.col("doc_id"))), keep=("lang",))
+
+
+def nested_paragraphs(spark, sf_dir):
+    """The same paragraphs as an array in each document's row."""
+    return nested(documents(spark, sf_dir), text.hierarchy(level_1=F.col("source"), level_2=F.col("lang")))
+
+
 @register("txt_word_count", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS word_count FROM documents")
 def txt_word_count(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.word_count(F.col("text")).cast("long").alias("word_count"))
@@ -38,12 +87,23 @@ def txt_ascii_fold(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(text.ascii_fold(F.col("text"))).alias("h"))
 
 
+_HEADS = ("", "12. ", "Chapter 3: ", "XIV) ", "7 ", "chap. 9 - ", ". ")
+_NUMBERED_LINES = (
+    f"SELECT doc_id, line, ([{', '.join(repr(x) for x in _HEADS)}])[(line - 1) % {len(_HEADS)} + 1] || l[line] AS t "
+    "FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+)
+
+
 @register(
     "txt_toc_title",
-    f"SELECT doc_id, {sql.subs(sql.clean('substr(text, 1, 60)'), ('(?i)^\\s*(?:chapter|chap\\.?)\\s*\\d+\\s*[:.\\-–—]\\s*', ''), ('^\\s*\\d+\\s*[.)]', ''), ('(?i)^\\s*[IVXLC]{2,}\\s*[.)]', ''), ('^\\s*\\d+\\s+', ''), ('^[\\s.)\\-–—]+', ''))} AS title FROM documents",
+    f"SELECT doc_id, line, md5({sql.subs(sql.clean('t'), ('(?i)^\\s*(?:chapter|chap\\.?)\\s*\\d+\\s*[:.\\-–—]\\s*', ''), ('^\\s*\\d+\\s*[.)]', ''), ('(?i)^\\s*[IVXLC]{2,}\\s*[.)]', ''), ('^\\s*\\d+\\s+', ''), ('^[\\s.)\\-–—]+', ''))}) AS h FROM ({_NUMBERED_LINES})",
 )
 def txt_toc_title(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", text.clean_toc_title(F.substring("text", 1, 60)).alias("title"))
+    # every line as a title, numbered in one of the ways that titles are
+    d = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    head = F.get(F.array(*[F.lit(x) for x in _HEADS]), (F.col("i") % len(_HEADS)))
+    t = F.concat(head, F.col("line"))
+    return d.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.md5(text.clean_toc_title(t)).alias("h"))
 
 
 _ABBREVIATED = "(^|[^\\pL\\pN_])(" + "|".join(a.replace(".", "\\.") for a in sorted(text.ABBREVIATIONS, key=lambda w: (-len(w), w))) + ")\\. "
@@ -77,31 +137,32 @@ def tok_estimate(spark, sf_dir):
 
 
 def _all(expr: str, patterns) -> str:
-    return " || ".join(f"regexp_extract_all({expr}, '{p}')" for p in patterns)
+    return f"list_transform({' || '.join(f"regexp_extract_all({expr}, '{p}')" for p in patterns)}, lambda x: {sql.clean('x')})"
 
 
 @register(
     "ext_dates",
-    f"SELECT doc_id, array_to_string(list_sort(list_distinct({_all('text', refs.DATE_PATTERNS)})), ';') AS dates FROM documents",
+    f"WITH {PLANTED_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct({_all('text', refs.DATE_PATTERNS)})), ';') AS dates FROM planted",
 )
 def ext_dates(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.array_join(refs.dates(F.col("text")), ";").alias("dates"))
+    return planted(spark, sf_dir).select("doc_id", F.array_join(refs.dates(F.col("text")), ";").alias("dates"))
 
 
 @register(
     "ext_scripture",
-    "SELECT doc_id, array_to_string(list_sort(list_distinct(" + _all("text", refs.SCRIPTURE_PATTERNS[1:]) + ")), ';') AS refs FROM documents",
+    # without look-ahead, words that aren't books are found first and left out then
+    f"WITH {PLANTED_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({_all('text', [refs.ANY_BOOK])}, lambda x: NOT regexp_matches(x, '^(?:[123]\\s*)?(?:{refs.NOT_BOOKS})\\b')) || {_all('text', refs.SCRIPTURE_PATTERNS[1:])})), ';') AS refs FROM planted",
 )
 def ext_scripture(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.array_join(refs.scripture_references(F.col("text")), ";").alias("refs"))
+    return planted(spark, sf_dir).select("doc_id", F.array_join(refs.scripture_references(F.col("text")), ";").alias("refs"))
 
 
 @register(
     "ext_cross_references",
-    "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(" + _all("text", refs.CROSS_PATTERNS) + ", lambda x: length(x) BETWEEN 4 AND 140))), ';') AS refs FROM documents",
+    f"WITH {PLANTED_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({_all('text', refs.CROSS_PATTERNS)}, lambda x: length(x) BETWEEN 4 AND 140))), ';') AS refs FROM planted",
 )
 def ext_cross_references(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.array_join(refs.cross_references(F.col("text")), ";").alias("refs"))
+    return planted(spark, sf_dir).select("doc_id", F.array_join(refs.cross_references(F.col("text")), ";").alias("refs"))
 
 
 @register(
@@ -115,63 +176,72 @@ def id_stable(spark, sf_dir):
 _TOKENS = r"regexp_extract_all(text, '\S+')"
 
 
+_INDEX = "len(list_filter(w, lambda x: regexp_matches(x, '^[0-9*,.:;-]+$'))) > 0.5 * len(w) OR (regexp_matches(text, '(?:[0-9]+[*,.:;\\s-]+){5}') AND len(regexp_extract_all(text, '[0-9]+')) > len(w) * 0.3)"
+_NAVIGATION = (
+    "((contains(lower(source), 'index') OR contains(lower(source), 'contents')) AND word_count < 20) OR "
+    "regexp_matches(lower(trim(text)), '^(?:next|previous|home|back|forward|up|(?:chapter|section|part)\\s+[0-9]+|page\\s+[0-9]+)$')"
+)
+_BOILERPLATE = (
+    "(regexp_matches(lower(text), '©|\\bcopyright\\b|\\ball rights reserved\\b') AND word_count < 50) OR regexp_matches(lower(text), '\\bisbn\\b|publisher code|catalog number')"
+)
+
+
 @register(
     "nse_flags",
-    f"""WITH {sql.PARAGRAPHS}, w AS (SELECT *, {_TOKENS} AS w FROM paragraphs)
-        SELECT doc_id, paragraph_id,
-               len(list_filter(w, lambda x: regexp_matches(x, '^[0-9*,.:;-]+$'))) > 0.5 * len(w)
-                 OR (regexp_matches(text, '(?:[0-9]+[*,.:;\\s-]+){{5}}') AND len(regexp_extract_all(text, '[0-9]+')) > len(w) * 0.3) AS is_index,
-               regexp_matches(lower(trim(text)), '^(?:next|previous|home|back|forward|up|(?:chapter|section|part)\\s+[0-9]+|page\\s+[0-9]+)$') AS is_navigation,
-               (regexp_matches(lower(text), '©|\\bcopyright\\b|\\ball rights reserved\\b') AND word_count < 50)
-                 OR regexp_matches(lower(text), '\\bisbn\\b|publisher code|catalog number') AS is_boilerplate
-        FROM w""",
+    f"""WITH {NOISE_SQL}, w AS (SELECT *, {_TOKENS} AS w FROM paragraphs)
+        SELECT doc_id, paragraph_id, {_INDEX} AS is_index, {_NAVIGATION} AS is_navigation, {_BOILERPLATE} AS is_boilerplate FROM w""",
 )
 def nse_flags(spark, sf_dir):
-    p = paragraphs(spark, sf_dir)
+    p = noise_paragraphs(spark, sf_dir)
     t, n, h = F.col("text"), F.col("word_count"), F.col("hierarchy")
     return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), noise.is_index_page(t).alias("is_index"), noise.is_navigation(t, n, h).alias("is_navigation"), noise.is_boilerplate(t, n).alias("is_boilerplate"))
 
 
 @register(
     "nse_scan",
-    f"""WITH {sql.PARAGRAPHS}, w AS (SELECT *, {_TOKENS} AS w FROM paragraphs),
-        f AS (SELECT source, len(list_filter(w, lambda x: regexp_matches(x, '^[0-9*,.:;-]+$'))) > 0.5 * len(w)
-                 OR (regexp_matches(text, '(?:[0-9]+[*,.:;\\s-]+){{5}}') AND len(regexp_extract_all(text, '[0-9]+')) > len(w) * 0.3)
-                 OR regexp_matches(lower(trim(text)), '^(?:next|previous|home|back|forward|up|(?:chapter|section|part)\\s+[0-9]+|page\\s+[0-9]+)$')
-                 OR (regexp_matches(lower(text), '©|\\bcopyright\\b|\\ball rights reserved\\b') AND word_count < 50)
-                 OR regexp_matches(lower(text), '\\bisbn\\b|publisher code|catalog number') AS noisy FROM w)
-        SELECT source, count(*) AS total, count(*) FILTER (noisy) AS noise, count(*) FILTER (noisy) / count(*) AS rate FROM f GROUP BY source""",
+    f"""WITH {NOISE_SQL}, w AS (SELECT *, {_TOKENS} AS w FROM paragraphs),
+        f AS (SELECT lang, concat_ws('+', CASE WHEN {_INDEX} THEN 'index' END, CASE WHEN {_NAVIGATION} THEN 'navigation' END, CASE WHEN {_BOILERPLATE} THEN 'boilerplate' END) AS reasons FROM w)
+        SELECT lang, reasons, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS rate FROM f GROUP BY lang, reasons""",
 )
 def nse_scan(spark, sf_dir):
-    p = paragraphs(spark, sf_dir).withColumn("noisy", noise.low_value(F.col("text"), F.col("word_count"), F.col("hierarchy")))
-    return p.groupBy("source").agg(F.count("*").alias("total"), F.count_if("noisy").alias("noise"), (F.count_if("noisy") / F.count("*")).alias("rate"))
+    p = noise_paragraphs(spark, sf_dir).select("lang", noise.noise_reasons(F.col("text"), F.col("word_count"), F.col("hierarchy")).alias("reasons"))
+    n = p.groupBy("lang", "reasons").agg(F.count("*").alias("n"))
+    return n.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+
+
+_FRONT, _BACK = ("|".join(noise.labels(x)).replace("'", "''") for x in (noise.FRONT_LABELS, noise.BACK_LABELS))
 
 
 @register(
     "nse_front_matter",
-    f"""WITH {sql.PARAGRAPHS}, c AS (SELECT lang, CASE
-          WHEN regexp_matches(lower(text), '^\\s*(?:dedicated to\\b|in memory of\\b|(?:for|to)\\s+(?:the|our|my)\\s+\\w+|for\\s+\\w+\\s*,\\s*(?:the|our|my))') THEN 'dedication_phrase'
-          WHEN regexp_matches(lower(text), '{"|".join(noise.ENDORSEMENTS)}') THEN 'endorsement_section' ELSE 'content' END AS reason FROM paragraphs)
-        SELECT lang, reason, count(*) AS n FROM c GROUP BY ALL""",
+    f"""WITH {NOISE_SQL}, p AS (SELECT lang, lower(text) AS t, lower(source) AS top FROM paragraphs), c AS (SELECT lang, top, CASE
+          WHEN regexp_matches(t, '^\\s*(?:dedicated to\\b|in memory of\\b|(?:for|to)\\s+(?:the|our|my)\\s+\\w+|for\\s+\\w+\\s*,\\s*(?:the|our|my))') THEN 'dedication_phrase'
+          WHEN regexp_matches(t, '{"|".join(noise.ENDORSEMENTS)}') THEN 'endorsement_section'
+          WHEN regexp_matches(top, '{_FRONT}') OR (top LIKE 'about %' AND top NOT LIKE 'about the author%' AND regexp_matches(top, 'books|editions|house|media|press|publishing')) THEN 'front_matter_toc_label'
+          WHEN regexp_matches(top, '{_BACK}') THEN 'back_matter_toc_label'
+          WHEN top IN ('index', 'geography') OR (regexp_matches(top, '\\bindex\\b') AND NOT regexp_matches(top, 'index(?:es|ed|ing)')) OR regexp_matches(top, '\\bgeography\\b|\\bmaps?\\b') THEN 'back_matter_toc_label'
+          WHEN top IN ('notes', 'endnotes') OR (regexp_matches(top, '\\bnotes\\b') AND NOT regexp_matches(top, 'note(?:d|worthy)')) THEN 'back_matter_toc_label'
+          WHEN contains(top, 'outline') THEN 'front_matter_toc_label' ELSE 'content' END AS reason FROM p)
+        SELECT lang, top, reason, count(*) AS n FROM c GROUP BY ALL""",
 )
 def nse_front_matter(spark, sf_dir):
-    p = paragraphs(spark, sf_dir).select("lang", noise.front_matter(F.col("text"), F.col("hierarchy")).alias("reason"))
-    return p.groupBy("lang", "reason").agg(F.count("*").alias("n"))
+    p = noise_paragraphs(spark, sf_dir).select("lang", F.lower("hierarchy.level_1").alias("top"), noise.front_matter(F.col("text"), F.col("hierarchy")).alias("reason"))
+    return p.groupBy("lang", "top", "reason").agg(F.count("*").alias("n"))
 
 
 @register(
     "nse_tiny",
-    f"""WITH {sql.PARAGRAPHS}, t AS (SELECT doc_id, paragraph_id, trim(text) AS t FROM paragraphs WHERE word_count < 5)
-        SELECT doc_id, paragraph_id, length(regexp_replace(t, '[^\\pL\\pN]', '', 'g')) <= 2 OR regexp_matches(translate(t, '.,- ', ''), '^[0-9]+$')
-               OR regexp_matches(t, '(?i)^(?:diagram|example|figure|listing|table)\\s+[0-9]+') AS gone,
-               regexp_matches(t, '(?i)\\bsee\\s+(?:section|page|chapter|also)\\b') AS refers
-        FROM t""",
+    f"""WITH {NOISE_SQL}, t AS (SELECT doc_id, paragraph_id, trim(text) AS t, lower(source) AS top FROM paragraphs WHERE word_count < 5),
+        r AS (SELECT doc_id, paragraph_id, contains(top, 'index') OR contains(top, 'contents') OR length(regexp_replace(t, '[^\\pL\\pN]', '', 'g')) <= 2 OR regexp_matches(translate(t, '.,- ', ''), '^[0-9]+$')
+               OR regexp_matches(t, '(?i)^(?:diagram|example|figure|listing|table)\\s+[0-9]+') AS a,
+               (contains(top, 'answer') AND regexp_matches(t, '^[0-9]+\\.\\s+[\\pL\\pM\\pN_]+$')) OR regexp_matches(t, '^[•·◦▪–—]\\s+[\\pL\\pM\\pN_]+$') OR regexp_matches(t, '^[0-9]+\\s*[-–—]\\s*[0-9]+$') AS b,
+               contains(top, 'appendix') OR contains(top, 'appendices') OR regexp_matches(t, '(?i)\\bsee\\s+(?:section|page|chapter|also)\\b') AS c FROM t)
+        SELECT doc_id, paragraph_id, a AS conservative, a OR b AS standard, a OR b OR c AS aggressive FROM r""",
 )
 def nse_tiny(spark, sf_dir):
-    p = paragraphs(spark, sf_dir).where("word_count < 5")
-    t, n, h = F.col("text"), F.col("word_count"), F.col("hierarchy")
-    gone = noise.tiny_chunk(t, n, h, "conservative")
-    return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), gone.alias("gone"), t.rlike(r"(?i)\bsee\s+(?:section|page|chapter|also)\b").alias("refers"))
+    p = noise_paragraphs(spark, sf_dir).where("word_count < 5")
+    modes = [noise.tiny_chunk(F.col("text"), F.col("word_count"), F.col("hierarchy"), m).alias(m) for m in ("conservative", "standard", "aggressive")]
+    return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), *modes)
 
 
 _SIGNALS = f"""SELECT doc_id, least(1.0, len(regexp_extract_all(text, '[^\\t\\n\\r -~\\x{{00A0}}-\\x{{02AF}}]')) / greatest(1, length(text)))::DOUBLE AS garble_rate, length(text) AS n,

@@ -60,8 +60,21 @@ def write(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start()
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All of a stream's output as a table in memory: for small results and tests."""
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("memory").queryName(name).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def latest_rows(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Runs a stream in update mode to the end of what is there; the last row of each key, read from a table.
+
+    Each batch writes what it changed under its own number, so one that is run again replaces what it wrote.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    rows = df.sparkSession.read.option("basePath", path).schema(f"{_ddl(df)}, batch long").parquet(path)
+    rest = [c for c in df.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -98,7 +98,7 @@ def test_merge_by_words(spark):
     assert got[0].text == rows[0][2] + "\n\n" + rows[1][2] and got[0].source_tag == "merged_2_paragraphs"
     drop = chunking.merge_by_words(p, chunking.ChunkConfig(30, 100, keep_small=False))
     assert drop.count() == 4
-    f = chunking.merge_fields(p, chunking.merge_by_words(p, cfg)).orderBy("paragraph_id").collect()
+    f = chunking.merge_by_words(p, cfg).orderBy("paragraph_id").collect()
     assert f[0].sentence_count == 2 and f[0].content_type == "prose"
     assert chunking.apply_strategy("nlp", p).count() == 8
     with pytest.raises(ValueError):
