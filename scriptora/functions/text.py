@@ -178,6 +178,13 @@ def slug(c: Column, most: int = 100) -> Column:
     return F.when(s == "", "untitled").otherwise(s)
 
 
+def document_context(title: Column, author: Column, subjects: Column, most: int = 3) -> Column:
+    """Lines on a document: title, author and its first subjects, as far as they are known."""
+    line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
+    first = F.slice(F.coalesce(subjects, F.array().cast("array<string>")), 1, most)
+    return F.concat_ws("\n", line("Title", title), line("Author", author), line("Subjects", F.array_join(first, ", ")))
+
+
 def context_prefix(title: Column, author: Column, path: Column) -> Column:
     """What is put before a chunk's text so that it can be found alone."""
     who = F.when(F.coalesce(author, F.lit("")) != "", F.concat(F.lit(" by "), author)).otherwise(F.lit(""))

@@ -119,6 +119,21 @@ def themes(chunks: DataFrame, most: int = 10) -> DataFrame:
     return top.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("r", "theme"))).alias("t")).select("doc_id", F.col("t.theme").alias("key_themes"))
 
 
+def long_headings(chunks: DataFrame, longer_than: int = 10, most: int = 10) -> DataFrame:
+    """doc_id, key_themes: the first distinct headings of levels 1 to 4 that have more than so many characters, in order."""
+    heads = F.filter(F.array(*[F.col(f"hierarchy.level_{k}") for k in range(1, 5)]), lambda x: F.length(x) > longer_than)
+    seen = chunks.select("doc_id", "paragraph_id", F.posexplode(heads).alias("k", "theme"))
+    # one row a heading before they meet, however often it is repeated
+    first = seen.groupBy("doc_id", "theme").agg(F.min(F.struct("paragraph_id", "k")).alias("at"))
+    g = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "theme"))).alias("t"))
+    return g.select("doc_id", F.slice("t.theme", 1, most).alias("key_themes"))
+
+
+def enriched_questions(existing: Column, generated: Column) -> Column:
+    """Questions that are there stay; others are generated."""
+    return F.when(F.size(F.coalesce(existing, F.array().cast("array<string>"))) > 0, existing).otherwise(generated)
+
+
 def footnote_rollup(citations: DataFrame) -> DataFrame:
     """citations: doc_id, number. doc_id, unique_citations (sorted), counts (number to how often)."""
     g = citations.groupBy("doc_id", "number").agg(F.count("*").alias("n"))

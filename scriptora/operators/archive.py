@@ -57,6 +57,60 @@ def links(pages: DataFrame, pattern: str, most_title: int = 150) -> DataFrame:
     return e.withColumn("r", F.row_number().over(w)).where("r = 1").select("src", "url", "title")
 
 
+def part_of(html: Column) -> Column:
+    """The parts of a page's meta tag named part, as an array: "Books > Baruch > Chapter 3"."""
+    piece = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""  # of a tag: quoted values may hold its end
+    tag = rf"""(?is)<meta\b(?={piece}\bname\s*=\s*["']part["']){piece}?\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    content = parsers.unescape(F.concat(F.regexp_extract(html, tag, 1), F.regexp_extract(html, tag, 2)))
+    return F.filter(F.transform(F.split(content, ">"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def part_name(html: Column, title: Column) -> Column:
+    """The name of a page's object: its book and chapter (two digits), or its book, or else a slug of its title."""
+    parts = part_of(html)
+    n = F.size(parts)
+    book = F.regexp_replace(F.regexp_replace(F.lower(F.get(parts, n - 2)), r"[^\w\s-]", ""), r"[-\s]+", "_")
+    chapter = F.when(n >= 3, F.regexp_extract(F.get(parts, n - 1), r"(?i)chapter\s+([0-9]+)", 1)).otherwise("")
+    named = F.when(chapter == "", book).otherwise(F.concat(book, F.lit("_chapter_"), F.when(F.length(chapter) < 2, F.lpad(chapter, 2, "0")).otherwise(chapter)))
+    return F.when(n >= 2, named).otherwise(T.slug(title))
+
+
+def numeric_references(c: Column, least: int = 1, most: int = 2865) -> Column:
+    """Numbers of paragraphs that a text refers to (cf. 12, see § 12, §§ 12), sorted and distinct."""
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in (r"(?i)cf\.\s*(?:§\s*)?([0-9]+)", r"(?i)see\s*(?:§\s*)?([0-9]+)", r"§§?\s*([0-9]+)")])
+    numbers = F.transform(F.filter(found, lambda x: F.length(x) < 10), lambda x: x.cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x.between(least, most))))
+
+
+def plain_scripture_references(c: Column) -> Column:
+    """Words with chapter and verse, without leaving out those that aren't books; sorted and distinct."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(?:[1-3]\s*)?[A-Z][a-z]+\.?\s*[0-9]+:[0-9]+(?:-[0-9]+)?"), F.lit(0))))
+
+
+_BOOK_STARTS = """Acts Am Bar Col Dn Dt Eccl Eph Est Ex Ez Gal Gn Hb Heb Hg Hos Is Jas Jb Jdt Jer Jl Jgs Jn Jon Jos Jude Lam Lk Lv
+Mal Mi Mk Mt Na Neh Nm Ob Phil Phlm Prv Ps Pss Rom Ru Rv Sg Sir Ti Tb Wis Zec Zep""".split()
+
+
+def is_reading_line(line: Column) -> Column:
+    """Whether a line of a calendar gives readings: it begins with a time of day, an alternative or the name of a book."""
+    s = F.trim(line)
+    return (
+        s.rlike(r"\A(?:Vigil|Night|Dawn|Day|Morning|Evening):")
+        | s.rlike(r"\A(?:or any readings|or, for)")
+        | s.rlike(rf"\A(?:{'|'.join(_BOOK_STARTS)})[ :]")
+        | s.rlike(r"\A[0-9]\s+(?:Sm|Kgs|Chr|Mc|Cor|Thes|Tm|Jn|Pt)\s")
+    )
+
+
+def is_noise_line(line: Column, prefixes=()) -> Column:
+    """Whether a line of a calendar says nothing: blank, a page's number, a footnote, a running head."""
+    s = F.trim(F.coalesce(line, F.lit("")))
+    out = s.rlike(r"\A(?:[0-9]{1,4})?\Z") | s.rlike(r"\A[0-9]+\s+(?:See|Cf\.)\s") | s.rlike(r"\A(?:designated by Pss|or, for the Optional Memorial of)")
+    for p in prefixes:
+        out = out | F.upper(s).startswith(p.upper())
+    return out
+
+
 def valid_download(html: Column) -> Column:
     """Not empty, and with a body."""
     return F.coalesce((F.length(html) > 0) & html.rlike("(?i)<body"), F.lit(False))

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from scriptora.functions import text as T
 from scriptora.functions.identity import stable_id
 from scriptora.functions.noise import is_skippable_section
+from scriptora.functions.tokens import counter, estimate
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,9 @@ class TokenConfig(ChunkConfig):
     overlap: float = 0.10
     code_max_tokens: int = 256
     absolute_max: int = 2048
+    #: A tokenizer's file (and the pattern that ranks need) as functions.tokens takes it; None: the estimate from words.
+    tokenizer: str | None = None
+    pattern: str | None = None
 
 
 RETRIEVAL = TokenConfig(target_tokens=320, min_tokens=256, max_tokens=400, overlap=0.15)
@@ -145,8 +149,7 @@ def _inherited(have) -> dict[str, Column]:
     return cols
 
 
-def count_tokens(text: str) -> int:
-    return int(len(text.split()) * 1.5)
+count_tokens = estimate
 
 
 def tail_overlap(sentences: list[str], share: float, count=count_tokens) -> tuple[list[str], int]:
@@ -266,7 +269,7 @@ def overlapping(sentences: list[str], cfg: TokenConfig, count=count_tokens) -> I
         yield " ".join(held), total, len(held), later
 
 
-_NESTED = "array<struct<paragraph_id:int,text:string,word_count:int,hierarchy:struct<level_1:string,level_2:string,level_3:string,level_4:string,level_5:string,level_6:string>,content_type:string,sentences:array<string>>>"
+_NESTED = "array<struct<paragraph_id:int,text:string,word_count:int,hierarchy:struct<level_1:string,level_2:string,level_3:string,level_4:string,level_5:string,level_6:string>,content_type:string,sentences:array<string>,cross_references:array<string>,scripture_references:array<string>,dates_mentioned:array<string>>>"
 
 
 def nest(paragraphs: DataFrame) -> DataFrame:
@@ -276,13 +279,13 @@ def nest(paragraphs: DataFrame) -> DataFrame:
     """
     have = set(paragraphs.columns)
     if "ps" not in have:
-        paragraphs = gather(paragraphs, [c for c in ("content_type", "sentences") if c in have])
+        paragraphs = gather(paragraphs, [c for c in ("content_type", "sentences", *_REFS) if c in have])
     have = [f.name for f in paragraphs.schema["ps"].dataType.elementType.fields]
 
     def item(p):
         kind = F.coalesce(p["content_type"], F.lit("prose")) if "content_type" in have else F.lit("prose")
         sents = p["sentences"] if "sentences" in have else T.sentences(p["text"])
-        return F.struct(p["paragraph_id"].cast("int").alias("paragraph_id"), p["text"].alias("text"), p["word_count"].cast("int").alias("word_count"), p["hierarchy"].alias("hierarchy"), kind.alias("content_type"), sents.alias("sentences"))
+        return F.struct(p["paragraph_id"].cast("int").alias("paragraph_id"), p["text"].alias("text"), p["word_count"].cast("int").alias("word_count"), p["hierarchy"].alias("hierarchy"), kind.alias("content_type"), sents.alias("sentences"), *[(p[r] if r in have else F.lit(None).cast("array<string>")).alias(r) for r in _REFS])
 
     return paragraphs.select("doc_id", F.transform("ps", item).cast(_NESTED).alias("ps"))
 
@@ -317,29 +320,36 @@ def token_aware(nested: DataFrame, cfg: TokenConfig = TokenConfig()) -> DataFram
     """doc_id, seq, paragraph_id, text, word_count, tokens, overlap_token_count, merged_paragraph_ids, below_minimum."""
 
     def f(ps):
-        for k, c in enumerate(pack_document(ps, cfg)):
-            yield k, c["ids"][0], c["text"], len(c["text"].split()), count_tokens(c["text"]), c["overlap"] or None, c["ids"], c["small"]
+        count = counter(cfg.tokenizer, cfg.pattern)
+        for k, c in enumerate(pack_document(ps, cfg, count)):
+            yield k, c["ids"][0], c["text"], len(c["text"].split()), count(c["text"]), c["overlap"] or None, c["ids"], c["small"]
 
     cols = ["seq", "paragraph_id", "text", "word_count", "tokens", "overlap_token_count", "merged_paragraph_ids", "below_minimum"]
     return _rows(nested, f, "seq int, paragraph_id int, text string, word_count int, tokens int, overlap_token_count int, merged_paragraph_ids array<int>, below_minimum boolean", cols)
 
 
 def parents_and_children(nested: DataFrame, cfg: TokenConfig = TokenConfig()) -> DataFrame:
-    """doc_id, seq, chunk_level, stable_id, parent_chunk_id, paragraph_id, text, word_count."""
+    """doc_id, seq, chunk_level, stable_id, parent_chunk_id, paragraph_id, text, word_count, the six levels and references.
+
+    Children have their parent's levels and those of its references that their own text holds.
+    """
     import hashlib
 
     short = lambda *x: hashlib.sha1("||".join(x).encode()).hexdigest()[:16]
 
     def f(ps):
-        parent = ""
-        for k, c in enumerate(small_to_big(ps, cfg)):
+        parent, count = "", counter(cfg.tokenizer, cfg.pattern)
+        for k, c in enumerate(small_to_big(ps, cfg, count)):
             child = c["level"] == "child"
             own = short(parent, str(c["child"])) if child else short(c["text"])
-            yield k, c["level"], own, parent if child else None, c["ids"][0], c["text"], len(c["text"].split())
+            refs = [list(dict.fromkeys(r for p in c["members"] for r in p.get(name) or [] if not child or r in c["text"])) for name in _REFS]
+            yield k, c["level"], own, parent if child else None, c["ids"][0], c["text"], len(c["text"].split()), *c["levels"], *refs
             parent = parent if child else own
 
-    cols = ["seq", "chunk_level", "stable_id", "parent_chunk_id", "paragraph_id", "text", "word_count"]
-    return _rows(nested, f, "seq int, chunk_level string, stable_id string, parent_chunk_id string, paragraph_id int, text string, word_count int", cols)
+    cols = ["seq", "chunk_level", "stable_id", "parent_chunk_id", "paragraph_id", "text", "word_count", *T.LEVELS, *_REFS]
+    more = "".join([*(f", {x} string" for x in T.LEVELS), *(f", {x} array<string>" for x in _REFS)])
+    flat = _rows(nested, f, "seq int, chunk_level string, stable_id string, parent_chunk_id string, paragraph_id int, text string, word_count int" + more, cols)
+    return flat.select(*[c for c in flat.columns if c not in T.LEVELS], F.struct(*T.LEVELS).alias("hierarchy"))
 
 
 def rechunk(chunks: DataFrame, cfg: TokenConfig = RETRIEVAL) -> DataFrame:
@@ -375,7 +385,8 @@ def _sentences(text: str) -> list[str]:
 
 
 def rechunk_statistics(chunks: DataFrame) -> DataFrame:
-    """One row of totals over token_count and sentence_count; zeros for no chunks."""
+    """One row of totals over token_count, sentence_count and, where it is there, crossed_hierarchy_boundary; zeros for no chunks."""
+    crossed = F.col("crossed_hierarchy_boundary") if "crossed_hierarchy_boundary" in chunks.columns else F.lit(False)
     zero = lambda c: F.coalesce(c, F.lit(0))
     return chunks.agg(
         F.count("*").alias("total_chunks"),
@@ -384,6 +395,7 @@ def rechunk_statistics(chunks: DataFrame) -> DataFrame:
         zero(F.min("token_count")).alias("min_tokens"),
         zero(F.max("token_count")).alias("max_tokens"),
         zero(F.avg("sentence_count")).alias("avg_sentences"),
+        F.count_if(crossed).alias("hierarchy_crossings"),
     )
 
 

@@ -196,6 +196,44 @@ def predict(model, feats: DataFrame, threshold: float = 0.5) -> DataFrame:
     return p.select("chunk_id", "probability", (F.col("probability") >= threshold).cast("int").alias("prediction"))
 
 
+def save_classifier(model, threshold: float, path: str) -> None:
+    """The model and its threshold in a folder."""
+    from pyspark.sql import SparkSession
+
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(threshold,)], "threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/threshold")
+
+
+def load_classifier(spark, path: str):
+    """(model, threshold) as they were saved."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{path}/model"), spark.read.schema("threshold double").json(f"{path}/threshold").first()[0]
+
+
+BOOTSTRAP, RETRAIN = 100, 500
+
+
+def should_retrain(annotated: int, has_model: bool, bootstrap: int = BOOTSTRAP, every: int = RETRAIN) -> bool:
+    """Without a model always, with one after each so many labels beyond those of the first training."""
+    since = annotated - bootstrap
+    return not has_model or (since > 0 and since % every == 0)
+
+
+def progress_estimate(scored: DataFrame, annotated: DataFrame, has_model: bool = True, bootstrap: int = BOOTSTRAP, certainty: float = 0.8) -> DataFrame:
+    """One row, percent. Before there is a model: half of how far the bootstrap is. Then half the share of labelled chunks
+    and half that of the others whose probability (scored: chunk_id, probability) is far enough from a half."""
+    known = annotated.select("chunk_id").distinct().withColumn("known", F.lit(True))
+    j = scored.join(known, "chunk_id", "left")
+    n, k = F.count("*"), F.count("known")
+    if not has_model:
+        return j.agg(F.when(n == 0, 100.0).otherwise(F.least(F.lit(50.0), 50.0 * k / F.lit(bootstrap))).alias("percent"))
+    unsure = F.count_if(F.col("known").isNull() & (F.abs(F.col("probability") - 0.5) < F.lit(1.0 - certainty)))
+    share = F.when(n == 0, 100.0).when(n == k, 100.0).otherwise(100.0 * (0.5 * k / n + 0.5 * (1 - unsure / (n - k))))
+    return j.agg(share.alias("percent"))
+
+
 def boundaries(chunks: DataFrame, gap: int = 2) -> DataFrame:
     """doc_id, chunk_id, start, end of each chunk in its document's joined text, with a header line where the path changes."""
     w = Window.partitionBy("doc_id").orderBy("paragraph_id")

@@ -184,13 +184,23 @@ def is_document_page(n_paragraphs: Column, n_words: Column, n_links: Column) ->
     return (n_paragraphs >= 3) & (n_words >= 100) & (n_links <= 3 * n_paragraphs)
 
 
-def is_english(url: Column, lang: Column, title: Column) -> Column:
-    """By URL, then the page's language, then its title."""
+def meta_language(html: Column) -> Column:
+    """The content of a page's meta tags on its language, lower-cased and joined, or ''."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"""(?i)(?:http-equiv\s*=\s*["']?content-language|name\s*=\s*["']?language)\b"""))
+    return F.lower(F.array_join(F.transform(tags, lambda t: F.regexp_extract(t, r"""(?i)\bcontent\s*=\s*["']?([^"'>]*)""", 1)), " "))
+
+
+def is_english(url: Column, lang: Column, title: Column, html: Column | None = None) -> Column:
+    """By URL, then the page's language, its meta tags, its title, and last a link to an English version."""
+    html = F.lit("") if html is None else F.coalesce(html, F.lit(""))
+    linked = F.lower(html).rlike(r"""(?s)<a\b[^>]*href\s*=\s*["']?[^"'>]*_en\.htm|<a\b[^>]*>[^<]*english""")
     return (
         F.when(url.rlike(r"(?i)/eng[0-9]+/|_en\.html?$|/en/|/english/"), True)
         .when(F.lower(F.coalesce(lang, F.lit(""))).startswith("en"), True)
         .when(F.coalesce(lang, F.lit("")) != "", False)
-        .otherwise(F.lower(title).rlike("english|catechism|new american bible"))
+        .when(meta_language(html).contains("en"), True)
+        .when(F.lower(F.coalesce(title, F.lit(""))).rlike("english|catechism|new american bible"), True)
+        .otherwise(linked & F.lower(url).contains("_en.htm"))
     )
 
 
@@ -318,58 +328,6 @@ def red_label_type(label: Column) -> Column:
     return out
 
 
-def epub_items(content: bytes):
-    """(order, href, source) of an EPUB's spine, navigation left out. Raises ValueError for a file without a spine."""
-    import io
-    import posixpath
-    import zipfile
-    from xml.etree import ElementTree as X
-
-    z = zipfile.ZipFile(io.BytesIO(content))
-    local = lambda e: e.tag.rpartition("}")[2]
-    container = X.fromstring(z.read("META-INF/container.xml"))
-    opf = next(e.get("full-path") for e in container.iter() if local(e) == "rootfile")
-    package = X.fromstring(z.read(opf))
-    manifest = {e.get("id"): e for e in package.iter() if local(e) == "item"}
-    spine = [e.get("idref") for e in package.iter() if local(e) == "itemref"]
-    if not spine:
-        raise ValueError("the EPUB has no spine")
-    for k, ref in enumerate(spine):
-        item = manifest.get(ref)
-        if item is None or "nav" in (item.get("properties") or "").split():
-            continue
-        href = posixpath.normpath(posixpath.join(posixpath.dirname(opf), item.get("href")))
-        if not re.search(r"(?:^|/)(?:contents|nav|toc)\.x?html?$", href, re.I):
-            yield k, href, z.read(href).decode("utf-8", "replace")
-
-
-def epub_paragraphs(files: DataFrame, least_words: int = 1) -> DataFrame:
-    """files: path, content (as the binaryFile source gives them). Paragraph rows in spine order; a bad file gives one row
-    with its error and no text."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for path, content in zip(b["path"], b["content"]):
-                n = 0
-                try:
-                    for k, href, source in epub_items(bytes(content)):
-                        levels = [""] * 6
-                        for _, tag, level, text in html_items(source):
-                            if level is not None:
-                                levels[level - 1 :] = [text[:100]] + [""] * (6 - level)
-                            elif len(text.split()) >= least_words and tag != "div":
-                                n += 1
-                                out.append((path, k, href, n, text, tag, None, *levels))
-                except Exception as e:
-                    out.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}", *[""] * 6))
-            yield pd.DataFrame(out, columns=["path", "spine", "chapter_href", "paragraph_id", "text", "source_tag", "error", *T.LEVELS])
-
-    schema = "path string, spine int, chapter_href string, paragraph_id int, text string, source_tag string, error string, "
-    flat = files.select("path", "content").mapInPandas(run, schema + ", ".join(f"{x} string" for x in T.LEVELS))
-    return flat.select(*[c for c in flat.columns if c not in T.LEVELS], F.struct(*T.LEVELS).alias("hierarchy"))
-
-
 def norm_href(c: Column, keep_fragment: bool = False) -> Column:
     """A link without leading dots and slashes; its fragment goes unless kept."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[./]+", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_plans", "corpus_plans", "archive_plans", "detail_plans", "streaming_plans")
+MODULES = ("text_plans", "corpus_plans", "archive_plans", "detail_plans", "export_plans", "streaming_plans")
 
 
 def load_all() -> None:

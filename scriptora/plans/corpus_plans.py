@@ -332,7 +332,7 @@ _SHARE = "coalesce(len(list_filter(w, lambda x: {})) / greatest(len(w), 1), 0)"
 _FEATURES = {
     "word_count": "len(w)",
     "text_length": "length(text)",
-    "avg_sentence_length": "len(w) / 1",
+    "avg_sentence_length": "len(w) / greatest(k, 1)",
     "chars_per_word": "length(text) / greatest(len(w), 1)",
     "tokens_per_word": "len(w) / greatest(len(w), 1)",
     "unique_words_ratio": "len(list_distinct(list_transform(w, lambda x: lower(x)))) / greatest(len(w), 1)",
@@ -345,19 +345,34 @@ _FEATURES = {
     "reference_pattern_density": r"len(regexp_extract_all(text, '[0-9]+:[0-9]+(-[0-9]+)?')) / greatest(len(w), 1)",
     "short_line_ratio": r"len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\S+')) < 5)) / len(string_split(text, chr(10)))",
     "nav_keyword_presence": "CASE WHEN regexp_matches(lower(text), 'back|contents|index|next|page|previous') THEN 1 ELSE 0 END",
-    **dict.fromkeys(("sentence_count", "hierarchy_depth", "scripture_density", "cross_ref_density", "date_density", "has_hierarchy", "position_normalized", "hierarchy_consistency", "garble_rate"), "0"),
-    **dict.fromkeys(("mean_conf", "line_len_std_norm"), "0.5"),
+    "sentence_count": "k",
+    "hierarchy_depth": "k % 2",
+    "scripture_density": "(k % 3) / greatest(len(w) / 1000, 1)",
+    "cross_ref_density": "(k % 4) / greatest(len(w) / 1000, 1)",
+    "date_density": "(k % 5) / greatest(len(w) / 1000, 1)",
+    "has_hierarchy": "k % 2",
+    "position_normalized": "chunk_id / 1000",
+    "hierarchy_consistency": "(k % 2) / 1",
+    "garble_rate": "k / 10",
+    "mean_conf": "1 - k / 10",
+    "line_len_std_norm": "k / 20",
 }
 
 
 @register(
     "ml_features",
-    rf"WITH {PLANTED_SQL}, w AS (SELECT doc_id AS chunk_id, text, regexp_extract_all(text, '\S+') AS w FROM planted) SELECT chunk_id, "
+    rf"WITH {PLANTED_SQL}, w AS (SELECT doc_id AS chunk_id, doc_id % 7 AS k, text, regexp_extract_all(text, '\S+') AS w FROM planted) SELECT chunk_id, "
     + ", ".join(f"round(({e})::DOUBLE, 6) AS {k}" for k, e in _FEATURES.items())
     + " FROM w",
 )
 def ml_features(spark, sf_dir):
-    f = corpus.features(planted(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", text.word_count(F.col("text")).alias("word_count")))
+    k, i = F.col("doc_id") % 7, F.col("doc_id")
+    some = lambda n: F.slice(F.array(*[F.lit(x) for x in "abcd"]), 1, n.cast("int"))
+    d = planted(spark, sf_dir).select(
+        i.alias("chunk_id"), "text", text.word_count(F.col("text")).alias("word_count"), k.alias("sentence_count"), i.alias("source_order"), text.hierarchy(level_1=F.when(k % 2 == 1, "a")).alias("hierarchy"),
+        some(k % 3).alias("scripture_references"), some(k % 4).alias("cross_references"), some(k % 5).alias("dates_mentioned"), (k / 10).alias("garble_rate"), (1 - k / 10).alias("mean_conf"), (k / 20).alias("line_len_std_norm"),
+    )
+    f = corpus.features(d)
     return f.select("chunk_id", *[F.round(c, 6).alias(c) for c in _FEATURES])
 
 
@@ -403,8 +418,10 @@ def agg_index_summary(spark, sf_dir):
     "SELECT split_part(url, '/', 3) AS host, count(*) AS files, CAST(sum(length(html)) AS BIGINT) AS size FROM pages GROUP BY ALL",
 )
 def agg_storage(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.groupBy(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")).agg(F.count("*").alias("files"), F.sum(F.length("html")).alias("size"))
+    from scriptora.operators.exports import storage_statistics
+
+    p = table(spark, sf_dir, "pages").withColumn("size", F.length("html"))
+    return storage_statistics(p, F.split_part("url", F.lit("/"), F.lit(3))).withColumnRenamed("place", "host")
 
 
 @register(
@@ -416,6 +433,9 @@ def snk_object_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", identity.object_path(F.lit("archive"), text.slug(u), u, ".json").alias("path"))
 
 
+_BOUNDS = "b AS (SELECT doc_id, paragraph_id AS id, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY paragraph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM paragraphs)"
+
+
 @register(
     "rel_boundaries",
     f"""WITH {sql.PARAGRAPHS}, b AS (SELECT doc_id, paragraph_id AS chunk_id, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY paragraph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM paragraphs)

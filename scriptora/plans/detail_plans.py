@@ -114,9 +114,9 @@ def anl_footnote_rollup(spark, sf_dir):
     return r.select("doc_id", F.array_join(pairs, ",").alias("counts"))
 
 
-@register("chk_hierarchy_shift", "SELECT doc_id, source || ' / b' AS path, 2 AS depth FROM documents")
+@register("chk_hierarchy_shift", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || ' / b' ELSE source END AS path, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS depth FROM documents")
 def chk_hierarchy_shift(spark, sf_dir):
-    h = text.hierarchy(level_1=F.col("source"), level_2=F.col("lang"), level_3=F.lit("a"), level_4=F.lit("b"))
+    h = text.hierarchy(level_1=F.col("source"), level_2=F.col("lang"), level_3=F.lit("a"), level_4=F.when(F.col("doc_id") % 2 == 0, "b"))
     d = documents(spark, sf_dir).select("doc_id", headings.shift_down(h, 2).alias("h"))
     return d.select("doc_id", text.heading_path(F.col("h")).alias("path"), text.hierarchy_depth(F.col("h")).alias("depth"))
 
@@ -147,14 +147,14 @@ def snk_audit(spark, sf_dir):
 
 @register(
     "snk_diff_report",
-    """WITH e AS (SELECT conv_id AS chunk_id, max(turn) AS version, arg_max(text, turn) AS edited, arg_max(role, turn) AS reason FROM conversations GROUP BY conv_id)
-       SELECT chunk_id, starts_with('## Chunk ' || chunk_id || ' (version ' || version || ')', '## Chunk') AS headed, length(edited) + length(d.text) AS least FROM e JOIN documents d ON d.doc_id = chunk_id""",
+    """WITH e AS (SELECT conv_id AS chunk_id, max(turn) AS version, arg_max(text, turn) AS edited, arg_max(role, turn) AS reason, count(*) AS k, string_agg('v' || turn || ' ' || role, '; ' ORDER BY turn) AS versions FROM conversations GROUP BY conv_id)
+       SELECT chunk_id, md5('## Chunk ' || chunk_id || ' (version ' || version || ')' || chr(10) || chr(10) || '**Original**:' || chr(10) || '```' || chr(10) || d.text || chr(10) || '```' || chr(10) || chr(10) || '**Edited**:' || chr(10) || '```' || chr(10)
+         || edited || chr(10) || '```' || chr(10) || chr(10) || '**Reason**: ' || reason || chr(10) || CASE WHEN k > 1 THEN '**Versions**: ' || versions || chr(10) ELSE '' END) AS h FROM e JOIN documents d ON d.doc_id = chunk_id""",
 )
 def snk_diff_report(spark, sf_dir):
     c = chunks_of(spark, sf_dir)
     r = sinks.diff_report(c, edits_of(spark, sf_dir))
-    parts = F.regexp_extract_all("text", F.lit(r"(?s)```\n(.*?)\n```"), F.lit(1))
-    return r.select("chunk_id", F.col("text").startswith("## Chunk").alias("headed"), (F.length(F.get(parts, F.lit(0))) + F.length(F.get(parts, F.lit(1)))).cast("long").alias("least"))
+    return r.select("chunk_id", F.md5("text").alias("h"))
 
 
 @register(

@@ -32,6 +32,7 @@ PLANTED = (
     "",
     "```a```\n```b```\n```c```\n```d```",
     "\n".join(f"{i}. item of the dogmatic constitution" for i in range(1, 13)),
+    "Back to the next page: ☃☃☃☃☃☃☃☃ жжжжжж 漢字漢字",
     "A motu proprio.\n\nThe faithful of the universal church in conscience.",
 )
 PLANTED_SQL = f"planted AS (SELECT doc_id, lang, source, text || chr(10) || ([{', '.join(map(sql.quoted, PLANTED))}])[doc_id % {len(PLANTED)} + 1] AS text FROM documents)"
@@ -124,10 +125,12 @@ def txt_sentences(spark, sf_dir):
 
 @register(
     "txt_hierarchy",
-    f"""WITH {sql.PARAGRAPHS} SELECT doc_id, paragraph_id, source || ' / ' || lang AS heading_path, 2 AS depth FROM paragraphs""",
+    f"""WITH {sql.PARAGRAPHS} SELECT doc_id, paragraph_id, CASE doc_id % 3 WHEN 0 THEN source || ' / ' || lang WHEN 1 THEN source ELSE source || ' / deep' END AS heading_path, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 5 END AS depth FROM paragraphs""",
 )
 def txt_hierarchy(spark, sf_dir):
-    p = paragraphs(spark, sf_dir)
+    k = F.col("doc_id") % 3
+    h = text.hierarchy(level_1=F.col("source"), level_2=F.when(k == 0, F.col("lang")), level_5=F.when(k == 2, "deep"))
+    p = from_lines(documents(spark, sf_dir), h)
     return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), text.heading_path(F.col("hierarchy")).alias("heading_path"), text.hierarchy_depth(F.col("hierarchy")).alias("depth"))
 
 
@@ -247,12 +250,12 @@ def nse_tiny(spark, sf_dir):
 _SIGNALS = f"""SELECT doc_id, least(1.0, len(regexp_extract_all(text, '[^\\t\\n\\r -~\\x{{00A0}}-\\x{{02AF}}]')) / greatest(1, length(text)))::DOUBLE AS garble_rate, length(text) AS n,
       list_transform(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda x: regexp_matches(x, '\\S')), lambda x: length(x)) AS lines,
       len(regexp_extract_all(text, '\\b(?:Apostolica|Dei|Dominus|Ecclesia|Magisterium|Verbum)\\b')) AS hits,
-      list_transform(regexp_extract_all(text, '\\S+'), lambda x: lower(x)) AS w FROM documents"""
+      list_transform(regexp_extract_all(text, '\\S+'), lambda x: lower(x)) AS w FROM planted"""
 
 
 @register(
     "qlt_score",
-    f"""WITH s AS ({_SIGNALS}),
+    f"""WITH {PLANTED_SQL}, s AS ({_SIGNALS}),
         q AS (SELECT doc_id, garble_rate, (1 - garble_rate) * (CASE WHEN n > 2000 THEN 1.0 ELSE 0.8 END) AS mean_conf,
                 CASE WHEN len(lines) > 0 THEN least(1.0, list_stddev_pop(lines) / 120.0) ELSE 0.2 END AS std, least(1.0, 0.5 + 0.05 * hits) AS lang_prob,
                 CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END AS density,
@@ -262,5 +265,5 @@ _SIGNALS = f"""SELECT doc_id, least(1.0, len(regexp_extract_all(text, '[^\\t\\n\
                round(score::DOUBLE, 4) AS score, CASE WHEN score >= 0.8 THEN 'A' WHEN score >= 0.55 THEN 'B' ELSE 'C' END AS route FROM r""",
 )
 def qlt_score(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", quality.signals(F.col("text")).alias("s")).withColumn("score", quality.score(F.col("s")))
+    d = planted(spark, sf_dir).select("doc_id", quality.signals(F.col("text")).alias("s")).withColumn("score", quality.score(F.col("s")))
     return d.select("doc_id", F.round("s.garble_rate", 6).alias("garble_rate"), F.round("s.lexical_density", 6).alias("lexical_density"), F.round("s.short_line_ratio", 6).alias("short_line_ratio"), F.round("score", 4).alias("score"), quality.route(F.col("score")).alias("route"))

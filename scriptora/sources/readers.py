@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptora.functions.text import LEVELS
-from scriptora.operators.parsers import epub_paragraphs, format_of, html_paragraphs, markdown_paragraphs
+from scriptora.operators.epub import EpubConfig, epub_paragraphs
+from scriptora.operators.parsers import format_of, html_paragraphs, markdown_paragraphs
 
 _LEVELS = ", ".join(f"{x}: string" for x in LEVELS)
 _FIELDS = {
@@ -43,8 +44,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return markdown_paragraphs(f)
 
 
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    return epub_paragraphs(files(spark, path, "*.epub"))
+def read_epub(spark: SparkSession, path: str, config: EpubConfig = EpubConfig()) -> DataFrame:
+    return epub_paragraphs(files(spark, path, "*.epub"), config)
 
 
 def read_chunk_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +63,36 @@ def with_ids(c: DataFrame) -> DataFrame:
     return c.withColumn("chunk_id", F.coalesce("stable_id", "chunk_id", made))
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunk rows of files of either kind in a folder: .jsonl and .ndjson hold a chunk a line, .json a document or a list.
+
+    A list is a document without metadata. Chunks without an id get one of their file and place.
+    """
+    has = lambda pattern: not files(spark, path, pattern).limit(1).isEmpty()
+    cols = ["source_file", "source_order", *_FIELDS]
+    parts = []
+    if has("*.{jsonl,ndjson}"):
+        read = spark.read.schema(CHUNK).option("pathGlobFilter", "*.{jsonl,ndjson}").option("recursiveFileLookup", "true").json(path)
+        lines = read.select(_name(), F.monotonically_increasing_id().alias("source_order"), *_FIELDS)
+        parts.append(lines.where("text is not null or stable_id is not null"))
+    if has("*.json"):
+        whole = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+        doc = F.from_json("value", DOCUMENT)
+        chunks = F.when(F.col("value").rlike(r"\A\s*\["), F.from_json("value", f"array<struct<{_CHUNKS}>>")).otherwise(doc["chunks"])
+        c = whole.select(F.coalesce(doc["metadata"]["provenance"]["source_file"], _name()).alias("source_file"), F.posexplode(chunks).alias("source_order", "c"))
+        parts.append(c.select("source_file", F.col("source_order").cast("long").alias("source_order"), "c.*").select(*cols))
+    if not parts:
+        raise ValueError(f"{path} has no .json, .jsonl or .ndjson file")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return with_ids(out)
+
+
+def _name():
+    return F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("source_file")
+
+
 def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
     """Chunk rows of NDJSON."""
     c = spark.read.schema(CHUNK).json(path)

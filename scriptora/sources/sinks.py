@@ -23,6 +23,33 @@ def write_documents(metadata: DataFrame, chunks: DataFrame, path: str) -> None:
     write_ndjson(meta.join(nested, "doc_id", "left"), path)
 
 
+def write_document_set(metadata: DataFrame, chunks: DataFrame, path: str, lines: bool = False) -> None:
+    """Three folders for all documents: data (metadata and chunks), metadata alone, reports; and chunks as lines on request."""
+    write_documents(metadata, chunks, f"{path}/data")
+    write_ndjson(metadata, f"{path}/metadata")
+    report_lines(hierarchy_report(chunks)).write.mode("overwrite").json(f"{path}/hierarchy_report")
+    if lines:
+        write_ndjson(chunks, f"{path}/chunks")
+
+
+def write_training(records: DataFrame, path: str) -> DataFrame:
+    """Training records as lines, and what is in them by label (rows, characters) as the manifest that is returned."""
+    write_ndjson(records, f"{path}/records")
+    out = manifest(records, "label")
+    out.write.mode("overwrite").json(f"{path}/manifest")
+    return out
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Replaces the index of an archive; readers see the old or the new files, never a mixture of both in one plan."""
+    index.write.mode("overwrite").parquet(path)
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Adds events of annotation sessions to their log, a folder a session."""
+    events.write.mode("append").partitionBy("session").parquet(path)
+
+
 def hierarchy_report(chunks: DataFrame) -> DataFrame:
     """doc_id, the six levels, first and last paragraph, words, paragraphs: the tree of a document's report, by first seen."""
     g = chunks.groupBy("doc_id", *[F.col(f"hierarchy.{x}").alias(x) for x in LEVELS])
@@ -64,9 +91,11 @@ def audit(chunks: DataFrame, edits: DataFrame) -> DataFrame:
 
 def diff_report(chunks: DataFrame, edits: DataFrame) -> DataFrame:
     """chunk_id, text: a Markdown section with the original, the latest edit, its reason and the versions before."""
-    item = F.struct("version", "edited_text", "edit_reason")
-    g = edits.groupBy("chunk_id").agg(F.array_sort(F.collect_list(item)).alias("v")).join(chunks.select("chunk_id", "text"), "chunk_id")
-    last = F.element_at("v", -1)
+    # only numbers and reasons meet as a list; of the texts none but the last one is moved
+    item = F.struct("version", "edit_reason")
+    last = F.max_by(F.struct("version", "edited_text", "edit_reason"), "version").alias("last")
+    g = edits.groupBy("chunk_id").agg(F.array_sort(F.collect_list(item)).alias("v"), last).join(chunks.select("chunk_id", "text"), "chunk_id")
+    last = F.col("last")
     fence = lambda title, body: F.concat(F.lit(f"**{title}**:\n```\n"), body, F.lit("\n```\n\n"))
     history = F.when(F.size("v") > 1, F.concat(F.lit("**Versions**: "), F.array_join(F.transform("v", lambda x: F.concat(F.lit("v"), x["version"].cast("string"), F.lit(" "), x["edit_reason"])), "; "), F.lit("\n"))).otherwise("")
     head = F.concat(F.lit("## Chunk "), F.col("chunk_id").cast("string"), F.lit(" (version "), last["version"].cast("string"), F.lit(")\n\n"))

@@ -7,8 +7,11 @@ latest label of each chunk by a keyed aggregation.
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from scriptora.functions import quality, text
 from scriptora.functions.identity import stable_id
@@ -60,6 +63,28 @@ def write(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start()
 
 
+class Progress(StreamingQueryListener):
+    """What each batch of each stream did: (query, batch, rows, milliseconds), the last ``most`` of them."""
+
+    def __init__(self, most: int = 1000):
+        self.batches: deque[tuple[str, int, int, int]] = deque(maxlen=most)
+        self.failed: list[tuple[str, str]] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((p.name or str(p.id), p.batchId, p.numInputRows, int(p.batchDuration)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.failed.append((str(event.id), event.exception))
+
+
 def latest_rows(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
     """Runs a stream in update mode to the end of what is there; the last row of each key, read from a table.
 

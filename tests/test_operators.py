@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptora.functions import text
+from scriptora.operators import epub as epub_books
 from scriptora.operators import chunking, code, corpus, headings, parsers
 from scriptora.sources import readers, sinks
 
@@ -75,11 +76,68 @@ def epub(spine=True):
 
 def test_epub(spark):
     f = spark.createDataFrame([("x", epub()), ("bad", b"no zip"), ("empty", epub(False))], "path string, content binary")
-    rows = parsers.epub_paragraphs(f).orderBy("path", "paragraph_id").collect()
-    assert [(r.text, r.hierarchy.level_1, r.chapter_href) for r in rows if r.path == "x"] == [("one two", "A", "O/a.xhtml"), ("three", "", "O/b.xhtml")]
+    rows = epub_books.epub_paragraphs(f, epub_books.EpubConfig(min_paragraph_words=1)).orderBy("path", "paragraph_id").collect()
+    assert [(r.text, r.hierarchy.level_1, r.chapter_href) for r in rows if r.path == "x"] == [("one two", "", "a.xhtml"), ("three", "", "b.xhtml")]
+    assert [r.hierarchy.level_2 for r in rows if r.path == "x"] == ["A", ""]  # headings come below the contents' level
     assert all(r.text is None and r.error for r in rows if r.path != "x")
 
 
+NCX = """<ncx xmlns="n"><navMap><navPoint><navLabel><text>1. First Part</text></navLabel><content src="a.xhtml"/>
+<navPoint><navLabel><text>Inner Section</text></navLabel><content src="a.xhtml#in"/></navPoint></navPoint></navMap></ncx>"""
+
+
+def book(*documents, toc=NCX, meta=""):
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="u"><rootfiles><rootfile full-path="c.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="{n}" href="{n}.xhtml"/>' for n, _ in documents)
+        z.writestr("c.opf", f'<package xmlns="v" xmlns:dc="d"><metadata>{meta}</metadata><manifest>{items}<item id="t" href="t.ncx" media-type="application/x-dtbncx+xml"/></manifest><spine>{"".join(f"""<itemref idref="{n}"/>""" for n, _ in documents)}</spine></package>')
+        z.writestr("t.ncx", toc)
+        for n, body in documents:
+            z.writestr(f"{n}.xhtml", f"<html><body>{body}</body></html>")
+    return b.getvalue()
+
+
+def told(content, **cfg):
+    return [(s, tag, [x for x in at if x]) for _, _, _, s, tag, at in epub_books.book_paragraphs(content, epub_books.EpubConfig(**cfg))]
+
+
+WORDS = "a paragraph of seven words or more"
+
+
+def test_epub_contents_and_headings():
+    body = f'<h1>First Part</h1><p>{WORDS} one</p><h2 id="in">Inner Section</h2><p>{WORDS} two</p><h3>Deep</h3><p>{WORDS} three</p>'
+    assert told(book(("a", body), ("b", f"<p>{WORDS} four</p>"))) == [
+        (f"{WORDS} one", "p", ["First Part"]), (f"{WORDS} two", "p", ["First Part", "Inner Section"]),
+        (f"{WORDS} three", "p", ["First Part", "Inner Section", "Deep"]), (f"{WORDS} four", "p", ["First Part"]),
+    ]
+
+
+def test_epub_blocks():
+    long = " ".join(f"w{i}" for i in range(30))
+    body = f"""<div class="calibre1">{long} x</div><div>{long}</div><div>short one</div><div><p>{WORDS}</p></div><ul><li>{WORDS} li</li><li><p>{WORDS} in li</p></li></ul>
+        <p><span>{WORDS} span</span></p><p>too few</p><pre>x = 1</pre><p class="note">{WORDS} note</p><p>{WORDS} <a epub:type="noteref" href="#n">9</a>end<br/>here</p>
+        <p><span class="dropcap">O</span>nce {WORDS}</p><p>{WORDS} <span class="smallcaps">A <b>B</b></span></p><p>{WORDS} span</p>"""
+    assert [(s, tag) for s, tag, _ in told(book(("a", body)))] == [
+        (long, "div"), (WORDS, "p"), (f"• {WORDS} li", "li"), (f"{WORDS} in li", "p"), (f"{WORDS} span", "p"), ("x = 1", "pre"),
+        (f"{WORDS} end here", "p"), (f"Once {WORDS}", "p"), (f"{WORDS} AB", "p"),
+    ]
+
+
+def test_epub_visual_headings_and_windows():
+    body = f'<p style="font-size: 2em"><b>A Great Heading</b></p><p>{WORDS}</p>'
+    assert [at for *_, at in told(book(("x", body)), visual_headings=True)] == [["A Great Heading"]]
+    assert told(book(("x", " ".join(f"w{i}" for i in range(150)))))[1][0].startswith("w80 ")
+    assert epub_books.clean_description("<p>One <b>two</b>.</p>") == "One two."
+
+
+def test_epub_metadata(spark):
+    meta = "<dc:title>T</dc:title><dc:creator>A</dc:creator><dc:creator>B</dc:creator><dc:description>&lt;p&gt;x&lt;/p&gt; y</dc:description><dc:subject>s</dc:subject>"
+    f = spark.createDataFrame([("x", book(("a", "<p>x</p>"), meta=meta)), ("bad", b"")], "path string, content binary")
+    r = {r.path: r for r in epub_books.epub_metadata(f).collect()}
+    assert (r["x"].title, r["x"].authors, r["x"].description, r["x"].subjects) == ("T", ["A", "B"], "x y", ["s"]) and r["bad"].title is None
+
+
 def para(i, n, levels=("A",), kind="prose", doc=1):
     t = " ".join(f"w{i}" for _ in range(n)) + "."
     h = tuple([*levels, *[""] * (6 - len(levels))])
@@ -235,7 +293,7 @@ def test_sinks_and_readers(spark, tmp_path):
     (tmp_path / "m" / "c.epub").write_bytes(epub())
     assert readers.read_markdown(spark, str(tmp_path / "m")).first().text == "body text"
     assert readers.read_html(spark, str(tmp_path / "m")).first().hierarchy.level_1 == "T"
-    assert readers.read_epub(spark, str(tmp_path / "m")).count() == 2
+    assert readers.read_epub(spark, str(tmp_path / "m"), epub_books.EpubConfig(min_paragraph_words=1)).count() == 2
     assert {r.format for r in readers.files(spark, str(tmp_path / "m")).collect()} == {"markdown", "html", "epub"}
 
 
