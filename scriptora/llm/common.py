@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +25,37 @@ LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a local one (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (as in tests) gets a folder of its own, and any other one an error.
+    """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "scriptora-shared")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="scriptora-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of written tables, for each open scratch().
+_scopes: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: its lineage ends there and a lost executor loses nothing.
 
-    Once the table is complete nothing reads the shuffle files behind it, so they are deleted with the write's end.
+    Once the table is complete nothing reads the shuffle files behind it, so they are deleted with the write's end. The
+    table itself goes with discard(), at the end of the scratch() that it was written in, or else with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -46,7 +65,58 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that written() made and that nothing reads any more."""
+    _delete(df.sparkSession, df._written_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within are deleted at its end, but for the one that is passed to the function it gives."""
+    _scopes.append([])
+    kept = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._written_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            if path not in kept:
+                _delete(spark, path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has in any case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

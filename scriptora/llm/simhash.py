@@ -7,7 +7,8 @@ a bucket the fingerprints are stored as 64 vertical bit planes: one XOR updates
 carry-save counter adds them up, and words of 64 are abandoned once all exceed the radius. Buckets beyond TILE
 fingerprints are cut into tiles that meet in pairs, each its own unit of work. A tile returns one row for each linked
 fingerprint, never its pairs: how many documents it links to (counted only in the first table where the two meet) and
-a representative of its local component. Components join by alternating large and small stars.
+a representative of its local component. Components join by alternating large and small stars. The tiles go over as
+many tasks as their counted comparisons need, a tile being at most TILE squared.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows are separate documents. Null
 ids are ignored for component_id. Empty tables give empty results. Only the id and text columns are read.
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptora.llm.common import SPACES, ascii_lower, id_and_text, written
+from scriptora.llm.common import SPACES, ascii_lower, discard, unused, written
 
 RADIUS, TILE = 3, 2048
+#: Comparisons of fingerprints that one task makes (a few seconds' work).
+TASK_PAIRS = 1 << 27
 #: Bit blocks as (lowest bit, bits), and the tables: pairs of blocks.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = tuple(combinations(range(len(BLOCKS)), 2))
@@ -64,21 +67,23 @@ def _majority(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
+    """doc_id, the columns keep and fp, the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            h = b.column(1)
+            h = b.column(b.num_columns - 1)
             flat = h.flatten()
             values = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
             offsets = np.asarray(h.offsets.to_numpy(), dtype=np.int64)
             fp = _majority(values, offsets - (offsets[0] if len(offsets) else 0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=["doc_id", *keep, "fp"])
 
-    hashes = F.coalesce(F.flatten(shingle_hashes(F.col("text"))), F.array().cast("array<bigint>"))
-    return id_and_text(docs, id_col, text_col).select("doc_id", hashes.alias("h")).mapInArrow(run, f"doc_id {kind}, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashes = F.coalesce(F.flatten(shingle_hashes(text)), F.array().cast("array<bigint>"))
+    more = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, hashes.alias("h")).mapInArrow(run, f"doc_id {kind}{more}, fp long")
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -220,7 +225,9 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
         for t, (a, b) in enumerate(TABLES)
     ]
     keyed = distinct.select("fp", "n", F.explode(F.array(*key)).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = written(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    work = sizes.agg(F.coalesce(F.sum(F.pow(F.col("size").cast("double"), 2)), F.lit(0.0))).first()[0]
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work // TASK_PAIRS) + 1)
     m = F.ceil(F.col("size") / F.lit(tile))
     mine = F.pmod(F.xxhash64("fp"), F.col("m"))
     rows = (
@@ -237,15 +244,18 @@ def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
             "n",
         )
     )
-    return rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(_link, "fp long, near long, link long")
+    return rows.repartition(tasks, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").mapInArrow(_link, "fp long, near long, link long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges: u, v. Rows (u, root), root the smallest node of u's component; nodes that are roots are left out."""
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v. Rows (u, root), root the smallest node of u's component; nodes that are roots are left out.
+
+    Rounds go on until nothing changes, after about log(n) of them and log(n) squared at most.
+    """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.join(low, "u").where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
@@ -257,40 +267,52 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        e = written(small, "edges")
+        before, e = e, written(small, "edges")
+        discard(before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select("u", F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long), n_near (documents linked directly) and component_id (smallest id reachable), a row a document."""
-    fp = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = fp.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+def classes(fp: DataFrame) -> DataFrame:
+    """fp: doc_id, fp. For each fingerprint: n_near, root (the class of its documents) and component_id."""
+    distinct = written(fp.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
     found = written(links(distinct), "links")
     near = found.groupBy("fp").agg(F.sum("near").alias("near"))
     root = components(found.select(F.col("fp").alias("u"), F.col("link").alias("v")))
-    classes = (
+    each = (
         distinct.join(near, "fp", "left")
         .join(root.withColumnRenamed("u", "fp"), "fp", "left")
         .withColumn("root", F.coalesce("root", "fp"))
         .select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "root", "least")
     )
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fp.join(classes.join(least, "root").select("fp", "n_near", "component_id"), "fp").select(
-        "doc_id", "fp", "n_near", "component_id"
-    )
+    least = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    return each.join(least, "root").select("fp", "n_near", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (long), n_near (documents linked directly) and component_id (smallest id reachable), a row a document."""
+    fp = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    return fp.join(classes(fp).drop("root"), "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document of the smallest id of each group, with its columns, once if it is repeated. Rows without an id stay."""
-    d = near_duplicates(docs, id_col, text_col)
-    keep = d.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep.hint("shuffle_hash"), F.col(id_col) == F.col("__id"))
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1)))
-    named = named.withColumn("__nth", nth).where("__nth = 1")
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One document of each class, with its columns: that of the smallest id, documents without an id last.
+
+    Of different texts with that same id the one of the smallest hash stays, of rows that differ in other columns only
+    that of the smallest hash of the row. Two texts of one id that aren't near each other are in two classes: both stay.
+    """
+    text_hash, row_hash, nth, own_id, own_hash = unused(docs, "text_hash", "row_hash", "nth", "own_id", "own_hash")
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    hashed = docs.select(id_col, text_col, h.alias("own_hash"))
+    fp = written(fingerprints(hashed, id_col, text_col, keep=("own_hash",)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "own_hash")).alias("first")
+    kept = fp.join(classes(fp).select("fp", "root"), "fp").groupBy("root").agg(first)
+    kept = kept.select(F.col("first.doc_id").alias(own_id), F.col("first.own_hash").alias(own_hash)).distinct()
+    # repeated rows are reduced to one before they are moved (the window's limit works within each task first)
+    window = Window.partitionBy(id_col, text_hash).orderBy(row_hash)
+    d = docs.withColumns({text_hash: h, row_hash: F.xxhash64(*docs.columns)}).withColumn(nth, F.row_number().over(window)).where(F.col(nth) == 1)
+    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(text_hash) == F.col(own_hash))
+    return d.join(kept.hint("shuffle_hash"), on, "left_semi").select(*docs.columns)
