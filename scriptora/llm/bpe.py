@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from scriptora.llm.common import id_and_text
 
-LEAF_CHARS = 1 << 15
+#: Short enough that most texts are encoded by joins of several leaves.
+LEAF_CHARS = 1 << 9
 WINDOW_CHARS = 64
 _CUT = re.compile(r"(?<=\S)[ \t\r\n]")
 
