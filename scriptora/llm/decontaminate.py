@@ -20,9 +20,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptora.llm.common import GAPS, ascii_lower, id_and_text, written
+from scriptora.llm.common import GAPS, ascii_lower, id_and_text, unused, written
 
 WIDTH, BLOCK_BYTES = 8, 8 << 20
+#: About as many items at most are in one row of a window; there are further rows for more.
+ITEMS_A_ROW = 500
 _SENTINEL = " "
 
 
@@ -31,16 +33,23 @@ def _words(text):
 
 
 def item_windows(items: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """key, words, item_ids (distinct, as text) of each distinct window."""
+    """key, part, words, item_ids (distinct, as text) of each distinct window; one that very many items share has parts."""
     w = items.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"),
         F.filter(_words(F.coalesce(F.col(text_col), F.lit(""))), lambda x: x != "").alias("w"),
     ).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    return (
+    w = (
         w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("words"))
         .withColumn("key", F.array_join("words", " "))
-        .groupBy("key")
+        .groupBy("key", "item_id")
+        .agg(F.first("words").alias("words"))
+    )
+    many = w.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > ITEMS_A_ROW)
+    part = F.pmod(F.xxhash64("item_id"), F.ceil(F.coalesce("n", F.lit(1)) / ITEMS_A_ROW))
+    return (
+        w.join(many, "key", "left")
+        .groupBy("key", part.alias("part"))
         .agg(F.first("words").alias("words"), F.collect_set("item_id").alias("item_ids"))
     )
 
@@ -51,7 +60,7 @@ def _anchored(windows: DataFrame, docs: DataFrame) -> DataFrame:
     seen = docs.select(F.explode_outer(_words(F.col("text"))).alias("word")).join(F.broadcast(vocabulary), "word")
     counts = seen.groupBy("word").agg(F.count("*").alias("n"))
     rarest = (
-        windows.select("key", F.explode("words").alias("word"))
+        windows.select("key", "words").distinct().select("key", F.explode("words").alias("word"))
         .join(counts, "word", "left")
         .groupBy("key")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("low"))
@@ -71,7 +80,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_ite
     windows = item_windows(items, width)
     total = windows.agg(F.coalesce(F.sum(F.length("key") + 16 * F.size("item_ids") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    parts = [_block(d, windows.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b) if blocks > 1 else windows) for b in range(blocks)]
+    parts = [_block(d, windows.where(F.pmod(F.xxhash64("key", "part"), F.lit(blocks)) == b) if blocks > 1 else windows) for b in range(blocks)]
     if blocks == 1:
         merged = parts[0]
     else:
@@ -140,7 +149,8 @@ def _block(d: DataFrame, windows: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated, with their columns."""
-    bad = contamination(docs, items, width, min_items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own_id, own_hash = unused(docs, "own_id", "own_hash")
+    bad = contamination(docs, items, width, min_items, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     bad = written(bad, "contaminated")  # its size is known from its files, so the planner broadcasts it only below the threshold
-    same = docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["__hash"])
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(own_hash))
     return docs.join(bad, same, "left_anti")
