@@ -3,12 +3,12 @@
 Rows are hashed by id and text. Bytes are first summed into cells of STEP prefix bits, so a directory level is built
 from pre-aggregated rows however large the table is; only rows in cells that are still oversized are summed again, by
 STEP more bits. Within the cells, a bucket is the shortest prefix whose bytes fit the limit. Rows that share all BITS
-bits (repeats of one row) can't be told apart by bits; they are numbered within their input partition and packed into
-parts that fit the limit. A row that alone exceeds the limit is a shard of its own.
+bits (repeats of one row) can't be told apart by bits; they are numbered within their input partition, in the order of a
+hash of the row, and packed into parts that fit the limit. A row that alone exceeds the limit is a shard of its own.
 
 The directory has about as many rows as there are shards. It is broadcast if its counted rows are at most
 BROADCAST_ROWS, else joined by a shuffle. Null texts count 0 bytes, null ids hash like the empty text. Empty tables give
-no shards. Other columns pass through.
+no shards. Other columns pass through, whatever their names; columns n_bytes, shard or depth are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptora.llm.common import written
+from scriptora.llm.common import unused, written
 
 STEP, BITS, BROADCAST_ROWS = 12, 60, 1_000_000
 
@@ -55,21 +55,25 @@ def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
         buckets.append(left.select(F.lit(BITS + 1).alias("depth"), F.col("over").alias("bucket")))
     found = written(reduce(DataFrame.unionByName, buckets), "shard-directory")
     sizes = {r[0]: r[1] for r in found.groupBy("depth").count().collect()}  # at most BITS + 1 rows
-    out = docs.withColumns({"__h": h, "n_bytes": n_bytes})
+    own_h, own_b, own_p, row_hash, *ds = unused(docs.drop("n_bytes", "shard", "depth"), "h", "b", "p", "row_hash", *[f"d{d}" for d in sorted(sizes)])
+    at_depth = dict(zip(sorted(sizes), ds))
+    out = docs.withColumns({own_h: h, "n_bytes": n_bytes})
     for d in sorted(sizes):
-        at = found.where(F.col("depth") == d).select(F.col("bucket").alias("__b"), F.lit(d).alias(f"__d{d}"))
+        at = found.where(F.col("depth") == d).select(F.col("bucket").alias(own_b), F.lit(d).alias(at_depth[d]))
         at = F.broadcast(at) if sizes[d] <= BROADCAST_ROWS else at
-        out = out.join(at, F.shiftright("__h", max(0, BITS - d)) == F.col("__b"), "left").drop("__b")
-    depth = F.coalesce(*[F.col(f"__d{d}") for d in sorted(sizes)], F.lit(None).cast("int"))
+        out = out.join(at, F.shiftright(own_h, max(0, BITS - d)) == F.col(own_b), "left").drop(own_b)
+    depth = F.coalesce(*[F.col(k) for k in ds], F.lit(None).cast("int"))
     out = out.withColumn("depth", F.least(depth, F.lit(BITS)))
-    out = out.withColumn("shard", F.substring(F.lpad(F.bin("__h"), BITS, "0"), F.lit(1), F.col("depth")))
+    out = out.withColumn("shard", F.substring(F.lpad(F.bin(own_h), BITS, "0"), F.lit(1), F.col("depth")))
     if BITS + 1 in sizes:
-        deep = out.where(F.col(f"__d{BITS + 1}").isNotNull()).withColumn("__p", F.spark_partition_id())
-        nth = F.row_number().over(Window.partitionBy("__h", "__p", "n_bytes").orderBy(F.lit(1))) - 1
+        mark = at_depth[BITS + 1]
+        # the order doesn't depend on how a task reads its rows, so one that is run again gives the same names
+        deep = out.where(F.col(mark).isNotNull()).withColumns({own_p: F.spark_partition_id(), row_hash: F.xxhash64(*docs.columns)})
+        nth = F.row_number().over(Window.partitionBy(own_h, own_p, "n_bytes").orderBy(row_hash)) - 1
         part = F.floor(nth / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1)))))
-        name = F.concat_ws("-", "shard", F.col("__p").cast("string"), F.col("n_bytes").cast("string"), part.cast("string"))
-        out = out.where(F.col(f"__d{BITS + 1}").isNull()).unionByName(deep.withColumn("shard", name).drop("__p"))
-    return out.drop("__h", *[f"__d{d}" for d in sizes])
+        name = F.concat_ws("-", "shard", F.col(own_p).cast("string"), F.col("n_bytes").cast("string"), part.cast("string"))
+        out = out.where(F.col(mark).isNull()).unionByName(deep.withColumn("shard", name).drop(own_p, row_hash))
+    return out.drop(own_h, *ds)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
