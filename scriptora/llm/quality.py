@@ -1,18 +1,21 @@
 """Quality rules by robust multivariate outliers, in DataFrame operations only.
 
-Each text becomes a vector of transformed statistics: how long its words are, its share of symbols, of repeated lines
-and of words in repeated 3-word windows, and how many words it has. Per language and source, the minimum covariance
-determinant is estimated by concentration steps: from the coordinate-wise medians, take the SUPPORT share of rows that
-are nearest, recompute mean and covariance from them, and repeat. A floor on the variances keeps the covariance of
-statistics that are mostly zero invertible. Distances are scaled so that their median is that of a chi-square, and a
-text is rejected if its squared Mahalanobis distance exceeds CUTOFF and it is worse than the group's mean in a
-statistic of junk (symbols, repeated lines, repeated words, unusual word lengths) by more than that statistic's margin.
+Each text becomes a vector of transformed statistics: how long its words are (the logarithm), its share of symbols (the
+root), of repeated lines, and of words in repeated 3-word windows. Per language and source, the minimum covariance
+determinant is estimated: from three starts (medians with the least scales, medians with quartile scales, means with the
+covariance of all rows) concentration steps take the SUPPORT share of rows that are nearest and recompute mean and
+covariance from them, until the determinants settle; the estimate of the least determinant holds. A floor on the
+variances keeps the covariance of statistics that are mostly zero invertible. Distances are scaled down if their median
+exceeds that of a chi-square, and a text is rejected if its squared Mahalanobis distance exceeds CUTOFF, a quantile of that
+chi-square. How many words a text has is left to the base rule: a long text is no outlier.
 
 All estimates cover all rows that pass the base rule and are aggregates by group: partial sums and quantile sketches
 are merged map-side, so a hot group never meets in one task. Rows of a group with fewer than LEAST of these rows are
 judged by a pooled estimate: that of their language's rows, or of all rows if the language has fewer than LEAST too
-(of the group columns, one more is left out from the right each time). Null texts have no words and null languages or sources form their own group. Repeated rows each give a
-row; only the named columns are read. Windows are compared by 64-bit hashes within a text.
+(of the group columns, one more is left out from the right each time). If no row passes the base rule there is no
+estimate, and no distance: every row is rejected by the base rule. Null texts have no words and null languages or sources
+form their own group. Empty tables give no rows. Repeated rows each count and each give a row; rows of one text have one
+verdict in a group; only the named columns are read. Windows are compared by 64-bit hashes within a text.
 """
 
 from __future__ import annotations
@@ -22,16 +25,15 @@ from pyspark.sql import functions as F
 
 from scriptora.llm.common import SPACES, written
 
-SUPPORT, STEPS, LEAST = 0.75, 4, 50
-#: Quantiles of the chi-square with 5 degrees, at 0.5 and 0.999.
-CHI2_MEDIAN, CUTOFF = 4.3515, 20.515
-DIMS = ("x_length", "x_symbols", "x_lines", "x_repeats", "x_words")
-#: Least standard deviation of a statistic, and by how much a junk statistic has to exceed the mean. Root shares of
-#: repeated lines reach 1 and those of repeated words 0.7 after the base rule, so each floor lets its statistic alone
-#: exceed CUTOFF; one repeated line of three stays below.
-FLOOR, MARGIN = (0.05, 0.03, 0.13, 0.1, 0.5), (0.25, 0.1, 0.5, 0.5, None)
-#: Statistics for which small values are as unusual as large ones.
-TWO_SIDED = ("x_length",)
+SUPPORT, LEAST = 0.75, 50
+#: Concentration ends when no determinant falls by more than this share, or after so many steps.
+SETTLED, STEPS = 1e-3, 20
+#: Quantiles of the chi-square with 4 degrees, at 0.5 and 0.999.
+CHI2_MEDIAN, CUTOFF = 3.3567, 18.467
+DIMS = ("x_length", "x_symbols", "x_lines", "x_repeats")
+#: Least standard deviation of a statistic. Each lets its statistic alone exceed CUTOFF (shares of repeated lines go up to
+#: 1, those of repeated words to 0.5 after the base rule); one repeated line of three stays below.
+FLOOR = (0.05, 0.03, 0.08, 0.08)
 
 
 def _let(value: Column, f):
@@ -90,31 +92,34 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def vector(s: DataFrame) -> DataFrame:
     """The transformed statistics of each row."""
-    share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return s.withColumns(
         {
             "x_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
-            "x_symbols": share("n_symbols", "word_chars"),
+            "x_symbols": F.sqrt(share("n_symbols", "word_chars")),
             "x_lines": share("n_dup_lines", "n_lines"),
             "x_repeats": share("n_repeat_words", "n_words"),
-            "x_words": F.log1p("n_words"),
         }
     )
 
 
-def _distance(mean) -> Column:
+def _distance() -> Column:
     """The squared Mahalanobis distance by forward substitution through the Cholesky factor's columns."""
     z = []
     for i, x in enumerate(DIMS):
-        v = F.col(x) - F.col(mean(x))
+        v = F.col(x) - F.col(f"m_{x}")
         for j in range(i):
             v = v - F.col(f"l{i}{j}") * z[j]
         z.append(v / F.col(f"l{i}{i}"))
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
+#: The columns of an estimate.
+_ESTIMATE = [f"m_{x}" for x in DIMS] + [f"l{i}{j}" for i in range(len(DIMS)) for j in range(i + 1)]
+
+
 def _estimate(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Per group: means m_* and the Cholesky factor l** of the floored covariance, as columns."""
+    """Per group: means m_*, the Cholesky factor l** of the floored covariance, and log_det, the logarithm of its determinant."""
     p = len(DIMS)
     sums = [F.avg(x).alias(f"m_{x}") for x in DIMS] + [
         F.avg(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)
@@ -137,7 +142,8 @@ def _estimate(rows: DataFrame, groups: list[str]) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", v / F.col(f"l{j}{j}"))
-    return out.select(*groups, *[f"m_{x}" for x in DIMS], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    log_det = sum((F.log(f"l{i}{i}") for i in range(1, p)), F.log("l00")) * 2
+    return out.select(*groups, *_ESTIMATE, log_det.alias("log_det"))
 
 
 def _join(rows: DataFrame, per_group: DataFrame, groups: list[str]) -> DataFrame:
@@ -176,6 +182,42 @@ def _at_level(groups: list[str]) -> list[Column]:
     return [F.col("level"), *[F.when(F.col("level") > i, F.col(g)).alias(f"e_{g}") for i, g in enumerate(groups)]]
 
 
+def _starts(good: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group and start: a first estimate."""
+    q = good.groupBy(*groups).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in DIMS])
+    medians = [F.get(f"q_{x}", F.lit(1)).alias(f"m_{x}") for x in DIMS]
+
+    def diagonal(scale):
+        return [(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(len(DIMS)) for j in range(i + 1)]
+
+    quartiles = lambda i: F.greatest(F.lit(FLOOR[i]), (F.get(f"q_{DIMS[i]}", F.lit(2)) - F.get(f"q_{DIMS[i]}", F.lit(0))) / 1.349)
+    least = q.select(*groups, *medians, *diagonal(lambda i: F.lit(FLOOR[i])), F.lit(0).alias("start"))
+    spread = q.select(*groups, *medians, *diagonal(quartiles), F.lit(1).alias("start"))
+    every = _estimate(good, groups).select(*groups, *_ESTIMATE, F.lit(2).alias("start"))
+    return least.unionByName(spread).unionByName(every)
+
+
+def _least_determinant(good: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group: the estimate of the least determinant that concentration steps reach from any start.
+
+    A step is two aggregates: the quantile of the distances, then the moments of the rows within it. Of all steps from all
+    starts the least determinant counts.
+    """
+    keys = [*groups, "start"]
+    now, before, best = written(_starts(good, groups), "starts"), None, None
+    for _ in range(STEPS):
+        d = _join(good, now, groups).select(*keys, *DIMS, _distance().alias("d2"))
+        limit = written(d.groupBy(*keys).agg(F.percentile_approx("d2", SUPPORT, 1000).alias("h")), "support")
+        now = written(_estimate(_join(d, limit, keys).where("d2 <= h"), keys), "concentrated")
+        best = now if best is None else best.unionByName(now)
+        if before is not None:
+            fall = _join(now, before, keys).agg(F.max(F.col("log_det_before") - F.col("log_det"))).first()[0]
+            if fall is None or fall <= SETTLED:
+                break
+        before = now.select(*keys, F.col("log_det").alias("log_det_before"))
+    return best.groupBy(*groups).agg(F.min_by(F.struct(*_ESTIMATE), F.struct("log_det", "start")).alias("e")).select(*groups, "e.*")
+
+
 def verdicts(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", group_cols=("lang", "source")) -> DataFrame:
     """The columns of statistics() with distance (squared, scaled; null if no row passes the base rule) and kept."""
     by = [f"g{i}" for i in range(len(group_cols))]
@@ -183,27 +225,11 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", te
     stats = _join(stats, _levels(stats, by), by)
     good = stats.where(~F.col("base_failed")).withColumn("level", F.explode("feeds")).select(*_at_level(by), *DIMS)
     groups = ["level", *[f"e_{g}" for g in by]]
-    q = lambda c, at, name: F.percentile_approx(c, at, 1000).alias(name)
-    median = written(good.groupBy(*groups).agg(*[q(x, 0.5, f"m_{x}") for x in DIMS]), "medians")
-    centred = _join(good, median, groups)
-    first = sum(((F.col(x) - F.col(f"m_{x}")) / F.lit(f)) ** 2 for x, f in zip(DIMS, FLOOR))
-    d = centred.select(*groups, *DIMS, first.alias("d2"))
-    per_group = None
-    for _ in range(STEPS):
-        limit = written(d.groupBy(*groups).agg(q("d2", SUPPORT, "h")), "support")
-        near = _join(d, limit, groups).where("d2 <= h")
-        per_group = written(_estimate(near, groups), "covariance")
-        d = _join(good.select(*groups, *DIMS), per_group, groups).where("l00 is not null")
-        d = d.select(*groups, *DIMS, _distance(lambda x: f"m_{x}").alias("d2"))
-    scale = written(d.groupBy(*groups).agg(q("d2", 0.5, "middle")), "scale")
+    per_group = written(_least_determinant(good, groups), "covariance")
+    d = _join(good, per_group, groups).select(*groups, _distance().alias("d2"))
+    scale = written(d.groupBy(*groups).agg(F.percentile_approx("d2", 0.5, 1000).alias("middle")), "scale")
     per_group = _join(per_group, scale, groups)
     out = _join(stats.select("*", *_at_level(by)[1:]), per_group, groups)
-    distance = _distance(lambda x: f"m_{x}") * F.least(F.lit(1.0), CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(1e-9)))
-    worse = F.lit(False)
-    for x, m in zip(DIMS, MARGIN):
-        if m is not None:
-            gap = F.col(x) - F.col(f"m_{x}")
-            worse = worse | ((F.abs(gap) if x in TWO_SIDED else gap) > m)
+    distance = _distance() * F.least(F.lit(1.0), CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(1e-9)))
     out = out.withColumn("distance", distance)
-    rejected = F.coalesce((F.col("distance") > cutoff) & worse, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
