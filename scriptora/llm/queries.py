@@ -71,7 +71,8 @@ def op5_sharding(spark, sf_dir):
 def op7_secrets(spark, sf_dir):
     from scriptora.llm import secrets
 
-    d = secrets.findings(table(spark, sf_dir, "documents"))
+    # the ledger of these tables stays in the shared folder: a later run scans only what is new
+    d = secrets.findings(table(spark, sf_dir, "documents"), secrets.ledger_of(spark, sf_dir))
     base = F.filter("spans", lambda s: s["rank"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
     return d.select(
