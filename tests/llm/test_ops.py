@@ -61,6 +61,19 @@ def test_contamination(docs, rows, items, block, monkeypatch):
     assert any(x[4] for x in got) and not all(x[4] for x in got)
 
 
+def test_windows_that_all_items_share(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS_A_ROW", 7)
+    head = "all items begin with these same eight words"
+    texts = [(i, f"{head} item{i}") for i in range(60)] + [(3, f"{head} item3")]
+    got = decontaminate.contamination(
+        spark.createDataFrame([(1, "x " + head), (2, f"{head} item5"), (3, "none")], "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")
+    ).collect()
+    got = {r.doc_id: (r.n_hit, r.n_items, len(r.item_ids)) for r in got}
+    assert got == {1: (8, 60, 60), 2: (9, 60, 60), 3: (0, 0, 0)}
+    rows = decontaminate.item_windows(spark.createDataFrame(texts, "item_id long, text string")).collect()
+    assert max(len(r.item_ids) for r in rows) <= 20 and sum(len(r.item_ids) for r in rows if r.key == head) == 60
+
+
 def test_contamination_of_nothing(docs, empty, items, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(empty, items[1]).count() == 0
@@ -99,12 +112,25 @@ def test_near_duplicates(docs, rows):
 
 def test_one_of_each(docs, empty):
     kept = simhash.one_of_each(docs)
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs.columns and len(ids) == len(set(ids)) and 100 not in ids[1:] or ids.count(100) <= 1
-    assert ids.count(3) == 1 and ids.count(None) == 1
+    assert kept.columns == docs.columns
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    # one row of each class of those with an id, and the text without an id, which is near no other
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for c in of.values() if c is not None})
+    assert [r.text for r in kept.where("doc_id is null").collect()] == ["Null id text here"]
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_of_equal_ids_and_clashing_names(spark):
+    a, b = "one two three four five six seven", "eins zwei drei vier fünf sechs sieben acht"
+    rows = [(5, a, "x", 1, 2, 3), (5, b, "x", 1, 2, 3), (5, a, "y", 1, 2, 3), (5, a, "y", 1, 2, 3), (9, b, "z", 1, 2, 3), (None, "", "n", 1, 2, 3), (None, None, "n", 1, 2, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, own_id string, text_hash int, nth int, __id int").repartition(3)
+    got = simhash.one_of_each(d)
+    assert got.columns == d.columns
+    out = got.collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.doc_id is not None) == [(5, b), (5, a)] and len(out) == 3
+    assert all((r.text_hash, r.nth, r["__id"]) == (1, 2, 3) for r in out) and {r.own_id for r in out} <= {"x", "y", "n"}
+
+
 def test_bit_planes_agree_with_popcount():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -218,6 +244,51 @@ def test_quality_rejects_for_repeated_lines_or_words_alone(spark):
     assert {r.doc_id for r in out if not r.kept} == {r[0] for r in rows if r[0] >= 1000}
 
 
+def robust(X):
+    """Scaled squared distances by the covariance of the least determinant, in NumPy."""
+    floor, best = np.diag(np.square(quality.FLOOR)), None
+    at = lambda q: np.sort(X, 0)[np.maximum(np.ceil(q * len(X)).astype(int) - 1, 0)]
+    spread = np.maximum(quality.FLOOR, (at(0.75) - at(0.25)) / 1.349)
+    far = lambda m, S: np.einsum("ij,jk,ik->i", X - m, np.linalg.inv(S), X - m)
+    for m, S in ((at(0.5), floor), (at(0.5), np.diag(spread**2)), (X.mean(0), np.cov(X.T, bias=True) + floor)):
+        before = np.inf
+        for _ in range(quality.STEPS):
+            d = far(m, S)
+            near = X[d <= np.sort(d)[int(np.ceil(quality.SUPPORT * len(X))) - 1]]
+            m, S = near.mean(0), np.cov(near.T, bias=True) + floor
+            det = np.linalg.slogdet(S)[1]
+            best = (det, m, S) if best is None or det < best[0] - 1e-12 else best
+            if before - det < 1e-9:
+                break
+            before = det
+    d = far(*best[1:])
+    return d * min(1, quality.CHI2_MEDIAN / np.sort(d)[int(np.ceil(len(d) / 2)) - 1])
+
+
+def test_quality_is_what_numpy_gives(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(quality, "SETTLED", 1e-9)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(1, 11))) + rng.choice(["", "", "", "#", "##"])
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(240):
+        lines = [some(rng.randint(5, 12)) for _ in range(rng.randint(20, 40))]
+        lines += rng.choices(lines, k=rng.choice([0, 0, 0, 1, 3, 9]))
+        rows.append((i, "\n".join(lines), rng.choice(["en", "de"]), "s"))
+    out = quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    verdicts = set()
+    for lang in ("en", "de"):
+        mine = [r for r in out if r.g0 == lang and not r.base_failed]
+        assert len(mine) > 80
+        want = robust(np.array([[r[x] for x in quality.DIMS] for r in mine]))
+        assert [r.distance for r in mine] == pytest.approx(want.tolist(), rel=1e-6)
+        assert [r.kept for r in mine] == (want <= quality.CUTOFF).tolist()
+        verdicts |= {r.kept for r in mine}
+    assert verdicts == {True, False}
+
+
 def test_quality_judges_small_groups(spark):
     import random
 
@@ -253,6 +324,35 @@ def test_shards_fit(docs, rows, limit):
         assert set(by) == {""}
 
 
+def by_hand(rows, limit):
+    """The bucket of each (60-bit hash, bytes): the shortest prefix whose rows fit the limit, or all bits."""
+    total = Counter()
+    for h, n in rows:
+        for d in range(61):
+            total[d, h >> (60 - d)] += n
+    out = []
+    for h, _ in rows:
+        d = next((d for d in range(61) if total[d, h >> (60 - d)] <= limit), 60)
+        out.append(format(h, "060b")[:d])
+    return out
+
+
+@pytest.mark.parametrize("limit", [300, 2000, 100000])
+def test_shards_are_the_shortest_prefixes(spark, limit):
+    import random
+
+    rng = random.Random(12)
+    data = [(i, "x" * rng.randint(0, 150), 1, 2, 3) for i in range(500)]
+    d = spark.createDataFrame(data, "doc_id long, text string, h int, b int, `__h` int").repartition(3)
+    out = sharding.assign(d, limit)
+    assert out.columns == [*d.columns, "n_bytes", "depth", "shard"]
+    h = d.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 4).alias("k"), F.octet_length("text").alias("n")).collect()
+    want = dict(zip((r.doc_id for r in h), by_hand([(r.k, r.n) for r in h], limit)))
+    got = out.collect()
+    assert {r.doc_id: r.shard for r in got} == want
+    assert all((r.h, r.b, r["__h"]) == (1, 2, 3) and r.depth == len(r.shard) for r in got)
+
+
 def test_repeated_rows_are_packed(spark, empty):
     d = spark.createDataFrame([(1, "x" * 10)] * 95, "doc_id long, text string")
     by = Counter(r.shard for r in sharding.assign(d, 50).collect())
@@ -364,6 +464,29 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert a == {(r.doc_id, tuple(r.spans)) for r in secrets.findings(more).collect()}
 
 
+def test_ledger_is_kept(spark, docs, tmp_path, monkeypatch):
+    at, some = f"file://{tmp_path}/ledger", docs.where("doc_id is null or doc_id <> 205")
+    want = lambda d: sorted((r.blob, tuple(r.spans)) for r in secrets.findings(d).collect())
+    got = lambda d, **k: sorted((r.blob, tuple(r.spans)) for r in secrets.findings(d, at, **k).collect())
+    scanned, scan = [], secrets._scan
+    monkeypatch.setattr(secrets, "_scan", lambda blobs, rules: (scanned.append(blobs.count()), scan(blobs, rules))[1])
+    assert got(some) == want(some)
+    assert got(docs) == want(docs)
+    assert got(docs) == want(docs)
+    assert scanned[::2] == [some.selectExpr("coalesce(text, '')").distinct().count(), 1, 0]
+    # a changed rule is run again over all blobs, and what it found before is gone
+    rules = (*secrets.RULES[:2], secrets.Rule("hex", 2, "[0-9a-f]{400,}"))
+    again = {(s.rank, s.kind) for r in secrets.findings(docs, at, rules=rules).collect() for s in r.spans}
+    assert again == {(0, "assign"), (1, "access")}
+
+
+def test_redaction_of_clashing_names(spark):
+    d = spark.createDataFrame([(1, "x token=abcdefghij y", "e", "f", 1), (2, "clean", "e", "f", 1)], "doc_id long, text string, blob string, __spans string, spans int")
+    out = secrets.redact(d)
+    assert out.columns == d.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "x [SECRET] y", "e", "f", 1), (2, "clean", "e", "f", 1)]
+
+
 def test_redaction(spark, docs):
     d = spark.createDataFrame([(1, "x token=abcdefghij y", "e"), (2, None, "e"), (3, "token=" + "ab12" * 10, "e"), (3, "clean", "e")], "doc_id long, text string, spans string")
     got = sorted((r.doc_id, r.text or "") for r in secrets.redact(d).collect())
