@@ -1,4 +1,4 @@
-"""Documents of a format to paragraph rows: HTML, Markdown, PDF pages and spans, code, and page predicates."""
+"""Documents of a format to paragraph rows: HTML, Markdown, and page predicates."""
 
 from __future__ import annotations
 
@@ -257,47 +257,6 @@ def markdown_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def pdf_page_paragraphs(pages: DataFrame, least_words: int = 1) -> DataFrame:
-    """pages: doc_id, page_num, text. Blocks between blank lines; one like a heading becomes level 1 for what follows."""
-    b = pages.select("doc_id", "page_num", F.posexplode(F.transform(F.split("text", "\n\n"), T.clean_text)).alias("i", "text"))
-    b = b.where(F.col("text") != "").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= least_words)
-    b = b.withColumns({"at": F.col("page_num").cast("long") * (1 << 32) + F.col("i"), "heading": heading_like(F.col("text"), F.col("w"))})
-    b = with_hierarchy(b, ["doc_id"], "at", F.when(F.col("heading"), 1), F.col("text")).where(~F.col("heading"))
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
-    return b.select("doc_id", n.alias("paragraph_id"), "text", "page_num", F.size("w").alias("word_count"), "hierarchy")
-
-
-def body_font(spans: DataFrame) -> DataFrame:
-    """doc_id, body_size: the size with the most characters; of several, the first seen."""
-    g = spans.groupBy("doc_id", F.round("font_size", 1).alias("size")).agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page_num", "block_idx", "line_idx", "span_idx")).alias("seen"))
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "seen"))
-    return g.withColumn("r", best).where("r = 1").select("doc_id", F.col("size").alias("body_size"))
-
-
-def heading_sizes(spans: DataFrame, threshold: float = 1.2) -> DataFrame:
-    """doc_id, size, level: sizes well above the body's, or bold and above it, that are frequent enough; six at most."""
-    s = spans.where(~F.col("is_mono")).groupBy("doc_id", F.round("font_size", 1).alias("size"), "is_bold").agg(F.count("*").alias("n"))
-    s = s.join(body_font(spans), "doc_id").where((F.col("size") >= F.col("body_size") * threshold) | ((F.col("size") > F.col("body_size")) & F.col("is_bold")))
-    s = s.groupBy("doc_id", "size").agg(F.sum("n").alias("n"))
-    top = F.max("n").over(Window.partitionBy("doc_id"))
-    s = s.withColumn("least", F.greatest(F.lit(5), F.floor(top / 10))).where("n >= least")
-    s = s.withColumn("level", F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
-    return s.where("level <= 6").select("doc_id", "size", "level")
-
-
-def span_paragraphs(spans: DataFrame) -> DataFrame:
-    """Blocks of spans in reading order: headings by size (under 15 words) set the hierarchy, the others are paragraphs."""
-    at = F.struct("line_idx", "span_idx", "text", "font_size", "is_bold", "is_mono")
-    b = spans.groupBy("doc_id", "page_num", "block_idx").agg(F.array_sort(F.collect_list(at)).alias("s"))
-    b = b.select("doc_id", "page_num", "block_idx", T.clean_text(F.array_join("s.text", " ")).alias("text"), F.round(F.get(F.col("s.font_size"), F.lit(0)), 1).alias("size"), F.get(F.col("s.is_mono"), F.lit(0)).alias("mono"))
-    b = b.where("text <> ''").join(heading_sizes(spans), ["doc_id", "size"], "left")
-    b = b.withColumns({"w": T.word_count(F.col("text")), "at": F.col("page_num").cast("long") * (1 << 32) + F.col("block_idx")})
-    level = F.when(F.col("w") < 15, F.col("level"))
-    b = with_hierarchy(b.withColumn("lv", level), ["doc_id"], "at", F.col("lv"), F.col("text")).where("lv is null")
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
-    return b.select("doc_id", n.alias("paragraph_id"), "text", "page_num", F.col("w").alias("word_count"), F.when(F.col("mono"), "code").otherwise("prose").alias("content_type"), "hierarchy")
-
-
 _HOURS = (
     ("Invitatory", "invitatory"), ("Office of Readings", r"office\s+of\s+readings?"), ("Morning Prayer", r"lauds|morning\s+prayer"),
     ("Midmorning Prayer", r"terce|midmorning\s+prayer"), ("Midday Prayer", r"sext|midday\s+prayer"),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptora.functions import refs, text, tokens, windows
-from scriptora.operators import analysis, archive, chunking, corpus, exports, plugins
+from scriptora.operators import analysis, archive, chunking, corpus, exports, pdf, plugins
 from scriptora.operators.paragraphs import from_lines
 from scriptora.plans import sql
 from scriptora.plans.corpus_plans import _BOUNDS, _case, chunks_of, notes_of, rel_boundaries, table
-from scriptora.plans.text_plans import PLANTED_SQL, documents, nested_paragraphs, planted
+from scriptora.plans.text_plans import PLANTED_SQL, documents, nested_paragraphs, paragraphs, planted
 from scriptora.registry import register
 
 
@@ -258,3 +258,54 @@ def src_english(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), parsers.is_english(url, F.lit(""), F.lit("none"), html).alias("is_english"))
 
 
+
+
+@register(
+    "prs_pdf_segments",
+    """WITH c AS (SELECT item_id, text, unnest(range(0, length(text))) AS i FROM benchmark)
+       SELECT CAST(item_id AS VARCHAR) AS doc_id, i // 5 AS span_idx, string_agg(substr(text, i + 1, 1), '' ORDER BY i) AS text, (i // 5) % 2 = 1 AS is_bold, (i // 5) % 8 >= 4 AS is_mono FROM c GROUP BY ALL""",
+)
+def prs_pdf_segments(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").where(F.length("text") > 0)
+    c = b.select(F.col("item_id").cast("string").alias("doc_id"), "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("char_idx"))
+    k = F.floor(F.col("char_idx") / 5).cast("int")  # another font every five characters
+    zero = [F.lit(0).alias(x) for x in ("page_num", "block_idx", "line_idx")]
+    chars = c.select("doc_id", *zero, "char_idx", F.substring("text", F.col("char_idx") + 1, F.lit(1)).alias("c"), (k % 3).cast("string").alias("font"), F.lit(10.0).alias("font_size"), (k % 8).alias("flags"))
+    return pdf.segment(chars).select("doc_id", F.col("span_idx").cast("long").alias("span_idx"), "text", "is_bold", "is_mono")
+
+
+@register(
+    "prs_pdf_outline",
+    """WITH e AS (SELECT r_regionkey AS a, -1 AS b, -1 AS c, r_name AS title FROM region UNION ALL SELECT n_regionkey, n_nationkey, -1, n_name FROM nation
+         UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+       SELECT row_number() OVER (ORDER BY a, b, c) AS "order", CASE WHEN b < 0 THEN 0 WHEN c < 0 THEN 1 ELSE 2 END AS level, title FROM e""",
+)
+def prs_pdf_outline(spark, sf_dir):
+    def entries(t, key, parent, name):
+        i = F.col(key).cast("long")
+        above = F.lit(None).cast("string") if parent is None else F.concat(F.lit(parent[0]), F.col(parent[1]).cast("string"))
+        return table(spark, sf_dir, t).select(F.lit(1).alias("doc_id"), F.concat(F.lit(t), i.cast("string")).alias("id"), above.alias("parent_id"), i.alias("seq"), F.col(name).alias("title"), F.lit(0).alias("page_num"))
+
+    e = entries("region", "r_regionkey", None, "r_name").unionByName(entries("nation", "n_nationkey", ("region", "n_regionkey"), "n_name"))
+    e = e.unionByName(entries("supplier", "s_suppkey", ("nation", "s_nationkey"), "s_name"))
+    o = pdf.flatten_outline(e)
+    return o.select(F.col("order").cast("long").alias("order"), F.col("level").cast("int").alias("level"), "title")
+
+
+@register(
+    "prs_pdf_blocks",
+    f"""WITH {sql.PARAGRAPHS}, b AS (SELECT doc_id, source, paragraph_id AS p, text, count(*) OVER d >= 5 AND sum(length(text)) OVER d > 20 * count(*) OVER d AS headed FROM paragraphs WINDOW d AS (PARTITION BY doc_id))
+        SELECT doc_id, p AS paragraph_id, md5(text) AS h, CASE WHEN headed THEN 'Part ' || p ELSE 'Page of ' || source END AS level_1 FROM b""",
+)
+def prs_pdf_blocks(spark, sf_dir):
+    # each paragraph under a heading of its own, bold and a little larger; a size needs five blocks to be that of headings
+    p = paragraphs(spark, sf_dir)
+    k = F.col("paragraph_id") * 2
+    place = lambda i: [F.lit(0).alias("page_num"), i.alias("block_idx"), F.lit(0).alias("line_idx"), F.lit(0).alias("span_idx")]
+    font = lambda size, bold: [F.lit(size).alias("font_size"), F.lit(bold).alias("is_bold"), F.lit(False).alias("is_mono")]
+    body = p.select("doc_id", *place(k + 1), "text", *font(10.0, False))
+    headed = p.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).where("n >= 5 and size > 20 * n").select("doc_id")
+    heads = p.join(headed, "doc_id").select("doc_id", *place(k), F.concat(F.lit("Part "), F.col("paragraph_id").cast("string")).alias("text"), *font(10.5, True))
+    outline = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("order"), F.lit(0).alias("level"), F.concat(F.lit("Page of "), "source").alias("title"), F.lit(0).alias("page_num"))
+    out = pdf.span_paragraphs(body.unionByName(heads), outline)
+    return out.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), F.md5("text").alias("h"), F.col("hierarchy.level_1").alias("level_1"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptora.functions import text
 from scriptora.operators import epub as epub_books
-from scriptora.operators import chunking, code, corpus, headings, parsers
+from scriptora.operators import chunking, code, corpus, headings, parsers, pdf
 from scriptora.sources import readers, sinks
 
 
@@ -44,13 +44,13 @@ def test_markdown(spark):
 
 def test_pdf_pages_and_spans(spark):
     pages = spark.createDataFrame([(1, 1, "THE TITLE\n\nsome body text of it\n\nmore text here"), (1, 2, None), (1, 3, "still the same part")], "doc_id long, page_num int, text string")
-    rows = parsers.pdf_page_paragraphs(pages).orderBy("paragraph_id").collect()
+    rows = pdf.page_paragraphs(pages).orderBy("paragraph_id").collect()
     assert [(r.text, r.hierarchy.level_1) for r in rows] == [("some body text of it", "THE TITLE"), ("more text here", "THE TITLE"), ("still the same part", "THE TITLE")]
     spans = [(1, 1, b, 0, 0, 20.0 if b % 2 == 0 else 10.0, False, False, False, f"Head {b}" if b % 2 == 0 else f"body text number {b} is longer") for b in range(12)]
     s = spark.createDataFrame(spans, "doc_id long, page_num int, block_idx int, line_idx int, span_idx int, font_size double, is_bold boolean, is_italic boolean, is_mono boolean, text string")
-    assert parsers.body_font(s).first().body_size == 10.0
-    assert [(r["size"], r.level) for r in parsers.heading_sizes(s).collect()] == [(20.0, 1)]
-    rows = parsers.span_paragraphs(s).orderBy("paragraph_id").collect()
+    assert pdf.body_font(s).first().body_size == 10.0
+    assert [(r["size"], r.level) for r in pdf.heading_sizes(s).collect()] == [(20.0, 1)]
+    rows = pdf.span_paragraphs(s).orderBy("paragraph_id").collect()
     assert len(rows) == 6 and rows[2].hierarchy.level_1 == "Head 4"
 
 
