@@ -85,6 +85,28 @@ def op7_secrets(spark, sf_dir):
     )
 
 
+def _op7_sql() -> str:
+    """Each rule's matches and the gaps before them; a match starts after all gaps and matches before it."""
+    from scriptora.llm import secrets
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for k, r in enumerate(secrets.RULES):
+        keep = f"length(regexp_extract(m, {quoted(r.pattern)}, {r.group})) >= {r.least}" if r.least else "true"
+        parts.append(
+            f"SELECT r, {k} AS rank, '{r.kind}' AS kind, s, s + length(m) AS e FROM (SELECT r, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), "
+            "lambda i: coalesce(list_sum(list_transform(g[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0))) AS s "
+            f"FROM (SELECT r, regexp_extract_all(text, {quoted(r.pattern)}) AS m, string_split_regex(text, {quoted(r.pattern)}) AS g FROM d)) WHERE {keep}"
+        )
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    n = ", ".join(f"count(f.r) FILTER (rank = {k}) AS n_{secrets.RULES[k].kind}" for k in range(3))
+    return (
+        f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), f AS ({' UNION ALL '.join(parts)}) "
+        f"SELECT any_value(doc_id) AS doc_id, {n}, sha256(coalesce(string_agg({one}, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256, coalesce(string_agg({one}, ',' ORDER BY s, rank), '') AS spans "
+        "FROM d LEFT JOIN f USING (r) GROUP BY d.r"
+    )
+
+
 def op6_language_id(spark, sf_dir):
     from scriptora.llm import language_id
     from scriptora.llm.common import remainder
@@ -138,7 +160,7 @@ def pipeline(spark, sf_dir):
 
 
 _QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_simhash_near_dedup, op3_byte_bpe, op4_quality, op5_sharding, op6_language_id, op7_secrets, op8_licenses, op9_lm_scoring, op10_toxicity, pipeline)}
-_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+_SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op7_secrets": _op7_sql()}
 
 
 def queries():
