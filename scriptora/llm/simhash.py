@@ -304,15 +304,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of different texts with that same id the one of the smallest hash stays, of rows that differ in other columns only
     that of the smallest hash of the row. Two texts of one id that aren't near each other are in two classes: both stay.
     """
-    text_hash, row_hash, nth, own_id, own_hash = unused(docs, "text_hash", "row_hash", "nth", "own_id", "own_hash")
+    id_hash, text_hash, row_hash, nth, own_id, own_hash = unused(docs, "id_hash", "text_hash", "row_hash", "nth", "own_id", "own_hash")
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     hashed = docs.select(id_col, text_col, h.alias("own_hash"))
     fp = written(fingerprints(hashed, id_col, text_col, keep=("own_hash",)), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "own_hash")).alias("first")
     kept = fp.join(classes(fp).select("fp", "root"), "fp").groupBy("root").agg(first)
-    kept = kept.select(F.col("first.doc_id").alias(own_id), F.col("first.own_hash").alias(own_hash)).distinct()
-    # repeated rows are reduced to one before they are moved (the window's limit works within each task first)
-    window = Window.partitionBy(id_col, text_hash).orderBy(row_hash)
-    d = docs.withColumns({text_hash: h, row_hash: F.xxhash64(*docs.columns)}).withColumn(nth, F.row_number().over(window)).where(F.col(nth) == 1)
-    on = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(text_hash) == F.col(own_hash))
+    kept = kept.select(F.xxhash64("first.doc_id").alias(own_id), F.col("first.own_hash").alias(own_hash)).distinct()
+    # repeated rows are reduced to one before they are moved (the window's limit works within each task first), and the
+    # join finds the rows where the window has put them: hashes are never null, so both go by the same keys
+    window = Window.partitionBy(id_hash, text_hash).orderBy(row_hash)
+    d = docs.withColumns({id_hash: F.xxhash64(id_col), text_hash: h, row_hash: F.xxhash64(*docs.columns)})
+    d = d.withColumn(nth, F.row_number().over(window)).where(F.col(nth) == 1)
+    on = (F.col(id_hash) == F.col(own_id)) & (F.col(text_hash) == F.col(own_hash))
     return d.join(kept.hint("shuffle_hash"), on, "left_semi").select(*docs.columns)
