@@ -1,7 +1,13 @@
 """A training-data pipeline over the documents table: identified, deduplicated, decontaminated, redacted, tokenised.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared folder and
-rereads it as the next one's docs. All stages but the last return the columns of documents.
+rereads it as the next one's docs. All stages but the last return the columns of documents; further columns pass
+through whatever their names. Tables that a stage leaves behind are deleted once the next one has its input.
+
+Null and empty texts have no language and go in the first stage; where they come to a later one, they are one class of
+near duplicates, hold no passage and no secret and have no tokens. Rows that repeat are near duplicates of each other, so
+one stays; documents with null ids are treated like any others. Of ties, the smallest id stays, then the smallest hash.
+Empty tables give empty tables. Texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptora.llm import bpe, decontaminate, language_id, secrets, simhash
-from scriptora.llm.common import remainder, table, written
+from scriptora.llm.common import discard, remainder, scratch, table, written
 
 #: A language is known if its probability is at least this.
 LEAST_SCORE = 0.3
@@ -23,18 +29,21 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group goes on, that of the smallest id."""
+    """One document of each near-duplicate class goes on, that of the smallest id."""
     return simhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of at least two benchmark items go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents with a passage of any benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Secrets are replaced by a mark; n_chars follows. The ledger of these tables stays in the shared folder."""
+    out = secrets.redact(docs, ledger=secrets.ledger_of(spark, sf_dir))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +66,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if k:
+            discard(before)
     return docs
