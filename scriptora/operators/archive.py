@@ -218,18 +218,7 @@ _NAMED = (
 
 
 def _label_type(label: str) -> str:
-    for kind, p in _LABEL_TYPES:
-        if re.match(p, label, re.I):
-            return kind
-    return "prose"
-
-
-_LABEL_TYPES = (
-    ("hymn", "hymn$"), ("antiphon", r"ant\."), ("psalm_prayer", "psalm.prayer$"), ("reading", r"reading\b"), ("versicle", r"opening\s+verse"),
-    ("skip", r"ribbon\s+placement"), ("label", r"psalmody$|responsory$|canticle\b|intercessions?$|concluding\s+prayer|dismissal$|blessing$"),
-    ("label", r"sacred\s+silence|antiphon\s+or\s+song|examination\s+of\s+conscience"),
-    ("label", r"(?:office\s+of\s+readings?|invitatory|mid\w+|morning|evening|night)\s+prayer\b|prayer\s+for\s+"),
-)
+    return next((kind for kind, p in parsers.LABEL_TYPES if re.search(p, label, re.I)), "prose")
 
 
 def _office(entry, hour):

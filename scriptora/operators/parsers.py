@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptora.functions import text as T
-from scriptora.operators.headings import heading_like, with_hierarchy
+from scriptora.operators.headings import with_hierarchy
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -272,17 +272,20 @@ def hour_of(label: Column) -> Column:
     return out
 
 
+#: What a red label of an hour begins: the first pattern that it has, in any case.
+LABEL_TYPES = (
+    ("hymn", "^hymn$"), ("label", "^psalmody$"), ("antiphon", r"^ant\."), ("psalm_prayer", "^psalm.prayer$"), ("reading", r"^reading\b"),
+    ("label", r"^sacred\s+silence"), ("label", r"^responsory$"), ("label", r"^canticle\b"), ("label", r"^intercessions?$"), ("label", r"^concluding\s+prayer"),
+    ("label", r"^(?:dismissal|blessing)$"), ("label", r"^antiphon\s+or\s+song"), ("label", r"^examination\s+of\s+conscience"), ("versicle", r"^opening\s+verse"),
+    ("skip", r"^ribbon\s+placement"), ("label", r"^(?:evening|invitatory|midafternoon|midday|midmorning|morning|night|office\s+of\s+readings?)\s+prayer\b"),
+    ("label", r"\bprayer\s+for\s+"),
+)
+
+
 def red_label_type(label: Column) -> Column:
     """The type of what follows a red label of an hour."""
-    types = (
-        ("hymn", "^hymn$"), ("label", "^psalmody$"), ("antiphon", r"^ant\."), ("psalm_prayer", "^psalm.prayer$"), ("reading", r"^reading\b"),
-        ("label", r"^(?:sacred\s+silence|responsory$|canticle\b|intercessions?$|concluding\s+prayer|dismissal$|blessing$)"),
-        ("label", r"^(?:antiphon\s+or\s+song|examination\s+of\s+conscience)"), ("versicle", r"^opening\s+verse"), ("skip", r"^ribbon\s+placement"),
-        ("label", r"^(?:office\s+of\s+readings?|evening|invitatory|midafternoon|midday|midmorning|morning|night)\s+prayer\b"),
-        ("label", r"^prayer\s+for\s+"),
-    )
     out = F.lit("prose")
-    for kind, p in reversed(types):
+    for kind, p in reversed(LABEL_TYPES):
         out = F.when(label.rlike("(?i)" + p), kind).otherwise(out)
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptora.functions import refs, text, tokens, windows
-from scriptora.operators import analysis, archive, chunking, corpus, exports, pdf, plugins
+from scriptora.operators import analysis, archive, chunking, corpus, exports, parsers, pdf, plugins
 from scriptora.operators.paragraphs import from_lines
 from scriptora.plans import sql
 from scriptora.plans.corpus_plans import _BOUNDS, _case, chunks_of, notes_of, rel_boundaries, table
@@ -250,8 +250,6 @@ def ml_progress(spark, sf_dir):
     """WITH p AS (SELECT page_id, page_id % 5 AS k FROM pages) SELECT page_id AS doc_id, k IN (0, 2, 4) AS is_english FROM p""",
 )
 def src_english(spark, sf_dir):
-    from scriptora.operators import parsers
-
     k = F.col("page_id") % 5
     url = F.when(k == 4, "https://h/a_en.htm?x").otherwise("https://h/a.htm")
     html = F.when(k == 0, '<meta http-equiv="Content-Language" content="EN-us"><p>x</p>').when(k == 1, '<meta name="language" content="fr">').when(k == 2, "<meta content='en' name='language'>").otherwise('<a href="b_en.htm">English</a>')
@@ -309,3 +307,15 @@ def prs_pdf_blocks(spark, sf_dir):
     outline = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("order"), F.lit(0).alias("level"), F.concat(F.lit("Page of "), "source").alias("title"), F.lit(0).alias("page_num"))
     out = pdf.span_paragraphs(body.unionByName(heads), outline)
     return out.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), F.md5("text").alias("h"), F.col("hierarchy.level_1").alias("level_1"))
+
+
+_LABELS = ("HYMN", "Psalmody", "Ant. 2", "Psalm-prayer", "Reading from Isaiah", "Sacred silence", "Canticle of Mary", "Intercession", "A prayer for all", "Opening verse", "Ribbon placement: 3", "Office of Readings Prayer", "Hymns", "Blessing", "words")
+
+
+@register(
+    "prs_label_types",
+    f"SELECT event_id, {_case([(n, '(?i)' + p) for n, p in parsers.LABEL_TYPES], f'([{", ".join(map(sql.quoted, _LABELS))}])[event_id % {len(_LABELS)} + 1]', 'prose')} AS kind FROM events",
+)
+def prs_label_types(spark, sf_dir):
+    label = F.get(F.array(*[F.lit(x) for x in _LABELS]), (F.col("event_id") % len(_LABELS)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", parsers.red_label_type(label).alias("kind"))
