@@ -22,6 +22,7 @@ from scriptora.functions import text as T
 from scriptora.functions.identity import stable_id
 from scriptora.functions.noise import is_skippable_section
 from scriptora.functions.tokens import counter, estimate
+from scriptora.operators.paragraphs import unnest
 
 
 @dataclass(frozen=True)
@@ -93,12 +94,12 @@ def merge_by_words(paragraphs: DataFrame, config: ChunkConfig = ChunkConfig()) -
     have = [f.name for f in paragraphs.schema["ps"].dataType.elementType.fields]
     kept = F.filter("ps", lambda p: ~is_skippable_section(p["hierarchy"]["level_1"]))
     of = lambda p: section_of(p["hierarchy"], config.levels)
-    g = paragraphs.select("doc_id", kept.alias("ps")).select("doc_id", "ps", F.explode(F.array_distinct(F.transform("ps", of))).alias("hierarchy"))
+    g = unnest(paragraphs.select("doc_id", kept.alias("ps")), F.array_distinct(F.transform("ps", of)), "hierarchy", "doc_id", "ps")
     g = g.select("doc_id", "hierarchy", F.filter("ps", lambda p: of(p) == F.col("hierarchy")).alias("ps"))
     g = g.withColumn("starts", _starts(F.transform("ps", lambda p: F.coalesce(p["word_count"], F.lit(0)).cast("long")), config.max_words))
     ends = lambda i: F.coalesce(F.get("starts", i + 1), F.size("ps"))
     cut = F.transform("starts", lambda s, i: F.struct(F.slice("ps", s + 1, ends(i) - s).alias("ps"), (i + 1 == F.size("starts")).alias("last")))
-    c = g.select("doc_id", "hierarchy", F.explode(cut).alias("c")).select("doc_id", "hierarchy", "c.ps", "c.last")
+    c = unnest(g, cut, "c", "doc_id", "hierarchy").select("doc_id", "hierarchy", "c.ps", "c.last")
     packed = F.aggregate("ps", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["word_count"], F.lit(0)))
     c = c.withColumn("small", F.col("last") & (packed < config.min_words))
     if not config.keep_small:

@@ -33,6 +33,15 @@ def nested(docs: DataFrame, h: Column | None = None, id_col: str = "doc_id", tex
     return d.select("doc_id", *keep, F.transform("texts", item).alias("ps"))
 
 
+def unnest(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """The columns keep with a row for each element of array, which isn't null.
+
+    A plain explode makes Spark test the array's size in a filter of its own, below, where all that it is made from is
+    computed again (for each element, where a lambda refers to it); the outer one doesn't.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def enrich(paragraphs: DataFrame, tag: str = "p", content_type: str = "prose") -> DataFrame:
     """Every field of a chunk, from doc_id, paragraph_id, text and hierarchy; a source_tag or content_type that is there stays."""
     have = set(paragraphs.columns)

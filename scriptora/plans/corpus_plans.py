@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptora.functions import identity, refs, text
 from scriptora.operators import analysis, chunking, corpus, parsers
-from scriptora.operators.paragraphs import enrich
+from scriptora.operators.paragraphs import enrich, unnest
 from scriptora.plans import sql
 from scriptora.plans.text_plans import PLANTED_SQL, documents, nested_paragraphs, paragraphs, planted
 from scriptora.registry import register
@@ -154,7 +154,7 @@ def src_crawl(spark, sf_dir):
     f"WITH {sql.PARAGRAPHS}, k AS (SELECT doc_id, text, min(paragraph_id) AS paragraph_id FROM paragraphs GROUP BY ALL) SELECT doc_id, paragraph_id, md5(text) AS h FROM k",
 )
 def ded_paragraphs(spark, sf_dir):
-    d = corpus.deduplicate_nested(nested_paragraphs(spark, sf_dir)).select("doc_id", F.explode("ps").alias("p"))
+    d = unnest(corpus.deduplicate_nested(nested_paragraphs(spark, sf_dir)), F.col("ps"), "p", "doc_id")
     return d.select("doc_id", F.col("p.paragraph_id").cast("long").alias("paragraph_id"), F.md5("p.text").alias("h"))
 
 

@@ -233,8 +233,8 @@ def agg_pending(spark, sf_dir):
 
 @register(
     "ml_progress",
-    """WITH s AS (SELECT d.doc_id, (d.doc_id % 100) / 100.0 AS p, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)
-       SELECT round(CASE WHEN count(*) = count(*) FILTER (known) THEN 100.0 ELSE 100.0 * (0.5 * count(*) FILTER (known) / count(*) + 0.5 * (1 - count(*) FILTER (NOT known AND abs(p - 0.5)::DOUBLE < 0.2) / count(*) FILTER (NOT known))) END::DOUBLE, 6) AS percent,
+    """WITH s AS (SELECT d.doc_id, (d.doc_id % 100)::DOUBLE / 100::DOUBLE AS p, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id)
+       SELECT round(CASE WHEN count(*) = count(*) FILTER (known) THEN 100.0 ELSE 100.0 * (0.5 * count(*) FILTER (known) / count(*) + 0.5 * (1 - count(*) FILTER (NOT known AND abs(p - 0.5::DOUBLE) < 1.0::DOUBLE - 0.8::DOUBLE) / count(*) FILTER (NOT known))) END::DOUBLE, 6) AS percent,
          round(least(50.0, 50.0 * count(*) FILTER (known) / 1000)::DOUBLE, 6) AS bootstrap FROM s""",
 )
 def ml_progress(spark, sf_dir):
