@@ -7,8 +7,10 @@ SAMPLE different training texts, the same number for each language, and calibrat
 back. Every language is learned, from at least LEAST_EACH texts where it has them: only the sample is bounded, by
 SAMPLE or, for more languages, LEAST_EACH for each. The model is dense: FEATURES weights for each language.
 
-A text that is null or has no letter is ``und`` with score 0, as is every text where no training row exists. Repeated
-rows each give a row. Only the named columns are read. Texts are used whole.
+A text that is null or has no letter is ``und`` with score 0, as is every text where no training row exists. Of equal
+probabilities the first language by name holds; ties of the sampling hash go by text. Repeated rows each give a row, with
+the same answer, and are learned from once. Empty tables give no rows. Only the named columns are read, and other columns
+may have any names. Texts are used whole.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ MIN_MATCH tokens are chained, per template, in growing template order into cover
 share reaches the threshold gives its label. A token that no template has resets the automaton, so runs of known
 tokens shorter than MIN_MATCH are skipped without changing any result.
 
-Null and empty texts have no words and no labels. Repeated rows each give a row; only id and text are read; a text of
-any length is scanned whole.
+Null and empty texts have no words and no labels. Repeated rows each give a row, with the same answer; empty tables give
+no rows; only id and text are read, and other columns may have any names; a text of any length is scanned whole. Of
+chains that cover the same number of tokens the first found holds; every template that reaches the threshold is named.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from scriptora.llm import bpe, decontaminate, language_id, licenses, lm, quality, secrets, sharding, simhash, toxicity
-from scriptora.llm.common import LOWER_BYTES, WORD_BYTES, remainder
+from scriptora.llm.common import LOWER_BYTES, remainder
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -381,6 +381,62 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in language_id.predict(d, None).collect()} == {"und"}
 
 
+def plain_cells(text):
+    """The cells of a text's n-grams, by plain integers."""
+    cp, out = [ord(c) for c in text.lower()], []
+    for n in range(1, language_id.ORDERS + 1):
+        for k in range(len(cp) - n + 1):
+            h = 0
+            for m in range(n):
+                h = ((h * 0x9E3779B97F4A7C15) ^ (cp[k + m] + m + 1)) % 2**64
+            out.append((h * 0xD6E8FEB86659FD93) % 2**64 >> 48)
+    return out
+
+
+def test_language_id_is_what_plain_sums_give(spark):
+    import random
+
+    rng = random.Random(16)
+    bits = {"aa": ["the", "and", "ing", "th"], "bb": ["der", "ung", "sch", "ö"], "cc": ["日", "本", "語 "]}
+    text = lambda k, n=20: " ".join("".join(rng.choice(bits[k]) for _ in range(3)) for _ in range(n))
+    rows = [(text(k), k) for k in bits for _ in range(40)]
+    d = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    model = language_id.fit(d)
+    total, df = language_id.document_frequency(d)
+    want = np.zeros(language_id.FEATURES)
+    for t, _ in rows:
+        want[list(set(plain_cells(t)))] += 1
+    assert total == len(rows) and (df == want).all()
+    idf = np.log((1 + total) / (1 + want)) + 1
+    weights = model["table"][:, :-1] / (idf[:, None] * language_id.SCALE)
+    odd = ["Der the 日本", "a", "é!", text("aa", 3000), "日" * 400]
+    for t in [text(k, 5) for k in bits] + odd:
+        tf = Counter(plain_cells(t))
+        x = {c: n * idf[c] for c, n in tf.items()}
+        s = np.array([sum(language_id.SCALE * v / sum(x.values()) * weights[c, k] for c, v in x.items()) + model["bias"][k] for k in range(3)]) / model["temperature"]
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        name, score = language_id.classify(t, model)
+        assert name == model["names"][int(p.argmax())] and score == pytest.approx(p.max(), rel=1e-3)
+
+
+def test_ftrl_is_the_plain_rule():
+    from scriptora.llm.ftrl import Ftrl
+
+    rng = np.random.default_rng(3)
+    m, z, n = Ftrl(1, 5, alpha=0.2, l1=0.3, l2=0.5), [0.0] * 6, [0.0] * 6
+    w = lambda i: 0.0 if abs(z[i]) <= 0.3 else -(z[i] - math.copysign(0.3, z[i])) / ((1 + math.sqrt(n[i])) / 0.2 + 0.5)
+    for _ in range(300):
+        at, y = np.append(rng.choice(5, 2, replace=False), 5), rng.integers(0, 2)
+        s = sum(w(i) for i in at)
+        assert m.scores(at, np.ones(3))[0] == pytest.approx(s, abs=1e-9)
+        g = 1 / (1 + math.exp(-s)) - y
+        for i in at:
+            step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.2
+            z[i] += g - step * w(i)
+            n[i] += g * g
+        m.step(at, np.ones(3), np.array([g]))
+
+
 def test_languages_of_many_copies_are_learned(spark, monkeypatch):
     import random
 
@@ -520,6 +576,55 @@ def test_automaton():
             assert all(templates[k][at + 1 - n : at + 1] == w[e - n : e] for k, at in a.ends[s].items()) and a.ends[s]
 
 
+def best_chain(found, skip):
+    """The most template tokens that any ordered choice of matches covers, by trying all of them."""
+
+    def go(k, last, cover):
+        best = cover
+        for i in range(k, len(found)):
+            start, end, at = found[i]
+            if last is None:
+                best = max(best, go(i + 1, found[i], end - start))
+            elif start - last[1] <= skip and last[2] <= at:
+                gain = min(at - max(last[2], at - (end - start)), end - max(last[1], start))
+                best = max(best, go(i + 1, found[i], cover + max(gain, 0)))
+        return best
+
+    return go(0, None, 0)
+
+
+def test_chains_cover_the_most(monkeypatch):
+    import random
+
+    rng = random.Random(18)
+    for _ in range(150):
+        ends = sorted(rng.sample(range(4, 90), rng.randint(0, 7)))
+        found = [(e - n, e, rng.randint(n, 40)) for e in ends for n in [rng.randint(2, 4)]]
+        cover, start, end = licenses.chain(found, 12)
+        assert cover == best_chain(found, 12)
+        assert (cover == 0) == (not found) and all(0 <= start <= end for _ in [0])
+
+
+def test_license_spans_are_what_brute_force_gives():
+    import random
+
+    rng = random.Random(19)
+    templates = (("x", "one two three four five six seven eight"), ("y", "five six seven eight nine ten eleven"), ("z", "two three four five"))
+    split = [t.split() for _, t in templates]
+    for _ in range(120):
+        w = [x for _ in range(rng.randint(0, 4)) for t in [rng.choice(split)] for x in t[rng.randint(0, 3) : rng.randint(4, 9)] + rng.choice([[], ["gap"], ["one"]])]
+        n, _, spans, score = licenses.scan_text(" ".join(w), templates)
+        found = {k: [] for k in range(len(split))}
+        for end, size in longest_matches(w, split, licenses.MIN_MATCH):
+            for k, t in enumerate(split):
+                at = [s + size for s in range(len(t) - size + 1) if t[s : s + size] == w[end - size : end]]
+                if at:
+                    found[k].append((end - size, end, at[0]))
+        share = {k: min(1.0, best_chain(f, licenses.MAX_SKIP) / len(split[k])) for k, f in found.items()}
+        assert n == len(w) and score == pytest.approx(max(share.values(), default=0.0))
+        assert sorted((label, round(s, 9)) for label, *_, s in spans) == sorted((templates[k][0], round(s, 9)) for k, s in share.items() if s >= licenses.COVERED)
+
+
 def test_licenses(docs, rows, empty, spark):
     mit = licenses.TEMPLATES[0][1]
     broken = " ".join(w for k, w in enumerate(mit.split()) if k % 40 != 39)
@@ -610,6 +715,56 @@ def test_toxicity(spark, labelled, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def plain_features(text):
+    """The cells of a text's distinct words and their starts, by plain integers."""
+    out = set()
+    for w in re.findall(r"[a-z0-9'\u0080-\U0010ffff]+", text.lower()):
+        h = 0
+        for k, c in enumerate(w, 1):
+            h = ((h ^ (ord(c) + k)) * 0x9E3779B97F4A7C15) % 2**64
+            h ^= h >> 29
+            if k in toxicity.STARTS:
+                out.add(h ^ k)
+        out.add(h ^ 99)
+    return {(x * 0xD6E8FEB86659FD93) % 2**64 >> (64 - toxicity.BITS) for x in out}
+
+
+def test_toxicity_scores_are_what_plain_sums_give(spark, docs, rows, labelled):
+    model = toxicity.fit(*labelled, F.lit(True))
+    w = dict(zip(model["at"].tolist(), model["w"].tolist()))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in toxicity.score(docs, model).collect())
+    want = sorted((-1 if r[0] is None else r[0], 1 / (1 + math.exp(-model["bias"] - sum(w.get(c, 0) for c in plain_features(r[1] or ""))))) for r in rows)
+    assert [g[0] for g in got] == [x[0] for x in want] and [g[1] for g in got] == pytest.approx([x[1] for x in want], rel=1e-9)
+    bad = "you moronic vermin, Muslims"
+    assert set(toxicity.features(bad).tolist()) == plain_features(bad)
+
+
+def test_toxicity_fit_keeps_its_bounds(labelled, monkeypatch):
+    seen, fit = [], toxicity.fit_differences
+    monkeypatch.setattr(toxicity, "fit_differences", lambda ex, *a: (seen.append(ex), fit(ex, *a))[1])
+    toxicity.fit(*labelled, F.lit(True), sample=90)
+    toxicity.fit(*labelled, F.lit(True), cells=5000)
+    assert len(seen[0]) <= 90 and sum(y for *_, y in seen[0]) <= 30
+    size = lambda e: len(e[0]) + sum(len(a) + len(b) for a, b in e[1])
+    assert 4000 < sum(map(size, seen[1])) <= 5000
+
+
+def test_neutral_mentions_are_left_alone(labelled):
+    d, y = labelled
+    rows = [(r.doc_id, r.text, r.toxic) for r in d.join(y, "doc_id").orderBy("doc_id").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    ex = [(toxicity.features(t), [toxicity.features(o) for o in toxicity.counterfactuals(t)], k) for i, t, k in rows if not held(i)]
+    fair, plain = toxicity.train(ex), toxicity.train([(a, [], k) for a, _, k in ex])
+    score = lambda m, t: float(np.isin(m["at"], toxicity.features(t)) @ m["w"]) + m["bias"]
+    # clean texts that weren't learned from, each with a mention of the group that most toxic texts name
+    clean = [t[:-1] + " muslims." for i, t, k in rows if held(i) and not k]
+    marked = [sum(score(m, t) >= 0 for t in clean) for m in (fair, plain)]
+    shift = [np.mean([score(m, t) - score(m, t.replace(" muslims", "")) for t in clean]) for m in (fair, plain)]
+    assert len(clean) > 50 and marked[0] == 0 and marked[0] <= marked[1] and shift[0] < 0.3 * shift[1]
+    toxic = [t for i, t, k in rows if held(i) and k]
+    assert sum(score(fair, t) >= 0 for t in toxic) >= 0.9 * len(toxic)
+
+
 def test_counterfactuals_take_the_weight_off_mentions(labelled):
     d, y = labelled
     rows = [(r.text, r.toxic) for r in d.join(y, "doc_id").orderBy("doc_id").collect()]
