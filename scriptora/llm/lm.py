@@ -15,6 +15,8 @@ The method named visits every suffix array with every query, which costs queries
 corpus. Routing each context by its hash makes one visit of it; the price is that matching lengths beyond 2 go by the
 ladder above, to the next lower step, rather than token by token.
 
+op9_lm_scoring uses suffixes.py, which pays no such price and shares the parts and the first round with this module.
+
 A null text counts as empty: it has the end token only. Hashes of contexts have 18 bits more than the corpus needs to
 number its tokens, so one query in some 250,000 may count a wrong context; counts of single tokens use all 64 bits.
 Repeated rows each give a row; only the id and text are read; texts are used whole; empty tables give no rows.
@@ -122,7 +124,8 @@ class Part:
 
     def __init__(self, row):
         lens = _unpack(row["lens"]).astype(np.int64)
-        self.tokens = _unpack(row["words"])[_unpack(row["at"]).astype(np.int64)]
+        self.words, self.at = _unpack(row["words"]), _unpack(row["at"])
+        self.tokens = self.words[self.at]
         self.lens = lens
         self.first = np.repeat(np.cumsum(lens) - lens, lens)  # where each token's text starts
         self.pos = np.arange(len(self.tokens)) - self.first
@@ -153,11 +156,19 @@ class Part:
             return np.flatnonzero(self.pos >= n - 1)
         return np.flatnonzero((self.pos >= n - 1) & (repeated >= n - 2))
 
-    def ask(self, n: int, end: np.ndarray, bits: int):
-        """Distinct hashes, how often each is in texts learned from and in others, and each window's place among them."""
-        keys, back = np.unique(self.windows(n, end, bits), return_inverse=True)
+    def ask(self, n: int, end: np.ndarray, bits: int, starts: bool = False):
+        """Distinct hashes, how often each is in texts learned from and in others, and each window's place among them.
+
+        starts: the first window of a text learned from counts among the others too.
+        """
+        if n == 1:
+            keys, back = np.unique(self.words, return_inverse=True)
+            back = back[self.at[end]]
+        else:
+            keys, back = np.unique(self.windows(n, end, bits), return_inverse=True)
         count = lambda who: np.bincount(back, weights=who, minlength=len(keys)).astype(np.uint64)
-        return keys, count(self.learn[end]), count(~self.learn[end]), back
+        others = ~self.learn[end] | (self.pos[end] == n - 1) if starts else ~self.learn[end]
+        return keys, count(self.learn[end]), count(others), back
 
 
 def _runs(part: Part, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -173,16 +184,17 @@ def _runs(part: Part, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 #: counts, others: of contexts in texts learned from, and in other texts (of 3 tokens only).
 REQUEST = "shard int, part string, n int, keys binary, counts binary, others binary"
-ANSWER = "part string, shard int, n int, counts binary, others binary, distinct long"
+#: numbers: of single tokens, their places in the shard.
+ANSWER = "part string, shard int, n int, counts binary, others binary, numbers binary, distinct long"
 
 
-def _requests(p: Part, name: str, orders, bits: int, shards: int, repeated=None):
+def _requests(p: Part, name: str, orders, bits: int, shards: int, repeated=None, starts: bool = False):
     out = []
     for n in orders:
         end = p.ends(n, repeated)
         if not len(end):
             continue
-        keys, counts, others, _ = p.ask(n, end, bits)
+        keys, counts, others, _ = p.ask(n, end, bits, starts)
         for s, a, b in _slices(keys, 64 if n == 1 else bits, shards):
             more = _pack(_narrow(others[a:b])) if n == 3 else None
             out.append((s, name, n, _pack_sorted(keys[a:b]), _pack(_narrow(counts[a:b])), more))
@@ -202,23 +214,28 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
         every, back = np.unique(np.concatenate(keys), return_inverse=True)
         add = lambda c: np.bincount(back, weights=np.concatenate([_unpack(x) for x in c]), minlength=len(every)).astype(np.uint64)
         total, more = add(rows["counts"]), add(rows["others"]) if n == 3 else None
-        del back
         known = int((total > 0).sum())
-        for i, (part, k) in enumerate(zip(rows["part"], keys)):
-            at = np.searchsorted(every, k)
+        cut = np.cumsum([len(k) for k in keys])[:-1]
+        for i, (part, at) in enumerate(zip(rows["part"], np.split(back, cut))):
             others = None if more is None else _pack(_narrow(more[at]))
-            out.append((part, int(pdf["shard"].iloc[0]), int(n), _pack(_narrow(total[at])), others, known if i == 0 else 0))
-    return pd.DataFrame(out, columns=["part", "shard", "n", "counts", "others", "distinct"])
+            numbers = _pack(_narrow(at)) if n == 1 else None
+            out.append((part, int(pdf["shard"].iloc[0]), int(n), _pack(_narrow(total[at])), others, numbers, known if i == 0 else 0))
+    return pd.DataFrame(out, columns=["part", "shard", "n", "counts", "others", "numbers", "distinct"])
 
 
 def _answered(p: Part, answers: pd.DataFrame, n: int, bits: int, repeated=None, of: str = "counts") -> np.ndarray:
     """For each place, the training count of the window of n tokens that ends there; its own text's where none was asked."""
-    out = np.where(p.learn & (p.pos >= n - 1), 1, 0).astype(np.uint64)
+    return _answers(p, answers, n, bits, repeated, (of,))[0]
+
+
+def _answers(p: Part, answers: pd.DataFrame, n: int, bits: int, repeated, columns) -> list[np.ndarray]:
+    out = [np.where(p.learn & (p.pos >= n - 1), 1, 0).astype(np.uint64) for _ in columns]
     end = p.ends(n, repeated)
     if len(end):
         back = p.ask(n, end, bits)[-1]
         mine = answers[answers["n"] == n].sort_values("shard")
-        out[end] = np.concatenate([_unpack(c).astype(np.uint64) for c in mine[of]])[back]
+        for o, of in zip(out, columns):
+            o[end] = np.concatenate([_unpack(c).astype(np.uint64) for c in mine[of]])[back]
     return out
 
 

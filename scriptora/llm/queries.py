@@ -135,10 +135,10 @@ def op8_licenses(spark, sf_dir):
 
 
 def op9_lm_scoring(spark, sf_dir):
-    from scriptora.llm import lm
+    from scriptora.llm import suffixes
     from scriptora.llm.common import remainder
 
-    d = lm.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
+    d = suffixes.score(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0)
     held = (remainder(F.col("doc_id"), 10) == 0).alias("held_out")
     return d.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

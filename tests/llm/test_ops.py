@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from scriptora.llm import bpe, decontaminate, language_id, licenses, lm, quality, secrets, sharding, simhash, toxicity
+from scriptora.llm import bpe, decontaminate, language_id, licenses, lm, quality, secrets, sharding, simhash, suffixes, toxicity
 from scriptora.llm.common import LOWER_BYTES, remainder
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -679,6 +679,67 @@ def test_lm_of_nothing(empty, docs):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (1, 0, 0)
 
 
+def longest_scores(rows, alpha=1.0):
+    """The score by the longest context of each token, by counting the windows of every length."""
+    d = [(i, learn, [*spaced(t), None]) for i, t, learn in rows]
+    c = Counter(tuple(w[a:b]) for _, learn, w in d if learn for a in range(len(w)) for b in range(a + 1, len(w) + 1))
+    one = {k: v for k, v in c.items() if len(k) == 1}
+    total = sum(one.values())
+    for i, _, w in d:
+        b = s = 0.0
+        for j in range(len(w)):
+            p = (one.get((w[j],), 0) + 0.1) / (total + 0.1 * (len(one) + 1))
+            b += math.log10(p)
+            most = max((n for n in range(1, j + 1) if tuple(w[j - n : j]) in c), default=0)
+            for n in sorted({x for x in (1, 2) if x <= j} | {x for x in (most,) if x > 2}):
+                p = (c[tuple(w[j - n : j + 1])] + alpha * p) / (c[tuple(w[j - n : j])] + alpha)
+            s += math.log10(p)
+        yield i, len(w), sum((x,) in one for x in w), total, b, s
+
+
+@pytest.mark.parametrize("part_tokens,step,block", [(150, 8, 64), (10**6, 8, 64), (40, 4, 3)])
+def test_longest_contexts(spark, part_tokens, step, block, monkeypatch):
+    import random
+
+    monkeypatch.setattr(suffixes, "STEP", step)
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    rng = random.Random(9)
+    text = lambda n, k: [rng.choice("abcdefghijklmnopqrstuvwxyz"[:k]) for _ in range(n)]
+    base, line = text(90, 26), text(11, 26)
+    texts = [text(rng.randint(1, 40), rng.choice([2, 5, 26])) for _ in range(30)]
+    for _ in range(14):  # near copies, cut copies, copies that go on otherwise, and lines that come again
+        w = list(base)
+        w[rng.randint(0, 89)] = rng.choice(["x", "changed"])
+        texts += [w, base[rng.randint(0, 30) : rng.randint(50, 90)] + text(3, 26), text(2, 26) + line * rng.randint(1, 4) + text(2, 26)]
+    texts += [base, base, line * 9, line * 7, ["a"] * 130, ["a"] * 90, ["b", *["a"] * 100, "b"], list("abc"), list("ab"), [], ["only", "here", "are", "such", "words"]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)] + [(3, " ".join(texts[3])), (999, None)]
+    learned = lambda i: i % 3 != 0
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = suffixes.score(d, F.col("doc_id") % 3 != 0, part_tokens=part_tokens, shard_tokens=2 * part_tokens)
+    got = sorted(tuple(r) for r in out.collect())
+    want = sorted(longest_scores([(i, t, learned(i)) for i, t in rows]))
+    for g, w in zip(got, want, strict=True):
+        assert g[:4] == w[:4]
+        assert g[4:] == pytest.approx(w[4:], rel=1e-9, abs=1e-9)
+
+
+def test_longest_contexts_of_odd_tables(empty, docs):
+    assert suffixes.score(empty, F.lit(True)).count() == 0
+    r = suffixes.score(docs.where("doc_id = 200"), F.lit(False)).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (1, 0, 0)
+    # a text of one word 30,000 times, which is learned from: its context of n words occurs 30,000 - n + 1 times
+    r = suffixes.score(docs.where("doc_id = 203"), F.lit(True)).first()
+    n, want = 30000, 0.0
+    for j in range(n + 2):
+        p = ((n if j < n else 1) + 0.1) / (n + 2 + 0.1 * 4)
+        for size in sorted({x for x in (1, 2, j) if 0 < x <= j}):
+            context = 1 if j == n + 1 else n - size + 1
+            whole = n - size if j < n else 1
+            p = (whole + p) / (context + 1)
+        want += math.log10(p)
+    assert r.score == pytest.approx(want, rel=1e-9)
+
+
 # --- 10
 
 
