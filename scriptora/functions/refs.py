@@ -50,7 +50,7 @@ CROSS_PATTERNS = (
 
 def _found(c: Column, patterns) -> Column:
     every = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in patterns])
-    return F.transform(every, clean_text)
+    return F.transform(every, lambda x: clean_text(x))
 
 
 def dates(c: Column) -> Column:

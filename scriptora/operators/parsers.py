@@ -224,7 +224,7 @@ def front_matter(content: Column) -> tuple[Column, Column]:
     return F.regexp_replace(content, p, ""), F.map_from_entries(last)
 
 
-def markdown_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, code: bool = True) -> DataFrame:
+def markdown_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, code: bool = True, spaced_caps: bool = True) -> DataFrame:
     """doc_id, paragraph_id, text, source_tag, content_type, hierarchy of Markdown: headings with #, fenced code, and
     paragraphs of adjacent lines. Windows over a document's lines, all on one partitioning and order."""
     body, _ = front_matter(F.coalesce(F.col(text_col), F.lit("")))
@@ -245,7 +245,7 @@ def markdown_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = lines.where(~F.col("heading") & ~F.col("fence") & (F.col("inside") | (bare != "")))
     ordered = F.array_sort(F.collect_list(F.struct("ln", "line")))
     g = parts.groupBy("doc_id", "run", "inside").agg(F.min("ln").alias("ln"), F.min_by("hierarchy", "ln").alias("hierarchy"), ordered.alias("ls"))
-    text = F.when(F.col("inside"), F.array_join("ls.line", "\n")).otherwise(T.clean_text(F.array_join("ls.line", " ")))
+    text = F.when(F.col("inside"), F.array_join("ls.line", "\n")).otherwise(T.clean_text(F.array_join("ls.line", " "), spaced_caps))
     g = g.withColumn("text", text).where((F.trim("text") != "") & (F.col("inside") | (T.word_count(F.col("text")) >= least_words)))
     return g.select(
         "doc_id",

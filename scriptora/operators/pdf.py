@@ -72,7 +72,7 @@ def heading_sizes(spans: DataFrame, threshold: float = 1.2) -> DataFrame:
     return s.where("level <= 6").select("doc_id", "size", "level")
 
 
-def blocks(spans: DataFrame) -> DataFrame:
+def blocks(spans: DataFrame, spaced_caps: bool = True) -> DataFrame:
     """doc_id, page_num, block_idx, text (lines joined by spaces), size, bold and mono: the largest size of the lines' first
     spans, and whether any of these is bold or of one width."""
     line = F.array_sort(F.collect_list(F.struct("span_idx", "text", "font_size", "is_bold", "is_mono")))
@@ -80,17 +80,17 @@ def blocks(spans: DataFrame) -> DataFrame:
     first = lambda c: F.get(F.col(f"s.{c}"), F.lit(0))
     lines = lines.select(*_PLACE, F.array_join("s.text", "").alias("t"), F.round(first("font_size"), 1).alias("size"), first("is_bold").alias("b"), first("is_mono").alias("m"))
     g = lines.groupBy(*_PLACE[:3]).agg(F.array_sort(F.collect_list(F.struct("line_idx", "t"))).alias("l"), F.max("size").alias("size"), F.max("b").alias("bold"), F.max("m").alias("mono"))
-    return g.select(*_PLACE[:3], T.clean_text(F.array_join("l.t", " ")).alias("text"), "size", "bold", "mono")
+    return g.select(*_PLACE[:3], T.clean_text(F.array_join("l.t", " "), spaced_caps).alias("text"), "size", "bold", "mono")
 
 
-def span_paragraphs(spans: DataFrame, outline: DataFrame | None = None, least_words: int = 1, strong: float = 1.5) -> DataFrame:
+def span_paragraphs(spans: DataFrame, outline: DataFrame | None = None, least_words: int = 1, strong: float = 1.5, spaced_caps: bool = True) -> DataFrame:
     """Blocks in reading order. One of a heading's size, under 15 words, bold or ``strong`` times the body's size, sets the
     hierarchy; the others are paragraphs.
 
     outline: doc_id, order, level, title, page_num as flatten_outline() gives them; its entries hold from the start of
     their page, a level below their own.
     """
-    b = blocks(spans).where("text <> ''").join(heading_sizes(spans), ["doc_id", "size"], "left").join(body_font(spans), "doc_id", "left")
+    b = blocks(spans, spaced_caps).where("text <> ''").join(heading_sizes(spans), ["doc_id", "size"], "left").join(body_font(spans), "doc_id", "left")
     b = b.withColumn("w", T.word_count(F.col("text")))
     # a page's outline comes before its first block
     at = F.col("page_num").cast("long") * (1 << 32)
@@ -106,7 +106,7 @@ def span_paragraphs(spans: DataFrame, outline: DataFrame | None = None, least_wo
 
 def page_paragraphs(pages: DataFrame, least_words: int = 1) -> DataFrame:
     """pages: doc_id, page_num, text. Blocks between blank lines; one like a heading becomes level 1 for what follows."""
-    b = pages.select("doc_id", "page_num", F.posexplode(F.transform(F.split(T.nfc(F.coalesce("text", F.lit(""))), "\n\n"), T.tidy)).alias("i", "text"))
+    b = pages.select("doc_id", "page_num", F.posexplode(F.transform(F.split(T.nfc(F.coalesce("text", F.lit(""))), "\n\n"), lambda x: T.tidy(x))).alias("i", "text"))
     b = b.where(F.col("text") != "").withColumn("w", T.words(F.col("text"))).where(F.size("w") >= least_words)
     b = b.withColumns({"at": F.col("page_num").cast("long") * (1 << 32) + F.col("i"), "heading": heading_like(F.col("text"), F.col("w"))})
     b = with_hierarchy(b, ["doc_id"], "at", F.when(F.col("heading"), 1), F.col("text")).where(~F.col("heading"))

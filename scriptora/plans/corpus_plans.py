@@ -58,12 +58,12 @@ def chk_rag_drop_small(spark, sf_dir):
 
 @register("chk_token_aware")
 def chk_token_aware(spark, sf_dir):
-    return chunking.token_aware(chunking.nest(nested_paragraphs(spark, sf_dir)))
+    return chunking.token_aware(chunking.nest(nested_paragraphs(spark, sf_dir, spaced_caps=True)))
 
 
 @register("chk_small_to_big")
 def chk_small_to_big(spark, sf_dir):
-    return chunking.parents_and_children(chunking.nest(nested_paragraphs(spark, sf_dir)), chunking.TokenConfig(max_tokens=128))
+    return chunking.parents_and_children(chunking.nest(nested_paragraphs(spark, sf_dir, spaced_caps=True)), chunking.TokenConfig(max_tokens=128))
 
 
 @register("chk_rechunk")
@@ -79,7 +79,7 @@ def agg_rechunk_statistics(spark, sf_dir):
 
 @register("chk_merged_fields")
 def chk_merged_fields(spark, sf_dir):
-    c = chunking.merge_by_words(enrich(paragraphs(spark, sf_dir)))
+    c = chunking.merge_by_words(enrich(paragraphs(spark, sf_dir, spaced_caps=True)))
     return c.select("doc_id", "stable_id", "paragraph_id", "sentence_count", "content_type", "dates_mentioned")
 
 
@@ -92,7 +92,7 @@ def prs_markdown(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     body = F.array_join(F.transform("t", lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n\n"), x["text"], F.lit("\n\n"))), "")
     d = turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("# conversation\n\n"), body).alias("text"))
-    p = parsers.markdown_paragraphs(d)
+    p = parsers.markdown_paragraphs(d, spaced_caps=False)
     return p.select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), F.md5("text").alias("h"), "source_tag", F.col("hierarchy.level_2").alias("level_2"), F.col("hierarchy.level_1").alias("level_1"))
 
 

@@ -25,9 +25,9 @@ def stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
     return reader.options(**options).parquet(path)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
+def paragraphs(docs: DataFrame, spaced_caps: bool = True) -> DataFrame:
     """Paragraph rows of a stream (or batch) of doc_id, text."""
-    return from_lines(docs)
+    return from_lines(docs, spaced_caps=spaced_caps)
 
 
 def scored(docs: DataFrame) -> DataFrame:
