@@ -78,10 +78,15 @@ def capture_chunks(captured: DataFrame) -> DataFrame:
     )
 
 
-def apply_results(index: DataFrame, results: DataFrame) -> DataFrame:
-    """index (url, status, ...) with the status of results (url, status) by URL, so that a failure doesn't shift those after it."""
-    last = results.groupBy("url").agg(F.max("status").alias("new_status"))
-    return index.join(last, "url", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+def apply_results(index: DataFrame, results: DataFrame, *more: str) -> DataFrame:
+    """index (url, status, ...) with the status of results (url, status) by URL, so that a failure doesn't shift those after it.
+
+    more: columns of both that tell rows with one URL apart, so that each gets its own result; nulls count as equal.
+    """
+    last = results.groupBy("url", *more).agg(F.max("status").alias("new_status")).withColumnsRenamed({c: f"__{c}" for c in ("url", *more)})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) if c in more else F.col(c) == F.col(f"__{c}") for c in ("url", *more)]
+    out = index.join(last, same, "left").withColumn("status", F.coalesce("new_status", "status"))
+    return out.select("url", *[c for c in index.columns if c != "url"])
 
 
 def pending(index: DataFrame, step: str) -> DataFrame:

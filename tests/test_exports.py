@@ -140,3 +140,20 @@ def test_progress_of_streams(spark, tmp_path):
         assert sum(n for _, _, n, _ in p.batches) in (0, 5) and not p.failed
     finally:
         spark.streams.removeListener(p)
+
+
+def test_results_of_rows_with_one_url(spark, tmp_path):
+    import duckdb
+
+    from scriptora import registry
+
+    pages = [(i, "http://h/a" if i < 7 else f"http://h/{i}", "<p>x</p>") for i in range(1, 10)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = registry.queries()["rel_zip_by_url"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(registry.oracle_sql()["rel_zip_by_url"]).fetchall())
+    index = spark.createDataFrame([(1, "u", "old"), (None, "u", "old"), (2, None, "old")], "n int, url string, status string")
+    done = spark.createDataFrame([(None, "u", "new"), (2, None, "new")], "n int, url string, status string")
+    assert {(r.n, r.url): r.status for r in exports.apply_results(index, done, "n").collect()} == {(1, "u"): "old", (None, "u"): "new", (2, None): "old"}
+    assert {r.status for r in exports.apply_results(index, done).where("url = 'u'").collect()} == {"new"}
