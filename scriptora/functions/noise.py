@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptora.functions.text import CAP, LEVELS, words
+from scriptora.functions.text import CAP, LEVELS, NOT_WS, strip, word_count as count_words
 
 ENDORSEMENTS = ("acclaim for", "advance praise", "praise for", "testimonials", "what people are saying", "what readers are saying")
 FRONT_LABELS = """abbreviations; acknowledgements; acknowledgments; also by; dedication; editor's preface; editors' preface;
@@ -28,8 +28,9 @@ def labels(x: str) -> list[str]:
     return [" ".join(p.split()) for p in x.split(";")]
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+_strip = strip
+#: A word that is a number or an index's marks. The class is looked for first: it is rare.
+_NUMBERS = rf"(?=[0-9*,.\-:;])(?<!{NOT_WS})[0-9*,.\-:;]++(?!{NOT_WS})"
 
 
 def _low(h: Column, level: str) -> Column:
@@ -40,9 +41,8 @@ def is_index_page(text: Column, token_count: Column | None = None) -> Column:
     """Over half numbers; or a run of 5 numbers and many digits; or many tokens a word and over .3 numbers."""
     t = _strip(text)
 
-    def judge(w: Column) -> Column:
-        n = F.size(w)
-        share = F.size(F.filter(w, lambda x: x.rlike(r"^[0-9*,.\-:;]+$"))) / n
+    def judge(n: Column) -> Column:
+        share = F.regexp_count(t, F.lit(_NUMBERS)) / n
         runs = t.rlike(r"(?:[0-9]+[*,.\-:;\s]+){5}") & (F.regexp_count(t, F.lit(r"[0-9]+")) > n * 0.3)
         out = (share > 0.5) | runs
         if token_count is not None:
@@ -50,7 +50,7 @@ def is_index_page(text: Column, token_count: Column | None = None) -> Column:
             out = out | ((k > 0) & (k / n > 2.5) & (share > 0.3))
         return F.when(n > 0, out).otherwise(F.lit(False))
 
-    return F.get(F.transform(F.array(words(t)), judge), F.lit(0))
+    return F.get(F.transform(F.array(count_words(t)), judge), F.lit(0))
 
 
 def is_navigation(text: Column, word_count: Column, h: Column) -> Column:

@@ -14,15 +14,18 @@ _WIDER = _LATIN + "|" + "|".join(
         magisterial ordination parish pontiff pontifical redemption resurrection sacrament salvation""".split()
     )
 )
+_FIRST = "".join(sorted({w[0].lower() for w in _WIDER.split("|")}))
+#: A line end as Python has them; one class, as all but few characters fail it.
+_LINE_END = r"[\n\r\x0b\f\x1c\x1d\x1e\x85[[^\x00-\xff]&&[\u2028\u2029]]](?:(?<=\r)\n)?+"
 #: A character beyond tab, line ends, printable ASCII and the Latin blocks.
-GARBLE = r"[^\t\n\r -~\u00A0-\u02AF]"
+GARBLE = r"[[^ -~]&&[^\t\n\r\u00A0-\u02AF]]"
 
 
 def signals(text: Column, garble: str = GARBLE) -> Column:
     """The seven signals, each 0 to 1; those of the worst text where it is null or empty."""
     c = F.coalesce(text, F.lit(""))
     n = F.length(c)
-    lines = F.transform(F.filter(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: x.rlike(r"(?U)\S")), F.length)
+    lines = F.transform(F.filter(F.split(c, _LINE_END), lambda x: x.rlike(r"(?U)\S")), F.length)
 
     def rest(lines: Column) -> Column:
         k = F.size(lines)
@@ -34,10 +37,10 @@ def signals(text: Column, garble: str = GARBLE) -> Column:
         )
 
     by_line = F.get(F.transform(F.array(lines), rest), F.lit(0))
-    w = F.get(F.transform(F.array(words(c)), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)).otherwise(0.0)), F.lit(0))
+    w = F.get(F.transform(F.array(words(F.lower(c))), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0)), F.lit(0))
     garbled = F.least(F.lit(1.0), F.regexp_count(c, F.lit(garble)) / F.greatest(n, F.lit(1)))
-    hits = F.regexp_count(c, F.lit(rf"\b(?:{_LATIN})\b"))
-    wider = F.regexp_count(c, F.lit(rf"(?i)\b(?:{_WIDER})\b"))
+    hits = F.regexp_count(c, F.lit(rf"(?=[ADEMV])\b(?:{_LATIN})\b"))
+    wider = F.regexp_count(c, F.lit(rf"(?i)(?=[{_FIRST}])\b(?:{_WIDER})\b"))
     names = ("garble_rate", "mean_conf", "line_len_std_norm", "lang_prob", "lang_prob_v2", "lexical_density", "short_line_ratio")
     some = F.struct(
         garbled.alias(names[0]),

@@ -48,22 +48,32 @@ CROSS_PATTERNS = (
 )
 
 
-def _found(c: Column, patterns) -> Column:
+#: What every match of some pattern holds: most texts have none of it, and then no pattern is tried. First characters are
+#: looked for before words.
+_ANY_DATE = r"[0-9](?<=[0-9]{4})"
+_ANY_VERSE = "[0-9]:[0-9]"
+_ANY_CROSS = (
+    r"§|(?i)(?=[acdgirstvo])(?:see\s|compare\s|cf\.\s|see also\s|can(?:on|\.)?\s*[0-9]|c(?:ceo|ic)[\s/c]|(?:catechism(?: of the catholic church)?|ccc)\s*[0-9]"
+    r"|catechism of (?:trent|pius v)|roman catechism|d(?:enz\.?|s)\s*[0-9]|gi(?:lh|rm)\s*[0-9]|[io]gmr\s*[0-9]|trent|vatican|aas\s)"
+)
+
+
+def _found(c: Column, patterns, some: str) -> Column:
     every = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in patterns])
-    return F.transform(every, lambda x: clean_text(x))
+    return F.when(c.rlike(some), F.transform(every, lambda x: clean_text(x))).otherwise(F.array().cast("array<string>"))
 
 
 def dates(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(_found(F.coalesce(c, F.lit("")), DATE_PATTERNS)))
+    return F.array_sort(F.array_distinct(_found(F.coalesce(c, F.lit("")), DATE_PATTERNS, _ANY_DATE)))
 
 
 def scripture_references(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(_found(F.coalesce(c, F.lit("")), SCRIPTURE_PATTERNS)))
+    return F.array_sort(F.array_distinct(_found(F.coalesce(c, F.lit("")), SCRIPTURE_PATTERNS, _ANY_VERSE)))
 
 
 def cross_references(c: Column) -> Column:
     """Those of 4 to 140 characters."""
-    found = F.filter(_found(F.coalesce(c, F.lit("")), CROSS_PATTERNS), lambda x: F.length(x).between(4, 140))
+    found = F.filter(_found(F.coalesce(c, F.lit("")), CROSS_PATTERNS, _ANY_CROSS), lambda x: F.length(x).between(4, 140))
     return F.array_sort(F.array_distinct(found))
 
 

@@ -127,7 +127,7 @@ def issue_counts(annotations: DataFrame) -> DataFrame:
 
 def features(chunks: DataFrame) -> DataFrame:
     """chunk_id and the features of the chunk classifier, from text, word_count, sentence_count, hierarchy and references."""
-    from scriptora.functions.text import LEVELS, words
+    from scriptora.functions.text import LEVELS, NOT_WS, WS, words
 
     have = set(chunks.columns)
     t = F.coalesce(F.col("text"), F.lit(""))
@@ -137,10 +137,11 @@ def features(chunks: DataFrame) -> DataFrame:
     n, chars, thousand = num("word_count"), F.length(t), num("word_count") / 1000
     depth = F.size(F.filter(F.array(*[F.col("hierarchy")[x] for x in LEVELS]), lambda x: x != "")) if "hierarchy" in have else F.lit(0)
     lines = F.split(t, "\n")
-    c = chunks.withColumn("__w", words(t))
+    c = chunks.withColumn("__w", words(F.lower(t)))  # no letter's small form depends on another word
     w = F.col("__w")
-    low = F.transform(w, F.lower)
-    share = lambda f: over(F.size(F.filter(w, f)), F.size(w))
+    # words of one class are counted in the text; the class is looked for first: it is rare
+    share = lambda x: over(F.regexp_count(t, F.lit(rf"(?U)(?={x})(?<!{NOT_WS}){x}++(?!{NOT_WS})")), F.size(w))
+    few = lambda x: ~x.rlike(rf"(?:{NOT_WS}++{WS}++){{4}}{NOT_WS}")
     stop = ("a", "an", "and", "at", "but", "for", "in", "on", "or", "the", "to")
     cols = {
         "word_count": n,
@@ -150,22 +151,22 @@ def features(chunks: DataFrame) -> DataFrame:
         "avg_sentence_length": over(n, num("sentence_count")),
         "chars_per_word": over(chars, n),
         "tokens_per_word": over(F.size(w), n),
-        "unique_words_ratio": over(F.size(F.array_distinct(low)), F.size(w)),
-        "stopword_ratio": over(F.size(F.filter(low, lambda x: x.isin(*stop))), F.size(w)),
+        "unique_words_ratio": over(F.size(F.array_distinct(w)), F.size(w)),
+        "stopword_ratio": over(F.size(F.filter(w, lambda x: x.isin(*stop))), F.size(w)),
         "punctuation_density": over(F.regexp_count(t, F.lit("[.,;:!?]")), chars),
-        "number_token_ratio": share(lambda x: x.rlike(r"^\d+$")),
-        "capital_ratio": over(F.regexp_count(t, F.lit(r"\p{Lu}")), chars),
+        "number_token_ratio": share("[0-9]"),
+        "capital_ratio": over(F.regexp_count(t, F.lit(r"[A-Z[[^\x00-\x7f]&&\p{Lu}]]")), chars),
         "scripture_density": over(size("scripture_references"), thousand),
         "cross_ref_density": over(size("cross_references"), thousand),
         "date_density": over(size("dates_mentioned"), thousand),
         "has_hierarchy": F.when(depth > 0, 1.0).otherwise(0.0),
         "position_normalized": num("source_order") / 1000.0,
         "hierarchy_consistency": over(depth, depth),
-        "number_density": share(lambda x: x.rlike(r"(?U)^[\d\W]+$")),
+        "number_density": share(rf"[[^A-Za-z]&&[\d\W]&&{NOT_WS}]"),
         "token_word_ratio": over(F.size(w), n),
         "reference_pattern_density": over(F.regexp_count(t, F.lit(r"\d+:\d+(-\d+)?")), n),
-        "short_line_ratio": F.size(F.filter(lines, lambda x: F.size(words(x)) < 5)) / F.size(lines),
-        "nav_keyword_presence": F.when(F.lower(t).rlike("back|contents|index|next|page|previous"), 1.0).otherwise(0.0),
+        "short_line_ratio": F.size(F.filter(lines, few)) / F.size(lines),
+        "nav_keyword_presence": F.when(F.lower(t).rlike("(?=[bcinp])(?:back|contents|index|next|page|previous)"), 1.0).otherwise(0.0),
         "garble_rate": num("garble_rate", 0.0),
         "mean_conf": num("mean_conf", 0.5),
         "line_len_std_norm": num("line_len_std_norm", 0.5),
