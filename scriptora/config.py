@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULTS: dict[str, Any] = dict(analyzer="generic", chunking_strategy="rag", filter_noise=True, keep_small=True, levels=5, max_chunk_words=500, min_chunk_words=100)
 
 
+#: The strategies that merge by words.
+BY_WORDS = ("embeddings", "rag", "semantic")
+
+
 class ScriptoraError(Exception):
     """The base of all errors raised here."""
 
@@ -71,29 +75,46 @@ class Extraction:
         return self
 
     def parse(self) -> Extraction:
-        from scriptora.operators.paragraphs import enrich, from_lines
+        from scriptora.operators.paragraphs import enrich, from_lines, nested
         from scriptora.operators.parsers import markdown_paragraphs
 
         d = self._need("load")
-        p = markdown_paragraphs(d) if self.config.get("format") == "markdown" else from_lines(d)
-        self._steps["parse"] = enrich(p)
+        markdown = self.config.get("format") == "markdown"
+        self._steps["parse"] = enrich(markdown_paragraphs(d) if markdown else from_lines(d))
+        if not markdown:
+            self._steps["nested"] = nested(d)
         return self
 
     def chunk(self) -> DataFrame:
+        from scriptora.operators.paragraphs import enrich_nested
+
+        p, plain = self._need("parse"), None
+        if self._in_rows():
+            plain = self._steps["nested"]
+            p = enrich_nested(plain)
+        self._steps["chunk"] = self._chunks(p)
+        # what is counted takes nothing from the fields that chunks inherit, so they aren't found for it
+        self._steps["counted"] = self._steps["chunk"] if plain is None else self._chunks(plain)
+        return self._steps["chunk"]
+
+    def _in_rows(self) -> bool:
+        """Whether documents are merged by words within their rows."""
+        return "nested" in self._steps and self.config["chunking_strategy"] in BY_WORDS
+
+    def _chunks(self, p: DataFrame) -> DataFrame:
         from scriptora.functions.noise import low_value
         from scriptora.operators.chunking import ChunkConfig, apply_strategy
 
-        c, p = self.config, self._need("parse")
-        name = c["chunking_strategy"]
-        cfg = ChunkConfig(c["min_chunk_words"], c["max_chunk_words"], c["levels"], c["keep_small"]) if name in ("embeddings", "rag", "semantic") else None
+        c, name = self.config, self.config["chunking_strategy"]
+        cfg = ChunkConfig(c["min_chunk_words"], c["max_chunk_words"], c["levels"], c["keep_small"]) if name in BY_WORDS else None
         out = apply_strategy(name, p, cfg)
         if c["filter_noise"] and "hierarchy" in out.columns:
             out = out.where(~low_value(out["text"], out["word_count"], out["hierarchy"]))
-        self._steps["chunk"] = out
         return out
 
     def metadata(self) -> DataFrame:
         from scriptora.operators import analysis
 
-        c, p = self._need("chunk"), self._need("parse")
+        self._need("chunk")
+        c, p = self._steps["counted"], self._need("parse")
         return analysis.counts(c).join(analysis.subjects(p), "doc_id", "left").join(analysis.themes(p), "doc_id", "left")

@@ -61,8 +61,8 @@ def is_navigation(text: Column, word_count: Column, h: Column) -> Column:
 
 def is_boilerplate(text: Column, word_count: Column) -> Column:
     t = F.lower(_strip(text))
-    legal = t.rlike(r"©|\ball rights reserved\b|\bcopyright\b") & (F.coalesce(word_count, F.lit(0)) < 50)
-    return legal | t.rlike(r"\bisbn\b|catalog number|publisher code")
+    legal = (F.coalesce(word_count, F.lit(0)) < 50) & t.rlike(r"(?=[©ac])(?:©|\ball rights reserved\b|\bcopyright\b)")
+    return legal | t.rlike(r"(?=[cip])(?:\bisbn\b|catalog number|publisher code)")
 
 
 def low_value(text: Column, word_count: Column, h: Column, token_count: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptora.functions.text import words
+from scriptora.functions.text import count_of, words
 
 _LATIN = "Apostolica|Dei|Dominus|Ecclesia|Magisterium|Verbum"
 _WIDER = _LATIN + "|" + "|".join(
@@ -38,7 +38,7 @@ def signals(text: Column, garble: str = GARBLE) -> Column:
 
     by_line = F.get(F.transform(F.array(lines), rest), F.lit(0))
     w = F.get(F.transform(F.array(words(F.lower(c))), lambda w: F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0)), F.lit(0))
-    garbled = F.least(F.lit(1.0), F.regexp_count(c, F.lit(garble)) / F.greatest(n, F.lit(1)))
+    garbled = F.least(F.lit(1.0), count_of(c, garble) / F.greatest(n, F.lit(1)))
     hits = F.regexp_count(c, F.lit(rf"(?=[ADEMV])\b(?:{_LATIN})\b"))
     wider = F.regexp_count(c, F.lit(rf"(?i)(?=[{_FIRST}])\b(?:{_WIDER})\b"))
     names = ("garble_rate", "mean_conf", "line_len_std_norm", "lang_prob", "lang_prob_v2", "lexical_density", "short_line_ratio")

@@ -105,14 +105,16 @@ def counts(chunks: DataFrame) -> DataFrame:
 def subjects(chunks: DataFrame, most: int = 5) -> DataFrame:
     """doc_id, subject: the first distinct headings of levels 1 and 2, in order."""
     heads = F.filter(F.array(F.trim("hierarchy.level_1"), F.trim("hierarchy.level_2")), lambda x: x != "")
-    g = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_id", heads.alias("h")))).alias("hs"))
+    # one row a pair of headings before they meet, however many paragraphs have it
+    first = chunks.groupBy("doc_id", heads.alias("h")).agg(F.min("paragraph_id").alias("at"))
+    g = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("hs"))
     return g.select("doc_id", F.slice(F.array_distinct(F.flatten("hs.h")), 1, most).alias("subject"))
 
 
 def themes(chunks: DataFrame, most: int = 10) -> DataFrame:
     """doc_id, key_themes: the most frequent headings of levels 1 to 4; of equal ones the first seen."""
-    heads = F.array(*[F.trim(F.col(f"hierarchy.level_{k}")) for k in range(1, 5)])
-    e = chunks.select("doc_id", "paragraph_id", F.posexplode(heads).alias("k", "theme")).where("theme <> ''")
+    heads = F.filter(F.array(*[F.trim(F.col(f"hierarchy.level_{k}")) for k in range(1, 5)]), lambda x: x != "")
+    e = chunks.select("doc_id", "paragraph_id", F.posexplode(heads).alias("k", "theme"))
     g = e.groupBy("doc_id", "theme").agg(F.count("*").alias("n"), F.min(F.struct("paragraph_id", "k")).alias("seen"))
     r = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "seen"))
     top = g.withColumn("r", r).where(F.col("r") <= most)

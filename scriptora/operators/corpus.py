@@ -127,7 +127,7 @@ def issue_counts(annotations: DataFrame) -> DataFrame:
 
 def features(chunks: DataFrame) -> DataFrame:
     """chunk_id and the features of the chunk classifier, from text, word_count, sentence_count, hierarchy and references."""
-    from scriptora.functions.text import LEVELS, NOT_WS, WS, words
+    from scriptora.functions.text import LEVELS, NOT_WS, WS, count_of, words
 
     have = set(chunks.columns)
     t = F.coalesce(F.col("text"), F.lit(""))
@@ -141,7 +141,7 @@ def features(chunks: DataFrame) -> DataFrame:
     w = F.col("__w")
     # words of one class are counted in the text; the class is looked for first: it is rare
     share = lambda x: over(F.regexp_count(t, F.lit(rf"(?U)(?={x})(?<!{NOT_WS}){x}++(?!{NOT_WS})")), F.size(w))
-    few = lambda x: ~x.rlike(rf"(?:{NOT_WS}++{WS}++){{4}}{NOT_WS}")
+    few = lambda x: ~x.rlike(rf"\A{WS}*+(?:{NOT_WS}++{WS}++){{4}}{NOT_WS}")
     stop = ("a", "an", "and", "at", "but", "for", "in", "on", "or", "the", "to")
     cols = {
         "word_count": n,
@@ -153,9 +153,9 @@ def features(chunks: DataFrame) -> DataFrame:
         "tokens_per_word": over(F.size(w), n),
         "unique_words_ratio": over(F.size(F.array_distinct(w)), F.size(w)),
         "stopword_ratio": over(F.size(F.filter(w, lambda x: x.isin(*stop))), F.size(w)),
-        "punctuation_density": over(F.regexp_count(t, F.lit("[.,;:!?]")), chars),
+        "punctuation_density": over(count_of(t, "[.,;:!?]"), chars),
         "number_token_ratio": share("[0-9]"),
-        "capital_ratio": over(F.regexp_count(t, F.lit(r"[A-Z[[^\x00-\x7f]&&\p{Lu}]]")), chars),
+        "capital_ratio": over(count_of(t, r"[A-Z[[^\x00-\x7f]&&\p{Lu}]]"), chars),
         "scripture_density": over(size("scripture_references"), thousand),
         "cross_ref_density": over(size("cross_references"), thousand),
         "date_density": over(size("dates_mentioned"), thousand),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptora.functions import identity, refs, text
 from scriptora.operators import analysis, chunking, corpus, parsers
-from scriptora.operators.paragraphs import enrich, unnest
+from scriptora.operators.paragraphs import enrich_nested, unnest
 from scriptora.plans import sql
 from scriptora.plans.text_plans import PLANTED_SQL, documents, nested_paragraphs, paragraphs, planted
 from scriptora.registry import register
@@ -79,7 +79,7 @@ def agg_rechunk_statistics(spark, sf_dir):
 
 @register("chk_merged_fields")
 def chk_merged_fields(spark, sf_dir):
-    c = chunking.merge_by_words(enrich(paragraphs(spark, sf_dir, spaced_caps=True)))
+    c = chunking.merge_by_words(enrich_nested(nested_paragraphs(spark, sf_dir, spaced_caps=True)))
     return c.select("doc_id", "stable_id", "paragraph_id", "sentence_count", "content_type", "dates_mentioned")
 
 

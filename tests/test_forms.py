@@ -58,3 +58,23 @@ def test_handed_over_flat(spark):
     want = [{"paragraph_id": i, "text": t, "hierarchy": tuple(x or "" for x in (hh or [""] * 6)), "content_type": k, "sentences": s or [], "cross_references": c or [], "scripture_references": v or []} for i, t, _, hh, k, s, c, v, _ in ps]
     assert [some(p) for p in got[1]] == want
     assert [p["content_type"] for p in got[2]] == ["prose"] and got[3] == [] and got[4] == []
+
+
+def test_counts_of_any_text(spark):
+    raw = [*texts(["a", "B\U0001f600", " ", "\n", "　", "\x1c", ",", "É"], 3000, 8, 4), " ", " \n", "x" * 5000 + " "]
+    r = spark.createDataFrame([(x,) for x in [*raw, None]], "x string").select("x", text.word_count(F.col("x")).alias("n"), text.count_of(F.col("x"), r"[A-ZÉ]").alias("k")).collect()
+    assert [x.x for x in r if x.n != len((x.x or "").split()) or x.k != (None if x.x is None else sum(c in "BÉ" for c in x.x))] == []
+
+
+def test_features_of_long_words_are_linear(spark):
+    import time
+
+    from scriptora.operators import corpus
+
+    # a word of so many characters took minutes where each of its characters was begun at
+    d = spark.createDataFrame([(1, "x" * 400_000 + " 1 2"), (2, "a b c d e\nA, b!\n\n1 22 x3")], "chunk_id long, text string")
+    corpus.features(d.limit(0)).collect()
+    began = time.time()
+    r = {x.chunk_id: x for x in corpus.features(d).collect()}
+    assert time.time() - began < 30
+    assert (r[1].short_line_ratio, r[2].short_line_ratio) == (1.0, 0.75) and r[1].number_token_ratio == 2 / 3 and r[2].number_token_ratio == 2 / 10
