@@ -10,6 +10,7 @@ from scriptora.operators.paragraphs import enrich_nested, unnest
 from scriptora.plans import sql
 from scriptora.plans.text_plans import PLANTED_SQL, documents, nested_paragraphs, paragraphs, planted
 from scriptora.registry import register
+from scriptora.sources.shared import checkpointed
 
 
 def table(spark, sf_dir, name):
@@ -379,7 +380,7 @@ def ml_features(spark, sf_dir):
 @register("ml_classifier")
 def ml_classifier(spark, sf_dir):
     d = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", text.word_count(F.col("text")).alias("word_count"))
-    f = corpus.features(d)
+    f = checkpointed(corpus.features(d))  # training goes over its rows many times
     model = corpus.train_classifier(f.join(notes_of(spark, sf_dir), "chunk_id"))
     return corpus.predict(model, f)
 
