@@ -78,3 +78,14 @@ def test_features_of_long_words_are_linear(spark):
     r = {x.chunk_id: x for x in corpus.features(d).collect()}
     assert time.time() - began < 30
     assert (r[1].short_line_ratio, r[2].short_line_ratio) == (1.0, 0.75) and r[1].number_token_ratio == 2 / 3 and r[2].number_token_ratio == 2 / 10
+
+
+def test_classifier_reads_features_that_are_kept(spark, tmp_path):
+    from scriptora import registry
+
+    rows = [(i, f"{'Word, ' * (i % 7)}and {i} more. Next page\nof it", "en", "s") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    p = registry.queries()["ml_classifier"](spark, str(tmp_path))
+    assert "documents.parquet" not in str(p._jdf.queryExecution().executedPlan()) and "FileScan" not in str(p._jdf.queryExecution().executedPlan())
+    assert p.count() == 40
